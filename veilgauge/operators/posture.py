@@ -45,3 +45,142 @@ def throughput(stats: DataFrame, min_packets: int = 10_000) -> DataFrame:
     return stats.withColumn("measurable", ok).withColumn(
         "packets_per_second", F.when(ok, F.round(F.try_divide("packets_read", "processing_seconds"), 1))).withColumn(
         "note", F.when(~ok, F.concat(F.lit("below "), F.lit(min_packets), F.lit(" packets"))))
+
+
+# --- findings ---------------------------------------------------------------------
+def rank_of(severity: Column) -> Column:
+    return F.create_map(*[F.lit(x) for k, (_w, r) in R.SEVERITY.items() for x in (k, r)])[severity]
+
+
+def weight_of(severity: Column) -> Column:
+    return F.create_map(*[F.lit(x) for k, (w, _r) in R.SEVERITY.items() for x in (k, w)])[severity]
+
+
+def name_of(rank: Column) -> Column:
+    return F.get(F.array(*[F.lit(k) for k in R.SEVERITY]), rank)
+
+
+def severity_counts(findings: DataFrame, keys=("capture",)) -> DataFrame:
+    """Findings per severity, zeros included; one map-side combined pass."""
+    return findings.groupBy(*keys).agg(
+        *[F.sum((F.col("severity") == s).cast("bigint")).alias(s) for s in R.SEVERITY], F.count(F.lit(1)).alias("findings"))
+
+
+def posture(captures: DataFrame, findings: DataFrame) -> DataFrame:
+    """Score 0-100 and grade per capture; a capture without findings scores 100.
+
+    Penalty: severity weight x (1 + (n - 1) / 3, at most 3); score 100 exp(-penalty / 75).
+    """
+    counts = captures.select("capture").distinct().join(severity_counts(findings), "capture", "left").fillna(0)
+    penalty = sum(
+        (F.when(F.col(s) > 0, F.lit(float(w)) * F.least(1 + (F.col(s) - 1) / 3.0, F.lit(3.0))).otherwise(0.0)
+         for s, (w, _r) in R.SEVERITY.items()), F.lit(0.0))
+    scored = counts.withColumn("score", F.round(100 * F.exp(-penalty / 75.0)).cast("int"))
+    return scored.withColumn("grade", grade_of(F.col("score")))
+
+
+def grade_of(score: Column) -> Column:
+    return F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").when(score >= 40, "D").otherwise("E")
+
+
+def report_digest(findings: DataFrame) -> DataFrame:
+    """First 16 hex digits of SHA-256 over the sorted 'rule:subject' texts joined by '|'.
+
+    SHA-256 is sequential, so each capture's keys pass one hasher in order; they
+    are first reduced to distinct keys with counts, then streamed batch by batch
+    with constant memory.
+    """
+    keyed = findings.groupBy("capture", F.concat_ws(":", "rule_id", "subject").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    ordered_rows = keyed.repartition("capture").sortWithinPartitions("capture", "k")
+
+    def stream(batches):
+        import hashlib
+
+        import pandas as pd
+
+        current, state, first = None, None, True
+        for b in batches:
+            done = []
+            for capture, k, n in zip(b["capture"], b["k"], b["n"]):
+                if capture != current:
+                    if current is not None:
+                        done.append((current, state.hexdigest()[:16]))
+                    current, state, first = capture, hashlib.sha256(), True
+                one = k.encode()
+                for _ in range(int(n)):
+                    if not first:
+                        state.update(b"|")
+                    state.update(one)
+                    first = False
+            if done:
+                yield pd.DataFrame(done, columns=["capture", "digest"])
+        if current is not None:
+            yield pd.DataFrame([(current, state.hexdigest()[:16])], columns=["capture", "digest"])
+
+    return ordered_rows.mapInPandas(stream, "capture string, digest string")
+
+
+GROUP = ["capture", "rule_id", "title"]
+
+
+def group_subjects(findings: DataFrame) -> DataFrame:
+    """Distinct subjects of every (capture, rule, title) group, long form."""
+    return findings.groupBy(*GROUP, "subject").agg(
+        F.count(F.lit(1)).alias("n"), F.min(rank_of(F.col("severity"))).alias("rank"), F.max("inferred").alias("inferred"))
+
+
+def finding_groups(findings: DataFrame) -> DataFrame:
+    """One row per (capture, rule, title): count, worst severity, subjects, whether any was inferred."""
+    return group_subjects(findings).groupBy(*GROUP).agg(
+        F.sum("n").alias("count"), F.min("rank").alias("rank"), F.count(F.lit(1)).alias("subjects"),
+        F.max("inferred").alias("inferred")).withColumn("severity", name_of(F.col("rank")))
+
+
+def with_link(findings: DataFrame) -> DataFrame:
+    """Add the link named by a finding's subject, null when it names none."""
+    from ..functions.net import link_id, subject_peer
+
+    a, b = subject_peer(F.col("subject"), 0), subject_peer(F.col("subject"), 1)
+    return findings.withColumn("link", F.when(a.isNotNull() & b.isNotNull(), link_id(a, b)))
+
+
+def links(sessions: DataFrame | None, flows: DataFrame | None, findings: DataFrame) -> DataFrame:
+    """One row per unordered peer pair with a session or a flow.
+
+    Each side is reduced to one row per link before the sides meet.
+    """
+    from ..functions.net import link_id
+
+    parts = []
+    if sessions is not None:
+        weakest = F.min(F.when(F.col("kex_family") != "unknown", F.struct("classical_bits", "quantum_bits", "kex_family", "hybrid")))
+        parts.append(sessions.groupBy("capture", link_id(F.col("peer_a"), F.col("peer_b")).alias("link")).agg(
+            F.count(F.lit(1)).alias("sessions"), weakest.alias("weakest")).withColumn("tunnels", F.lit(0).cast("bigint")))
+    if flows is not None:
+        parts.append(flows.groupBy("capture", link_id(F.col("src"), F.col("dst")).alias("link")).agg(
+            F.count(F.lit(1)).alias("tunnels")).withColumn("sessions", F.lit(0).cast("bigint")))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    if "weakest" not in both.columns:
+        both = both.withColumn("weakest", F.lit(None).cast("struct<classical_bits:int,quantum_bits:int,kex_family:string,hybrid:boolean>"))
+    both = both.groupBy("capture", "link").agg(
+        F.sum("sessions").alias("sessions"), F.sum("tunnels").alias("tunnels"), F.min("weakest").alias("weakest"))
+    per_link = with_link(findings).where(F.col("link").isNotNull())
+    counts = severity_counts(per_link, ("capture", "link"))
+    j = both.join(counts, ["capture", "link"], "left").fillna(0, [*R.SEVERITY, "findings"])
+    worst = F.coalesce(*[F.when(F.col(s) > 0, F.lit(s)) for s in R.SEVERITY])
+    return j.select(
+        "capture", "link", "sessions", "tunnels", (F.col("tunnels") > 1).alias("pooled"), "findings", *R.SEVERITY,
+        worst.alias("worst_severity"), "weakest.classical_bits", "weakest.quantum_bits", "weakest.kex_family",
+        F.coalesce("weakest.hybrid", F.lit(False)).alias("hybrid"))
+
+
+def unlinked(findings: DataFrame, links_df: DataFrame) -> DataFrame:
+    return with_link(findings).join(links_df.select("capture", "link"), ["capture", "link"], "left_anti").drop("link")
+
+
+def groups_of_link(findings: DataFrame) -> DataFrame:
+    """Rule groups restricted to each link's own findings."""
+    f = with_link(findings).where(F.col("link").isNotNull())
+    return f.groupBy("capture", "link", "rule_id", "title").agg(
+        F.count(F.lit(1)).alias("count"), F.min(rank_of(F.col("severity"))).alias("rank")).withColumn(
+        "severity", name_of(F.col("rank")))

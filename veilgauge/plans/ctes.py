@@ -221,3 +221,86 @@ SELECT s.capture, s.sid, s.k, s.c, s.a, s.b, s.pa, s.pb, s.v1, s.confirmed, s.da
   CASE WHEN s.pa < s.pb THEN s.pa || '|' || s.pb ELSE s.pb || '|' || s.pa END AS peer_key
 FROM v_sa s JOIN v_comp c ON c.sid = s.sid JOIN v_kex x ON x.sid = s.sid
 """)
+
+# --- findings ---------------------------------------------------------------------------
+cte("v_volume", """
+SELECT s.capture, s.sid, coalesce(sum(f.bytes), 0)::BIGINT AS observed_bytes, coalesce(max((f.last_us - f.first_us) / 1e6), 0e0) AS observed_seconds
+FROM v_sa s LEFT JOIN v_flows f ON f.capture = s.capture AND (f.src IN (s.a, s.b) OR f.dst IN (s.a, s.b)) GROUP BY s.capture, s.sid
+""")
+cte("v_life", """
+SELECT sid, max(lifetime_seconds) AS lifetime FROM v_msg GROUP BY sid
+""")
+cte("v_sweet", """
+SELECT *, CASE WHEN rate > 0 THEN round(lim / rate, 1) END AS seconds_to_limit, round(rate * rekey / lim, 3) AS ratio, rate * rekey >= lim AS exceeds FROM (
+SELECT s.*, v.observed_bytes, v.observed_seconds, coalesce(l.lifetime, 86400) AS rekey, (s.block_bits // 8) * 4294967296e0 AS lim,
+  CASE WHEN v.observed_seconds > 0 THEN v.observed_bytes::DOUBLE / v.observed_seconds ELSE 0e0 END AS rate
+FROM v_str s JOIN v_volume v ON v.sid = s.sid JOIN v_life l ON l.sid = s.sid WHERE s.block_bits > 0 AND s.block_bits < 128)
+""")
+RULE_SQL = {
+    "IKE-001": "SELECT capture, peer AS subject, 'IKEv1 in use' AS title, 'high' AS severity FROM v_str WHERE v1",
+    "IKE-002": "SELECT capture, peer AS subject, 'IKEv1 Aggressive Mode' AS title, 'critical' AS severity FROM v_str WHERE v1 AND k % 9 = 0",
+    "IKE-003": "SELECT capture, peer AS subject, 'Pre-shared key authentication (PRE_SHARED_KEY)' AS title, 'medium' AS severity FROM v_str WHERE v1 AND k % 2 = 0",
+    "IKE-004": """SELECT s.capture, s.peer AS subject, CASE WHEN p.name IS NOT NULL THEN 'Prohibited IKE encryption algorithm: ' ELSE 'Undersized key length: ' END || n.label AS title,
+      CASE WHEN p.name IS NOT NULL THEN 'critical' ELSE 'high' END AS severity FROM v_str s JOIN v_neg n ON n.sid = s.sid AND n.type_id = 1
+      LEFT JOIN d_policy p ON p.kind = 'ENCR' AND p.name = n.name WHERE p.name IS NOT NULL OR n.key_length < 128""",
+    "IKE-005": """SELECT s.capture, s.peer AS subject, CASE p.verdict WHEN 'prohibited' THEN 'Prohibited ' ELSE 'Deprecated ' END || CASE p.kind WHEN 'PRF' THEN 'PRF: ' ELSE 'integrity algorithm: ' END || n.name AS title,
+      CASE WHEN p.verdict = 'prohibited' THEN 'high' WHEN p.kind = 'PRF' THEN 'low' ELSE 'medium' END AS severity
+      FROM v_str s JOIN v_neg n ON n.sid = s.sid JOIN d_policy p ON p.name = n.name AND ((n.type_id = 3 AND p.kind = 'INTEG') OR (n.type_id = 2 AND p.kind = 'PRF'))""",
+    "IKE-006": """SELECT s.capture, s.peer AS subject, CASE p.verdict WHEN 'prohibited' THEN 'Prohibited' ELSE 'Deprecated' END || ' Diffie-Hellman group ' || n.value_id || ' (' || d.gname || ')' AS title,
+      CASE p.verdict WHEN 'prohibited' THEN 'critical' ELSE 'high' END AS severity
+      FROM v_str s JOIN (SELECT DISTINCT sid, value_id FROM v_neg WHERE type_id = 4) n ON n.sid = s.sid JOIN d_policy p ON p.kind = 'DH' AND p.name = n.value_id::VARCHAR JOIN d_dh d ON d.gid = n.value_id""",
+    "IKE-007": """SELECT s.capture, s.peer AS subject, 'No quantum-resistant key establishment' AS title, 'medium' AS severity FROM v_str s
+      WHERE NOT (s.confirmed AND s.k % 19 = 0) AND NOT EXISTS (SELECT 1 FROM v_neg n WHERE n.sid = s.sid AND s.confirmed AND (n.type_id = 4 OR n.type_id >= 6) AND n.value_id IN (35, 36, 37))""",
+    "IKE-008": """SELECT s.capture, s.peer AS subject, 'Broken transforms remain in the proposal set' AS title, 'medium' AS severity FROM v_str s WHERE s.sid IN (
+      SELECT o.sid FROM v_offer o JOIN d_policy p ON p.verdict = 'prohibited' AND ((p.kind = 'ENCR' AND o.type_id = 1 AND p.name = o.name) OR (p.kind = 'INTEG' AND o.type_id = 3 AND p.name = o.name) OR (p.kind = 'DH' AND o.type_id = 4 AND p.name = o.value_id::VARCHAR))
+      LEFT JOIN v_neg n ON n.sid = o.sid AND n.label = o.name || CASE WHEN o.key_length > 0 THEN '-' || o.key_length ELSE '' END WHERE o.type_id = 4 OR n.sid IS NULL)""",
+    "IKE-009": """SELECT s.capture, s.peer AS subject, 'Excessive SA lifetime (' || printf('%.1f', l.lifetime / 3600e0) || ' hours)' AS title, 'medium' AS severity
+      FROM v_str s JOIN v_life l ON l.sid = s.sid WHERE l.lifetime > 86400""",
+    "IKE-010": "SELECT capture, peer AS subject, 'Repeated negotiation failures observed' AS title, 'medium' AS severity FROM v_str WHERE sid IN (SELECT sid FROM v_notify WHERE notify = 'NO_PROPOSAL_CHOSEN')",
+    "IKE-011": "SELECT capture, peer AS subject, 'IKEv2 fragmentation not negotiated' AS title, 'low' AS severity FROM v_str WHERE NOT v1 AND sid NOT IN (SELECT sid FROM v_notify WHERE notify = 'IKEV2_FRAGMENTATION_SUPPORTED')",
+    "IKE-012": "SELECT capture, peer AS subject, 'Association provides only ' || classical_bits || '-bit security' AS title, CASE WHEN classical_bits < 80 THEN 'critical' ELSE 'high' END AS severity FROM v_str WHERE classical_bits < 112",
+    "IKE-013": """SELECT capture, peer AS subject, '64-bit block cipher ' || CASE WHEN exceeds THEN 'already exceeds' WHEN ratio > 0.1 THEN 'approaches' ELSE 'remains below' END || ' the Sweet32 birthday bound' AS title,
+      CASE WHEN exceeds THEN 'critical' WHEN ratio > 0.1 THEN 'high' ELSE 'medium' END AS severity FROM v_sweet""",
+    "IKE-014": """SELECT s.capture, s.peer AS subject, 'Additional key exchange negotiated but not observed' AS title, 'info' AS severity FROM v_str s
+      WHERE s.confirmed AND EXISTS (SELECT 1 FROM v_neg n WHERE n.sid = s.sid AND n.type_id >= 6 AND n.value_id <> 0) AND NOT EXISTS (SELECT 1 FROM v_msg m WHERE m.sid = s.sid AND m.exchange = 'IKE_INTERMEDIATE')""",
+    "IKE-015": """SELECT capture, arg_min(subject, frame) AS subject, 'Key exchange public value reused across IKE SAs' AS title, 'medium' AS severity FROM (
+      SELECT m.capture, m.src, m.ke_digest, m.sid, m.frame, m.a || ' <-> ' || m.b AS subject, m.pa, m.pb, count(DISTINCT m.sid) OVER (PARTITION BY m.capture, m.src, m.ke_digest) AS n
+      FROM v_msg m WHERE m.ke_digest IS NOT NULL) WHERE n >= 2 GROUP BY capture, src, ke_digest, pa, pb""",
+    "IKE-016": """SELECT capture, arg_min(subject, frame) AS subject, 'Nonce reused across IKE SAs' AS title, 'high' AS severity FROM (
+      SELECT m.capture, m.nonce_digest, m.sid, m.frame, m.a || ' <-> ' || m.b AS subject, m.pa, m.pb, count(DISTINCT m.sid) OVER (PARTITION BY m.capture, m.nonce_digest) AS n
+      FROM v_msg m WHERE m.nonce_digest IS NOT NULL) WHERE n >= 2 GROUP BY capture, nonce_digest, pa, pb
+      UNION ALL SELECT capture, peer AS subject, 'Nonce shorter than 128 bits' AS title, 'high' AS severity FROM v_str WHERE NOT v1 AND k % 17 = 0""",
+    "ESP-001": """SELECT t.capture, t.flow AS subject, 'ESP tunnel using ' || t.class AS title, CASE c.verdict WHEN 'prohibited' THEN 'critical' ELSE 'medium' END AS severity
+      FROM v_top t JOIN d_class c ON c.class = t.class WHERE c.verdict <> 'acceptable' AND t.confidence >= 0.35e0""",
+    "ESP-002": "SELECT capture, flow AS subject, 'ESP payload entropy below the ciphertext floor' AS title, 'high' AS severity FROM v_flows WHERE entropy_samples >= 12 AND mean_entropy < 7.0e0",
+    "ESP-003": """SELECT f.capture, f.flow AS subject, 'Anti-replay sequence discontinuities' AS title, 'low' AS severity FROM v_flows f JOIN (
+      SELECT capture, src, dst, spi, sum(CASE WHEN seq <> prev + 1 THEN 1 ELSE 0 END) AS gaps FROM (SELECT *, lag(seq) OVER (PARTITION BY capture, src, dst, spi ORDER BY frame) AS prev FROM v_packets_seq) GROUP BY ALL) g
+      ON g.capture = f.capture AND g.src = f.src AND g.dst = f.dst AND g.spi = f.spi WHERE f.packets >= 50 AND g.gaps >= f.packets * 0.02e0""",
+    "ESP-004": "SELECT capture, flow AS subject, 'Insufficient sample for reliable inference' AS title, 'info' AS severity FROM v_flows WHERE packets < 60",
+}
+cte("v_findings", " UNION ALL ".join(
+    f"SELECT capture, '{r}' AS rule_id, title, severity, subject, {str(r.startswith('ESP')).lower()} AS inferred FROM ({s})" for r, s in RULE_SQL.items()))
+cte("v_flink", """
+SELECT *, CASE WHEN rule_id LIKE 'ESP%' THEN split_part(subject, '->', 1) || '~' || split_part(split_part(subject, '->', 2), ':', 1)
+  WHEN subject LIKE '10.1.%' THEN split_part(subject, ' <-> ', 1) || '~' || split_part(subject, ' <-> ', 2)
+  ELSE split_part(subject, ' <-> ', 2) || '~' || split_part(subject, ' <-> ', 1) END AS link FROM v_findings
+""")
+cte("v_captures", "SELECT DISTINCT capture FROM v_sa UNION SELECT DISTINCT capture FROM v_packets")
+cte("v_posture", """
+SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'E' END AS grade FROM (
+SELECT capture, coalesce(sum((severity = 'critical')::INT), 0)::BIGINT AS critical, coalesce(sum((severity = 'high')::INT), 0)::BIGINT AS high,
+  coalesce(sum((severity = 'medium')::INT), 0)::BIGINT AS medium, coalesce(sum((severity = 'low')::INT), 0)::BIGINT AS low,
+  coalesce(sum((severity = 'info')::INT), 0)::BIGINT AS info, count(severity) AS findings, round(100 * exp(-coalesce(any_value(pen), 0) / 75e0))::INT AS score
+FROM v_captures LEFT JOIN v_findings USING (capture) LEFT JOIN (
+  SELECT capture, sum(weight * least(1 + (n - 1) / 3e0, 3e0)) AS pen FROM (SELECT capture, severity, count(*) AS n FROM v_findings GROUP BY ALL) JOIN d_severity USING (severity) GROUP BY capture) p USING (capture)
+GROUP BY capture)
+""")
+cte("v_links", """
+SELECT capture, link, sum(s)::BIGINT AS sessions, sum(t)::BIGINT AS tunnels, min(w) AS w FROM (
+ SELECT capture, pa || '~' || pb AS link, 1 AS s, 0 AS t, struct_pack(c := classical_bits, q := quantum_bits, f := kex_family, h := parts > 1) AS w FROM v_str
+ UNION ALL SELECT capture, src || '~' || dst, 0, 1, NULL FROM v_flows) GROUP BY capture, link
+""")
+cte("v_link_view", """
+SELECT l.*, coalesce(f.findings, 0) AS findings, f.rnk, l.w.c AS classical_bits, l.w.q AS quantum_bits, CASE f.rnk WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'info' END AS worst_severity
+FROM v_links l LEFT JOIN (SELECT capture, link, count(*) AS findings, min(rnk) AS rnk FROM v_flink JOIN d_severity USING (severity) GROUP BY ALL) f USING (capture, link)
+""")
