@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def hex_at(data: Column, pos: Column | int, n: int) -> Column:
@@ -57,7 +57,7 @@ def address_key(addr: Column) -> Column:
         v4.alias("v4"), F.coalesce(v6, F.when(is4, "").otherwise(addr)).alias("text"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def byte_entropy(data: pd.Series) -> pd.Series:
     """Shannon bits per byte with the Miller-Madow correction, at most 8; 0 for no bytes.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import registries as R
 from ..functions.net import label, link_id
 from .packets import pinned
-from .sessions import ALARMS, SA, offered_transforms, sessions
+from .sessions import ALARMS, SA, offered_transforms, session_peers, sessions
 from .strength import attribute_volume, session_strength, sweet32
 
 SESSION_RULES: dict[str, Callable[[R.Policy], Column]] = {}
@@ -321,7 +321,7 @@ def audit(messages: DataFrame | None, flows: DataFrame | None, classified: DataF
         if wanted & set(SESSION_RULES):
             parts.append(_apply(prepare_sessions(messages, flows, policy), SESSION_RULES, policy, wanted))
         if wanted & set(CAPTURE_RULES):
-            base = sessions(messages, policy)
+            base = session_peers(messages)
             parts += [fn(messages, base) for rid, fn in CAPTURE_RULES.items() if rid in wanted]
     if classified is not None and wanted & set(FLOW_RULES):
         parts.append(_apply(prepare_flows(classified, gaps), FLOW_RULES, policy, wanted))

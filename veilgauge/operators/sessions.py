@@ -1,8 +1,9 @@
 """IKE messages to sessions (one per initiator SPI and capture).
 
-Aggregation runs in two steps, first per (session, exchange, message id) and
-then per session, with mergeable aggregates only. A flood of messages on one
-SPI is therefore combined map-side and never collected into a list.
+Two passes by the same key meet in a join without another exchange: a wide one
+with mergeable "value of the earliest message" aggregates and flags, and a slim
+one that counts exchanges and resent messages from distinct fingerprints. A
+flood of messages on one SPI is combined map-side and never becomes a list.
 """
 
 from __future__ import annotations
@@ -46,39 +47,26 @@ def sessions(messages: DataFrame, policy: R.Policy = R.BASELINE_POLICY) -> DataF
     earliest = {
         "first": (F.struct("version", "src", "dst"), F.lit(True), F.col("frame")),
         "rspi": (F.col("responder_spi"), F.col("responder_spi") != ZERO_SPI, F.col("frame")),
-        "selected": (F.col("_tr"), has_tr & F.col("is_response"), F.col("_o")),
-        "offered": (F.col("_tr"), has_tr, F.col("_o")),
+        # responses sort first: the selection when one was seen, else the earliest offer
+        "transforms": (F.col("_tr"), has_tr, F.struct(~F.col("is_response"), "ts_us", "frame")),
         "family": (F.col("_fam"), F.col("_fam").isNotNull(), F.col("_o")),
         "weak_auth": (F.col("auth_method"), F.col("auth_method").isin(*policy.weak_auth), F.col("_o")),
         "long_life": (F.col("lifetime_seconds"), F.col("lifetime_seconds") > policy.max_ike_lifetime, F.col("_o")),
         "lifetime": (F.col("lifetime_seconds"), F.col("lifetime_seconds") > 0, F.col("_o")),
     }
     flags = {
+        "confirmed": has_tr & F.col("is_response"),
         "aggressive": F.contains(F.col("exchange"), F.lit("Aggressive")),
         "ppk": notified("USE_PPK") & F.col("is_response"),
         "fragmentation": notified("IKEV2_FRAGMENTATION_SUPPORTED"),
         "short_nonce": F.coalesce(F.col("nonce_len") < 16, F.lit(False)),
         **{f"alarm_{i}": notified(n) for i, n in enumerate(ALARMS)},
     }
-    aggs = [F.count(F.lit(1)).alias("n"), F.max("is_response").alias("resp"), F.max(~F.col("is_response")).alias("req"),
-            F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.bit_or("_bit").alias("group_mask"),
+    aggs = [F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.bit_or("_bit").alias("group_mask"),
             F.sum(F.size("parse_errors")).alias("parse_errors")]
-    for name, (value, cond, by) in earliest.items():
-        by = F.when(cond, by)
-        aggs += [F.min_by(value, by).alias(name), F.min(by).alias(f"{name}_o")]
+    aggs += [F.min_by(value, F.when(cond, by)).alias(name) for name, (value, cond, by) in earliest.items()]
     aggs += [F.max(c).alias(n) for n, c in flags.items()]
-    per_exchange = m.groupBy(*SA, "exchange", "message_id").agg(*aggs)
-
-    def exchanges(name):
-        return F.sum(F.when(F.col("exchange") == name, 1).otherwise(0))
-
-    s = per_exchange.groupBy(*SA).agg(
-        F.sum("n").alias("messages"),
-        (F.sum("n") - F.sum(F.col("resp").cast("int") + F.col("req").cast("int"))).alias("retransmissions"),
-        exchanges("IKE_INTERMEDIATE").alias("intermediate_exchanges"), exchanges("IKE_FOLLOWUP_KE").alias("followup_exchanges"),
-        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.bit_or("group_mask").alias("group_mask"),
-        F.sum("parse_errors").alias("parse_errors"),
-        *[F.min_by(n, f"{n}_o").alias(n) for n in earliest], *[F.max(n).alias(n) for n in flags])
+    s = m.groupBy(*SA).agg(*aggs).join(message_counts(messages), SA)
     seen_groups = F.filter(F.array(*[
         F.when(F.col("group_mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(g)) for g, i in watched.items()]),
         lambda g: g.isNotNull())
@@ -86,12 +74,38 @@ def sessions(messages: DataFrame, policy: R.Policy = R.BASELINE_POLICY) -> DataF
         *SA, F.col("first.version").alias("version"), F.col("first.src").alias("peer_a"), F.col("first.dst").alias("peer_b"),
         F.concat_ws(" <-> ", F.col("first.src"), F.col("first.dst")).alias("subject"),
         F.coalesce("rspi", F.lit(ZERO_SPI)).alias("responder_spi"), "messages", "retransmissions", "intermediate_exchanges",
-        "followup_exchanges", "first_us", "last_us", "parse_errors", F.col("selected").isNotNull().alias("confirmed"), "selected",
-        F.coalesce("selected", "offered").alias("transforms"), seen_groups.alias("ke_groups"),
+        "followup_exchanges", "first_us", "last_us", "parse_errors", "confirmed", F.when(F.col("confirmed"), F.col("transforms")).alias("selected"), "transforms", seen_groups.alias("ke_groups"),
         F.coalesce("family", F.lit("generic")).alias("vendor_family"), "weak_auth", "long_life", "lifetime",
         "aggressive", "ppk", "fragmentation", "short_nonce", *[f"alarm_{i}" for i in range(len(ALARMS))])
 
 
+def message_counts(messages: DataFrame) -> DataFrame:
+    """Messages, resent messages and exchanges per session.
+
+    A message is resent when (message id, direction, exchange) was seen before.
+    """
+    m = messages.withColumnRenamed("initiator_spi", "sid")
+    # request and response of one message id are one exchange
+    ids = m.groupBy(*SA, "exchange", "message_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.max(F.col("is_response").cast("int")) + F.max((~F.col("is_response")).cast("int"))).alias("directions"))
+
+    def exchanges(name):
+        return F.sum(F.when(F.col("exchange") == name, 1).otherwise(0))
+
+    return ids.groupBy(*SA).agg(
+        F.sum("n").alias("messages"), (F.sum("n") - F.sum("directions")).alias("retransmissions"),
+        exchanges("IKE_INTERMEDIATE").alias("intermediate_exchanges"), exchanges("IKE_FOLLOWUP_KE").alias("followup_exchanges"))
+
+
+def session_peers(messages: DataFrame) -> DataFrame:
+    """Only the two peers of each session, from its first message."""
+    first = messages.groupBy("capture", F.col("initiator_spi").alias("sid")).agg(
+        F.min_by(F.struct("src", "dst"), "frame").alias("f"))
+    return first.select(*SA, F.col("f.src").alias("peer_a"), F.col("f.dst").alias("peer_b"),
+                        F.concat_ws(" <-> ", "f.src", "f.dst").alias("subject"))
+
+
 def exploded(sessions_df: DataFrame, col: str = "transforms") -> DataFrame:
     """Long form of the negotiated transforms, in proposal order."""
     return sessions_df.select(*SA, "subject", "confirmed", F.posexplode(col).alias("ord", "t")).select(
