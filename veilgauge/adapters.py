@@ -53,7 +53,7 @@ def esp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('10.0.0.', host) AS src", "concat('203.0.113.', 10 + sno) AS dst",
         "cast(4096 + host * 8 + sno AS bigint) AS spi", "length",
         "CASE WHEN length >= 256 THEN CASE WHEN sno = 5 THEN 5.62D "
-        "ELSE 7.83D + (event_id % 17 - 8) * 0.01D END END AS entropy",
+        "ELSE 7.83D + (event_id % 17 - 8) / 97D END END AS entropy",
         "host % 4 = 1 AS encapsulated", f"{TRUTH} AS truth",
         "CASE WHEN host % 3 = 0 THEN 'tunnel' ELSE 'transport' END AS mode",
         "host % 5 AS loss", "host % 2 = 0 AS tfc")

@@ -53,7 +53,7 @@ cte("v_packets", """
 SELECT 'site-' || lpad(host::VARCHAR, 2, '0') || '-' || lpad(sno::VARCHAR, 2, '0') AS capture, frame, ts_us,
   '10.0.0.' || host AS src, '203.0.113.' || (10 + sno) AS dst, 4096 + host * 8 + sno AS spi,
   length, CASE WHEN length >= 256 THEN CASE WHEN sno = 5 THEN 5.62e0
-    ELSE 7.83e0 + (frame % 17 - 8) * 0.01e0 END END AS entropy,
+    ELSE 7.83e0 + (frame % 17 - 8) / 97e0 END END AS entropy,
   (host % 4 = 1) AS encapsulated,
   CASE sno WHEN 1 THEN '3DES-CBC / HMAC-MD5-96' WHEN 2 THEN 'AES-CBC-128 / HMAC-SHA1-96'
     WHEN 3 THEN 'AES-CBC-256 / HMAC-SHA2-256-128' WHEN 4 THEN 'AES-GCM-256 (ICV 16)'
@@ -304,3 +304,52 @@ cte("v_link_view", """
 SELECT l.*, coalesce(f.findings, 0) AS findings, f.rnk, l.w.c AS classical_bits, l.w.q AS quantum_bits, CASE f.rnk WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'info' END AS worst_severity
 FROM v_links l LEFT JOIN (SELECT capture, link, count(*) AS findings, min(rnk) AS rnk FROM v_flink JOIN d_severity USING (severity) GROUP BY ALL) f USING (capture, link)
 """)
+
+# --- fleet ----------------------------------------------------------------------------------
+cte("v_obs", """
+SELECT s.sid AS id, s.k, s.peer_key, s.first_us AS observed_us, s.capture, s.version AS ike_version, f.vendor_family, s.classical_bits, s.quantum_bits,
+  t.transforms, row_number() OVER (PARTITION BY s.peer_key ORDER BY s.first_us, s.sid) AS rn
+FROM v_str s JOIN v_family f ON f.sid = s.sid JOIN (SELECT sid, string_agg(label, ',' ORDER BY label) AS transforms FROM v_neg GROUP BY sid) t ON t.sid = s.sid WHERE s.confirmed
+""")
+cte("v_seen", """
+SELECT o.*, (SELECT count(*) FROM v_obs p WHERE p.peer_key = o.peer_key AND p.rn <= o.rn AND p.classical_bits >= o.classical_bits) AS seen FROM v_obs o
+""")
+cte("v_verdict", """
+SELECT *, CASE WHEN base IS NULL THEN 'new' WHEN classical_bits = base.bits AND quantum_bits < base.q THEN 'downgrade-quantum' WHEN classical_bits = base.bits THEN 'steady'
+  WHEN classical_bits < base.bits THEN 'downgrade' WHEN seen >= 2 THEN 'improvement' ELSE 'unconfirmed' END AS verdict FROM (
+SELECT o.*, (SELECT max(struct_pack(bits := p.classical_bits, o := -p.rn, q := p.quantum_bits, t := p.transforms)) FROM v_seen p
+   WHERE p.peer_key = o.peer_key AND p.rn < o.rn AND (p.rn = 1 OR p.seen >= 2)) AS base FROM v_seen o)
+""")
+cte("v_base", """
+SELECT peer_key, best.bits AS best_classical_bits, best.q AS best_quantum_bits, best.t AS best_transforms, best.id AS best_observation_id, observations, first_seen_us FROM (
+SELECT peer_key, max(CASE WHEN rn = 1 OR seen >= 2 THEN struct_pack(bits := classical_bits, o := -rn, q := quantum_bits, t := transforms, id := id) END) AS best,
+  count(*) AS observations, min(observed_us) AS first_seen_us FROM v_seen GROUP BY peer_key)
+""")
+cte("v_fleet", """
+SELECT b.peer_key, b.best_classical_bits, b.best_quantum_bits, b.first_seen_us, b.observations, o.classical_bits AS current_bits, o.quantum_bits AS current_quantum,
+  o.observed_us AS last_seen_us, o.transforms AS current_transforms, o.vendor_family, o.ike_version, o.classical_bits < b.best_classical_bits AS degraded
+FROM v_base b JOIN v_obs o ON o.peer_key = b.peer_key AND o.rn = b.observations
+""")
+cte("v_exposure", """
+SELECT s.capture, s.sid, s.k, s.peer AS subject, s.classical_bits, s.quantum_bits, s.kex_family, s.quantum_bits >= 128 AS quantum_safe, s.kex_quantum_bits, v.observed_bytes,
+  CASE WHEN v.observed_seconds > 0 THEN round(v.observed_bytes * 8 / 1e6 / v.observed_seconds, 2) ELSE 0e0 END AS harvest_rate_mbps,
+  CASE WHEN s.quantum_bits >= 128 THEN 0e0 ELSE round((1 + sqrt(v.observed_bytes / 1e9)) * greatest(1e0, 128e0 / greatest(s.classical_bits, 8)) * 1.1e0, 2) END AS exposure_index,
+  CASE WHEN s.quantum_bits >= 128 THEN 'safe' WHEN s.raw_kex_q > s.kex_quantum_bits THEN 'offer not confirmed' WHEN s.kex_quantum_bits >= 128 THEN 'cipher is the limit' ELSE 'classical key exchange' END AS why
+FROM v_str s JOIN v_volume v ON v.sid = s.sid
+""")
+cte("v_algs", """
+SELECT capture, label, peer AS subject, arg_min(struct_pack(t := type_id, tn := type_name, v := value_id, f := vendor_family), struct_pack(s := sid, o := ord)) AS x
+FROM (SELECT n.*, s.peer, f.vendor_family FROM v_neg n JOIN v_str s ON s.sid = n.sid JOIN v_family f ON f.sid = n.sid WHERE NOT (n.type_id >= 6 AND n.value_id = 0)) GROUP BY capture, label, peer
+""")
+cte("v_pairs", """
+SELECT DISTINCT capture, substr(capture, 1, 8) || (substr(capture, 9, 2)::INT // 2) AS pair, substr(capture, 9, 2)::INT % 2 = 0 AS is_a FROM v_captures
+""")
+cte("v_suite_info", """
+SELECT c.capture, c.pair, c.is_a, x.version, x.cipher, x.prf, x.dh_group, x.dh_id, coalesce(f.class, 'None observed') AS esp, coalesce(e.exposed, 0) AS exposed FROM v_pairs c
+JOIN (SELECT s.capture, s.version, max(CASE WHEN n.type_id = 1 THEN n.label END) AS cipher, max(CASE WHEN n.type_id = 2 THEN n.name END) AS prf,
+   string_agg(CASE WHEN n.type_id = 4 AND n.ord < 10 OR n.type_id >= 6 AND n.value_id <> 0 THEN n.name END, ' + ' ORDER BY n.ord) AS dh_group,
+   max(CASE WHEN n.type_id = 4 AND n.ord < 10 THEN n.value_id END) AS dh_id
+  FROM v_str s JOIN (SELECT * FROM v_neg WHERE type_id >= 4 OR ord < 10) n ON n.sid = s.sid WHERE s.sid IN (SELECT min(sid) FROM v_sa GROUP BY capture) GROUP BY s.capture, s.version) x ON x.capture = c.capture
+LEFT JOIN (SELECT capture, arg_max(class, struct_pack(p := packets, f := flow)) AS class FROM v_top GROUP BY capture) f ON f.capture = c.capture
+LEFT JOIN (SELECT capture, sum((NOT quantum_safe)::INT)::BIGINT AS exposed FROM v_exposure GROUP BY capture) e ON e.capture = c.capture
+""")

@@ -8,6 +8,7 @@ from .. import adapters as A
 from ..operators import flows as FL, framing as FR, packets as P
 from ..functions import framing as FF
 from .catalog import query
+from .stage import staged
 
 FLOW_ORDER = "capture, src, dst, spi"
 
@@ -251,8 +252,12 @@ def _(spark, d):
 
 
 # --- framing -------------------------------------------------------------------------
+def _flows(spark, d):
+    return staged(spark, d, "flows", lambda: FL.esp_flows(A.esp_packets(spark, d)))
+
+
 def _trace(spark, d):
-    return FR.framing_trace(FL.esp_flows(A.esp_packets(spark, d)))
+    return FR.framing_trace(_flows(spark, d))
 
 
 @query("framing_trace", """
@@ -349,6 +354,10 @@ def _(spark, d):
 
 
 def flow_classes(spark, d):
+    return staged(spark, d, "flow_classes", lambda: _flow_classes(spark, d))
+
+
+def _flow_classes(spark, d):
     return FR.classify_flows(FR.mask_probabilities(_trace(spark, d)))
 
 

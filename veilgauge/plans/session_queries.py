@@ -8,25 +8,33 @@ from .. import adapters as A, registries as R
 from ..operators import flows as FL, posture as PO, rules as RU, sessions as S, strength as ST
 from .catalog import query
 from .ctes import RULE_SQL
+from .stage import staged
+
+
+def messages(spark, d):
+    return staged(spark, d, "ike_messages", lambda: A.ike_messages(spark, d))
 
 
 def sess(spark, d):
-    return S.sessions(A.ike_messages(spark, d))
+    return S.sessions(messages(spark, d))
 
 
 def strong(spark, d):
-    return ST.session_strength(sess(spark, d))
+    return staged(spark, d, "sessions", lambda: ST.session_strength(sess(spark, d)))
 
 
 def flow_volumes(spark, d):
-    return FL.esp_flows(A.esp_packets(spark, d))
+    return staged(spark, d, "flows", lambda: FL.esp_flows(A.esp_packets(spark, d)))
 
 
 def findings(spark, d, **kw):
     from .flow_queries import flow_classes
 
-    packets = A.esp_packets_seq(spark, d)
-    return RU.audit(A.ike_messages(spark, d), flow_volumes(spark, d), flow_classes(spark, d), FL.sequence_gaps(packets), **kw)
+    def build():
+        packets = A.esp_packets_seq(spark, d)
+        return RU.audit(messages(spark, d), flow_volumes(spark, d), flow_classes(spark, d), FL.sequence_gaps(packets), **kw)
+
+    return build() if kw else staged(spark, d, "findings", build)
 
 
 # --- sessions -------------------------------------------------------------------
@@ -64,7 +72,7 @@ SELECT capture, sid, kind, value, row_number() OVER (PARTITION BY sid, kind ORDE
  SELECT capture, sid, 'vendor_id' AS kind, vendor AS value, min(frame) AS frame, min(ord) AS ord FROM v_vendor GROUP BY ALL
  UNION ALL SELECT capture, sid, 'notify', notify, min(frame), min(ord) FROM v_notify GROUP BY capture, sid, notify)""")
 def _(spark, d):
-    return S.session_lists(A.ike_messages(spark, d))
+    return S.session_lists(messages(spark, d))
 
 
 @query("sa_key_exchange", """
@@ -164,7 +172,7 @@ def _rule(rule_id):
             out = RU.audit(None, None, flow_classes(spark, d), gaps, only=[rule_id])
         else:
             flows = flow_volumes(spark, d) if rule_id == "IKE-013" else None
-            out = RU.audit(A.ike_messages(spark, d), flows, only=[rule_id])
+            out = RU.audit(messages(spark, d), flows, only=[rule_id])
         return out.select("capture", "subject", "title", "severity")
 
 
@@ -175,7 +183,7 @@ for _id in RULE_SQL:
 @query("ke_reuse", """
 SELECT capture, src AS sender, ke_digest, count(DISTINCT sid) AS sas FROM v_msg WHERE ke_digest IS NOT NULL GROUP BY capture, src, ke_digest HAVING count(DISTINCT sid) >= 2""")
 def _(spark, d):
-    m = A.ike_messages(spark, d).where("ke_digest IS NOT NULL")
+    m = messages(spark, d).where("ke_digest IS NOT NULL")
     per = m.groupBy("capture", "src", "ke_digest", "initiator_spi").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("capture", F.col("src").alias("sender"), "ke_digest").agg(F.count(F.lit(1)).alias("sas")).where("sas >= 2")
 
@@ -183,7 +191,7 @@ def _(spark, d):
 @query("nonce_reuse", """
 SELECT capture, nonce_digest, count(DISTINCT sid) AS sas, count(DISTINCT src) AS senders FROM v_msg WHERE nonce_digest IS NOT NULL GROUP BY capture, nonce_digest HAVING count(DISTINCT sid) >= 2""")
 def _(spark, d):
-    m = A.ike_messages(spark, d).where("nonce_digest IS NOT NULL")
+    m = messages(spark, d).where("nonce_digest IS NOT NULL")
     return m.groupBy("capture", "nonce_digest").agg(
         F.count_distinct("initiator_spi").alias("sas"), F.count_distinct("src").alias("senders")).where("sas >= 2")
 
@@ -192,7 +200,7 @@ def _(spark, d):
 SELECT DISTINCT o.capture, o.sid, o.name FROM v_offer o JOIN d_policy p ON p.verdict = 'prohibited' AND ((p.kind = 'ENCR' AND o.type_id = 1) OR (p.kind = 'INTEG' AND o.type_id = 3)) AND p.name = o.name
 WHERE NOT EXISTS (SELECT 1 FROM v_neg n WHERE n.sid = o.sid AND n.name = o.name)""")
 def _(spark, d):
-    m = A.ike_messages(spark, d)
+    m = messages(spark, d)
     p = R.BASELINE_POLICY
     weak = S.offered_transforms(m).where(
         ((F.col("type_id") == 1) & F.col("name").isin(*p.encr_prohibited)) | ((F.col("type_id") == 3) & F.col("name").isin(*p.integ_prohibited)))
@@ -254,7 +262,7 @@ def _(spark, d):
 
 
 def captures(spark, d):
-    return A.ike_messages(spark, d).select("capture").union(A.esp_packets(spark, d).select("capture")).distinct()
+    return messages(spark, d).select("capture").union(A.esp_packets(spark, d).select("capture")).distinct()
 
 
 @query("posture_score", "SELECT capture, critical, high, medium, low, info, score, grade FROM v_posture")
@@ -302,7 +310,7 @@ def _(spark, d):
 
 
 def link_rows(spark, d):
-    return PO.links(strong(spark, d), flow_volumes(spark, d), findings(spark, d))
+    return staged(spark, d, "links", lambda: PO.links(strong(spark, d), flow_volumes(spark, d), findings(spark, d)))
 
 
 @query("link_build", "SELECT capture, link, sessions, tunnels, tunnels > 1 AS pooled FROM v_links")
