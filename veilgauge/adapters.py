@@ -196,3 +196,47 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         "capture", "frame", "ts_us", "linktype",
         "unhex(concat(repeat('02', 12), CASE WHEN frame % 3 = 0 THEN '81000064' ELSE '' END, '0800', '4500',"
         " lpad(hex(20 + length(body) div 2), 4, '0'), '00004000', '40', lpad(hex(protocol), 2, '0'), '0000', s4, d4, body)) AS frame_bytes")
+
+
+# --- hosts ------------------------------------------------------------------------
+def wifi_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part -> networks in range, forty per host."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey div 40 AS host", "CASE WHEN p_brand = 'Brand#1' THEN '' ELSE p_brand END AS ssid",
+        "lower(lpad(hex(p_partkey), 12, '0')) AS bssid", "p_size * 2 AS signal_percent",
+        "cast(CASE WHEN p_partkey % 2 = 0 THEN 1 + p_partkey % 11 ELSE 36 + 4 * (p_partkey % 8) END AS int) AS channel",
+        "CASE WHEN p_partkey % 2 = 0 THEN '2.4 GHz' ELSE '5 GHz' END AS band",
+        "CASE p_type WHEN 'ECONOMY' THEN 'Open' WHEN 'SMALL' THEN 'WEP' WHEN 'STANDARD' THEN 'WPA-Personal' WHEN 'MEDIUM' THEN 'WPA2-Personal'"
+        " WHEN 'LARGE' THEN 'WPA2-Enterprise' ELSE 'WPA3-Personal' END AS authentication",
+        "CASE p_type WHEN 'ECONOMY' THEN 'None' WHEN 'SMALL' THEN 'WEP' WHEN 'STANDARD' THEN 'TKIP' ELSE 'CCMP' END AS encryption")
+
+
+def wifi_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each host's own interface: its strongest network; every seventh host is offline."""
+    s = wifi_scan(spark, sf_dir).groupBy("host").agg(F.max_by(
+        F.struct("ssid", "bssid", "signal_percent", "channel", "band", "authentication", "encryption"),
+        F.struct("signal_percent", "bssid")).alias("n"))
+    return s.selectExpr(
+        "host", "CASE WHEN host % 7 = 3 THEN 'disconnected' ELSE 'connected' END AS state", "n.ssid", "n.bssid", "n.signal_percent",
+        "n.channel", "n.band", "n.authentication", "n.encryption AS cipher",
+        "CASE host % 3 WHEN 0 THEN array('192.168.1.1') WHEN 1 THEN array('1.1.1.1') ELSE array('198.41.0.4') END AS dns_servers")
+
+
+ADAPTER_NAMES = [
+    "Wi-Fi|Intel Wireless-AC", "wg0|WireGuard Tunnel", "Ethernet|Intel Gigabit Ethernet", "lo|Loopback Interface", "tap0|TAP-Windows Adapter V9",
+    "corp|Cisco AnyConnect", "WAN Miniport|WAN Miniport (IKEv2)", "Ethernet 2|Realtek PCIe GbE Family", "office|My VPN wireless", "proton0|ProTUN",
+    "ts0|Tailscale", "eth1|USB Ethernet"]
+
+
+def vpn_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """supplier -> hosts, adapters (three per host), routes and resolvers."""
+    picks = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(ADAPTER_NAMES))
+    a = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey", "s_suppkey div 3 AS host", "s_suppkey % 3 AS idx", f"CASE (s_suppkey * 7 + s_nationkey) % 12 {picks} END AS both").selectExpr(
+        "s_suppkey", "host", "idx", "split(both, '[|]')[0] AS name", "split(both, '[|]')[1] AS description", "10 + s_suppkey % 5 AS metric",
+        "s_suppkey % 8 <> 7 AS connected")
+    hosts = a.select("host").distinct()
+    routes = a.selectExpr("host", "'0.0.0.0' AS dest", "'0.0.0.0' AS mask", "name AS iface", "metric").where("host % 2 = 0 OR iface = 'Wi-Fi'")
+    dns = a.where("s_suppkey % 4 <> 1").selectExpr("host", "name AS iface", "concat('10.9.', host % 200, '.', idx) AS server").unionByName(
+        hosts.where("host % 5 <> 0").selectExpr("host", "'Wi-Fi' AS iface", "concat('192.0.2.', host % 200) AS server"))
+    return hosts, a.drop("s_suppkey"), routes, dns

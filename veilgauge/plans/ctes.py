@@ -353,3 +353,52 @@ JOIN (SELECT s.capture, s.version, max(CASE WHEN n.type_id = 1 THEN n.label END)
 LEFT JOIN (SELECT capture, arg_max(class, struct_pack(p := packets, f := flow)) AS class FROM v_top GROUP BY capture) f ON f.capture = c.capture
 LEFT JOIN (SELECT capture, sum((NOT quantum_safe)::INT)::BIGINT AS exposed FROM v_exposure GROUP BY capture) e ON e.capture = c.capture
 """)
+
+# --- hosts ----------------------------------------------------------------------------------
+cte("v_wifi", """
+SELECT *, CASE WHEN upper(authentication) LIKE '%OPEN%' OR encryption = 'None' THEN 0 WHEN authentication = 'WEP' THEN 1 WHEN encryption = 'TKIP' THEN 2 WHEN authentication LIKE 'WPA3%' THEN 4 ELSE 3 END AS rank FROM (
+SELECT p_partkey // 40 AS host, CASE WHEN p_brand = 'Brand#1' THEN '' ELSE p_brand END AS ssid, lower(lpad(to_hex(p_partkey), 12, '0')) AS bssid, p_size * 2 AS signal_percent,
+ CASE WHEN p_partkey % 2 = 0 THEN 1 + p_partkey % 11 ELSE 36 + 4 * (p_partkey % 8) END AS channel, CASE WHEN p_partkey % 2 = 0 THEN '2.4 GHz' ELSE '5 GHz' END AS band,
+ CASE p_type WHEN 'ECONOMY' THEN 'Open' WHEN 'SMALL' THEN 'WEP' WHEN 'STANDARD' THEN 'WPA-Personal' WHEN 'MEDIUM' THEN 'WPA2-Personal' WHEN 'LARGE' THEN 'WPA2-Enterprise' ELSE 'WPA3-Personal' END AS authentication,
+ CASE p_type WHEN 'ECONOMY' THEN 'None' WHEN 'SMALL' THEN 'WEP' WHEN 'STANDARD' THEN 'TKIP' ELSE 'CCMP' END AS encryption FROM part)
+""")
+cte("v_host", """
+SELECT * EXCLUDE (rn), host % 7 <> 3 AS up FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY signal_percent DESC, bssid DESC) AS rn FROM v_wifi) WHERE rn = 1
+""")
+cte("v_ssid", """
+SELECT w.host, lower(w.ssid) AS ssid_key, count(*) AS aps, max(w.rank) AS best, min(w.rank) AS worst, min(w.ssid) AS ssid, sum((w.rank < m.best)::INT)::BIGINT AS weak_aps, bool_or(coalesce(lower(h.ssid) = lower(w.ssid), false)) AS own
+FROM v_wifi w JOIN (SELECT host, lower(ssid) AS k, max(rank) AS best FROM v_wifi GROUP BY ALL) m ON m.host = w.host AND m.k = lower(w.ssid) JOIN v_host h ON h.host = w.host WHERE w.ssid <> '' AND h.up GROUP BY w.host, lower(w.ssid) HAVING count(*) >= 2
+""")
+WIFI_SQL = {
+    "WIFI-000": "SELECT host, 'info' AS severity, 0 AS delta FROM v_host WHERE NOT up",
+    "WIFI-001": "SELECT host, 'critical' AS severity, -60 AS delta FROM v_host WHERE up AND rank = 0",
+    "WIFI-002": "SELECT host, 'critical' AS severity, -50 AS delta FROM v_host WHERE up AND rank = 1",
+    "WIFI-003": "SELECT host, 'high' AS severity, -30 AS delta FROM v_host WHERE up AND rank = 2",
+    "WIFI-004": "SELECT host, 'medium' AS severity, -15 AS delta FROM v_host WHERE up AND rank = 3",
+    "WIFI-005": "SELECT host, 'info' AS severity, 0 AS delta FROM v_host WHERE up AND rank = 4",
+    "WIFI-010": "SELECT host, 'low' AS severity, -5 AS delta FROM v_host WHERE up AND signal_percent < 40",
+    "WIFI-011": "SELECT host, 'info' AS severity, 0 AS delta FROM v_host WHERE up AND band = '2.4 GHz'",
+    "WIFI-020": "SELECT host, CASE WHEN own THEN 'critical' ELSE 'high' END AS severity, CASE WHEN own THEN -35 ELSE 0 END AS delta FROM v_ssid WHERE worst < best",
+    "WIFI-021": "SELECT host, 'info' AS severity, 0 AS delta FROM v_ssid WHERE worst = best AND own",
+    "WIFI-030": "SELECT host, 'medium' AS severity, -5 AS delta FROM v_host WHERE up AND host % 3 = 0",
+    "WIFI-031": "SELECT host, 'low' AS severity, 0 AS delta FROM v_host WHERE up AND host % 3 = 2",
+    "WIFI-040": "SELECT host, 'info' AS severity, 0 AS delta FROM v_host WHERE up",
+}
+cte("v_wifi_findings", " UNION ALL ".join(f"SELECT host, '{r}' AS rule_id, severity, delta FROM ({s})" for r, s in WIFI_SQL.items()))
+from ..adapters import ADAPTER_NAMES  # noqa: E402
+
+cte("d_adapter", values([(i, *n.split("|")) for i, n in enumerate(ADAPTER_NAMES)], "n, name, description"))
+cte("v_adapter", """
+SELECT s_suppkey, s_suppkey // 3 AS host, s_suppkey % 3 AS idx, d.name, d.description, 10 + s_suppkey % 5 AS metric, s_suppkey % 8 <> 7 AS connected,
+ CASE d.n WHEN 1 THEN 'WireGuard' WHEN 4 THEN 'OpenVPN' WHEN 5 THEN 'Cisco AnyConnect' WHEN 6 THEN 'IPsec / IKEv2' WHEN 8 THEN 'Generic VPN' WHEN 9 THEN 'ProtonVPN (WireGuard)' WHEN 10 THEN 'Tailscale' END AS vpn_type
+FROM supplier JOIN d_adapter d ON d.n = (s_suppkey * 7 + s_nationkey) % 12
+""")
+cte("v_vpn", """
+SELECT h.host, t.name, t.vpn_type, t.name IS NOT NULL AS connected, t.name IS NOT NULL AND NOT coalesce(t.has_dns, false) AND (h.host % 5 <> 0 OR w.n > 0) AS dns_leak,
+ coalesce(t.has_dns, false) AS has_dns, t.name IS NOT NULL AND coalesce(r.iface = t.name, false) AS default_route
+FROM (SELECT DISTINCT host FROM v_adapter) h
+LEFT JOIN (SELECT a.*, a.name IN (SELECT name FROM v_adapter x WHERE x.host = a.host AND x.s_suppkey % 4 <> 1) AS has_dns
+  FROM v_adapter a WHERE connected AND vpn_type IS NOT NULL AND idx = (SELECT min(idx) FROM v_adapter b WHERE b.host = a.host AND b.connected AND b.vpn_type IS NOT NULL)) t ON t.host = h.host
+LEFT JOIN (SELECT host, arg_min(name, struct_pack(m := metric, n := name)) AS iface FROM v_adapter WHERE host % 2 = 0 OR name = 'Wi-Fi' GROUP BY host) r ON r.host = h.host
+LEFT JOIN (SELECT host, count(*) AS n FROM v_adapter WHERE name = 'Wi-Fi' AND s_suppkey % 4 <> 1 GROUP BY host) w ON w.host = h.host
+""")
