@@ -240,3 +240,61 @@ def vpn_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     dns = a.where("s_suppkey % 4 <> 1").selectExpr("host", "name AS iface", "concat('10.9.', host % 200, '.', idx) AS server").unionByName(
         hosts.where("host % 5 <> 0").selectExpr("host", "'Wi-Fi' AS iface", "concat('192.0.2.', host % 200) AS server"))
     return hosts, a.drop("s_suppkey"), routes, dns
+
+
+# --- labels, windows, plans ---------------------------------------------------------
+def flow_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return esp_packets(spark, sf_dir).groupBy("capture", "src", "dst", "spi").agg(
+        F.min("truth").alias("truth"), F.min("mode").alias("mode"), F.min("loss").alias("loss"), F.min("tfc").alias("tfc"))
+
+
+def flow_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label entries of three kinds for three quarters of the flows."""
+    f = flow_truth(spark, sf_dir).withColumn("host", F.expr("(spi - 4096) div 8"))
+    wrong = "CASE WHEN host % 8 = 0 THEN 'ChaCha20-Poly1305' ELSE truth END"
+    return f.selectExpr("capture", "explode(filter(array("
+                        f"CASE WHEN host % 4 IN (0, 1) THEN named_struct('idx', 0, 'spi', spi, 'dst', CASE WHEN spi % 2 = 0 THEN dst END, 'peer_a', cast(null AS string), 'peer_b', cast(null AS string), 'suite', {wrong}, 'source', 'gateway') END,"
+                        "CASE WHEN host % 4 IN (1, 2) THEN named_struct('idx', 1, 'spi', cast(null AS bigint), 'dst', cast(null AS string), 'peer_a', dst, 'peer_b', src, 'suite', truth, 'source', 'config') END,"
+                        "CASE WHEN host % 4 = 2 THEN named_struct('idx', 2, 'spi', spi + 100000, 'dst', cast(null AS string), 'peer_a', cast(null AS string), 'peer_b', cast(null AS string), 'suite', truth, 'source', 'config') END"
+                        "), e -> e IS NOT NULL)) AS e").select("capture", "e.*")
+
+
+def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders -> unvalidated label entries with every kind of defect."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('cap-', o_orderkey % 50) AS capture", "o_orderkey AS idx",
+        "CASE WHEN o_orderkey % 13 = 0 THEN 'BOGUS' ELSE 'ChaCha20-Poly1305' END AS suite",
+        "CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE 'gateway' END AS source",
+        "CASE WHEN o_orderkey % 3 <> 1 OR o_orderkey % 19 = 0 THEN CASE WHEN o_orderkey % 29 = 0 THEN 'zz' WHEN o_orderkey % 23 = 0 THEN '0x0'"
+        " WHEN o_orderkey % 5 = 0 THEN concat('0x', lower(hex(o_custkey % 40 + 1))) ELSE lower(hex(o_orderkey + 1000)) END END AS spi_text",
+        "cast(null AS string) AS dst",
+        "CASE WHEN o_orderkey % 3 = 1 THEN array(concat('10.0.0.', o_custkey % 9), CASE WHEN o_orderkey % 31 = 0 THEN concat('10.0.0.', o_custkey % 9) ELSE '192.0.2.1' END) END AS peers")
+
+
+def sensor_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> packets of 150 sensors in hourly windows."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "user_id AS sensor", "event_id AS frame", "unix_micros(cast(ts AS timestamp)) AS ts_us", "unix_micros(cast(ts AS timestamp)) div 86400000000 AS window",
+        "cast(40 + floor(value * 8) AS bigint) AS length", "event_id % 7 = 0 AS dropped")
+
+
+def window_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sensor_packets(spark, sf_dir).groupBy("sensor", "window").agg(
+        F.sum(F.when(~F.col("dropped"), 1).otherwise(0)).alias("packets"), F.sum(F.when(F.col("dropped"), 1).otherwise(0)).alias("dropped"),
+        F.max("ts_us").alias("completed_us")).withColumn("window_seconds", F.lit(3600))
+
+
+def ike_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IKEv2 requests of the handshake table as UDP payload bytes: SA, KE and nonce payloads."""
+    m = ike_messages(spark, sf_dir).where("version = 'IKEv2' AND frame % 10 = 1")
+    one = ("concat(CASE WHEN i = n - 1 THEN '00' ELSE '03' END, '00', CASE WHEN t.key_length > 0 THEN '000C' ELSE '0008' END, lpad(hex(t.type_id), 2, '0'), '00',"
+           " lpad(hex(t.value_id), 4, '0'), CASE WHEN t.key_length > 0 THEN concat('800E', lpad(hex(t.key_length), 4, '0')) ELSE '' END)")
+    return m.selectExpr("*", "proposals[0].transforms AS tr", "size(proposals[0].transforms) AS n").selectExpr(
+        "*", f"array_join(transform(tr, (t, i) -> {one}), '') AS body",
+        "repeat(lpad(hex((frame div 10) % 256), 2, '0'), nonce_len) AS nonce",
+    ).selectExpr(
+        "*", "concat('2200', lpad(hex(12 + length(body) div 2), 4, '0'), '0000', lpad(hex(8 + length(body) div 2), 4, '0'), '010100', lpad(hex(n), 2, '0'), body,"
+        " '28000028', lpad(hex(ke_group), 4, '0'), '0000', repeat('5A', 32), '0000', lpad(hex(4 + length(nonce) div 2), 4, '0'), nonce) AS chain",
+    ).selectExpr(
+        "capture", "frame", "ts_us", "src", "dst", "17 AS protocol", "500 AS sport", "500 AS dport", "false AS truncated",
+        "unhex(concat(upper(initiator_spi), repeat('00', 8), '21202208', '00000000', lpad(hex(28 + length(chain) div 2), 8, '0'), chain)) AS payload")

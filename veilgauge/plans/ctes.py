@@ -402,3 +402,23 @@ LEFT JOIN (SELECT a.*, a.name IN (SELECT name FROM v_adapter x WHERE x.host = a.
 LEFT JOIN (SELECT host, arg_min(name, struct_pack(m := metric, n := name)) AS iface FROM v_adapter WHERE host % 2 = 0 OR name = 'Wi-Fi' GROUP BY host) r ON r.host = h.host
 LEFT JOIN (SELECT host, count(*) AS n FROM v_adapter WHERE name = 'Wi-Fi' AND s_suppkey % 4 <> 1 GROUP BY host) w ON w.host = h.host
 """)
+
+# --- labels, windows --------------------------------------------------------------------------
+cte("v_truth", "SELECT capture, src, dst, spi, flow, packets, truth, mode, loss, tfc, (spi - 4096) // 8 AS host FROM v_flows")
+cte("v_matched", """
+SELECT *, CASE WHEN host % 4 IN (0, 1) THEN 0 WHEN host % 4 = 2 THEN 1 END AS label_idx, CASE WHEN host % 4 = 3 THEN NULL WHEN host % 8 = 0 THEN 'ChaCha20-Poly1305' ELSE truth END AS label_suite FROM v_truth
+""")
+cte("v_scored", """
+SELECT t.*, p.suite AS pred, sp.class AS pred_class, st.class AS true_class, sp.class = st.class AS hit, p.suite = t.truth AS exact, x.confidence FROM v_truth t
+JOIN (SELECT flow, suite FROM (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY failed IS NOT NULL, ord) AS rn FROM v_trace) WHERE rn = 1) p ON p.flow = t.flow
+JOIN v_top x ON x.flow = t.flow JOIN d_suite st ON st.suite = t.truth JOIN d_class sp ON sp.class = x.class
+""")
+cte("v_sensor", """
+SELECT user_id AS sensor, event_id AS frame, epoch_us(ts) AS ts_us, epoch_us(ts) // 86400000000 AS "window", 40 + floor(value * 8)::BIGINT AS length, event_id % 7 = 0 AS dropped FROM events
+""")
+cte("v_log", """
+SELECT sensor, "window", sum((NOT dropped)::INT)::BIGINT AS packets, sum(dropped::INT)::BIGINT AS dropped, max(ts_us) AS completed_us FROM v_sensor GROUP BY ALL
+""")
+cte("d_overlayable", values(
+    [(s, str(v)) for s, (a, k) in R.POLICY_FIELDS.items() for v in ((getattr(R.BASELINE_POLICY, a),) if k == "scalar" else getattr(R.BASELINE_POLICY, a))],
+    "setting, key"))

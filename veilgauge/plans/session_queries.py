@@ -372,3 +372,19 @@ def _(spark, d):
         "concat('10.', user_id % 13, '.', event_id % 256, '.', event_id div 256 % 7) AS addr").distinct()
     e = e.withColumn("key", address_key(F.col("addr"))).withColumn("net", F.lit("all"))
     return PO.positioned(e, ["net"], [F.asc("key")], [F.floor(F.col("key.v4") / 65536)]).select("addr", "pos")
+
+
+# --- decoding ---------------------------------------------------------------------
+@query("ike_messages", """
+SELECT s.sid AS initiator_spi, 'IKEv2' AS version, string_agg(o.type_name || ':' || o.value_id || ':' || o.name || CASE WHEN o.key_length > 0 THEN '-' || o.key_length ELSE '' END, ',' ORDER BY o.ord) AS transforms,
+  max(CASE WHEN o.type_id = 4 AND o.ord < 10 THEN o.value_id END) AS ke_group, any_value(CASE WHEN s.k % 17 = 0 THEN 8 ELSE 32 END) AS nonce_len, 0 AS errors,
+  any_value(sha256(unhex(repeat(lpad(to_hex(s.k % 256), 2, '0'), CASE WHEN s.k % 17 = 0 THEN 8 ELSE 32 END)))) AS nonce_digest
+FROM v_sa s JOIN v_offer o ON o.sid = s.sid WHERE NOT s.v1 GROUP BY s.sid""")
+def _(spark, d):
+    from ..sources.ike import decode_ike
+
+    m = decode_ike(A.ike_packets(spark, d))
+    t = F.transform(F.get("proposals", F.lit(0))["transforms"], lambda t: F.concat_ws(
+        ":", t["type_name"], t["value_id"], F.when(t["key_length"] > 0, F.concat_ws("-", t["name"], t["key_length"])).otherwise(t["name"])))
+    return m.select("initiator_spi", "version", F.array_join(t, ",").alias("transforms"), "ke_group", "nonce_len",
+                    F.size("parse_errors").alias("errors"), "nonce_digest")
