@@ -1,8 +1,50 @@
-"""Alerts and windowed monitoring."""
+"""Windowed monitoring of live packet tables. Every aggregate works on batch and stream inputs alike."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+def event_time(df: DataFrame, ts_us: str = "ts_us") -> DataFrame:
+    """Add `ts`, a TIMESTAMP; watermarks do not take zoneless timestamps."""
+    return df.withColumn("ts", F.timestamp_micros(ts_us))
+
+
+def window_flows(packets: DataFrame, window: str = "60 seconds", watermark: str | None = None) -> DataFrame:
+    """Flow statistics per tumbling window."""
+    p = packets.withWatermark("ts", watermark) if watermark else packets
+    return p.groupBy(F.window("ts", window).alias("w"), "capture", "src", "dst", "spi").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), F.min("length").alias("min_length"), F.max("length").alias("max_length"))
+
+
+def spi_stats(packets: DataFrame) -> DataFrame:
+    """Running totals per SPI with first and last sight."""
+    return packets.groupBy("spi").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+
+
+def rates(packets: DataFrame, seconds: int, watermark: str | None = None) -> DataFrame:
+    """Packets and kilobits per second of each window."""
+    p = packets.withWatermark("ts", watermark) if watermark else packets
+    return p.groupBy(F.window("ts", f"{seconds} seconds").alias("w")).agg(
+        (F.count(F.lit(1)) / seconds).alias("pps"), (F.sum("length") * 8 / 1000 / seconds).alias("kbps"))
+
+
+def activity_sessions(packets: DataFrame, gap: str, key: str = "spi", watermark: str | None = None) -> DataFrame:
+    """Bursts of one key: a new session starts after a silence of `gap`."""
+    p = packets.withWatermark("ts", watermark) if watermark else packets
+    return p.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"))
+
+
+def recent(events: DataFrame, n: int = 50) -> DataFrame:
+    """The newest n events; a top-k, each task keeps n rows."""
+    return events.orderBy(F.desc("ts_us"), F.desc("frame")).limit(n)
+
+
+def window_columns(df: DataFrame) -> DataFrame:
+    start: Column = F.unix_micros(F.col("w.start"))
+    return df.select(start.alias("window_us"), *[c for c in df.columns if c != "w"])
 
 
 def alerts(judged: DataFrame) -> DataFrame:
@@ -14,3 +56,32 @@ def alerts(judged: DataFrame) -> DataFrame:
     return judged.groupBy("capture").agg(
         F.max(F.when(down, 3).otherwise(0)).alias("exit_code"), F.sum(down.cast("bigint")).alias("downgrades"),
         F.sum((F.col("verdict") == "downgrade-quantum").cast("bigint")).alias("quantum_downgrades"))
+
+
+def start_monitor(packets: DataFrame, out: str, checkpoint: str, window: str = "60 seconds", watermark: str = "2 minutes",
+                  available_now: bool = False) -> StreamingQuery:
+    """Flow windows of a packet stream appended to `out`, with one log row per completed batch.
+
+    Append mode with a watermark: a window is written once, when it can no
+    longer change; later rows for it are dropped. Batch id folders make a
+    replayed batch overwrite itself, so a restarted job writes each window once.
+    """
+    stats = window_columns(window_flows(packets, window, watermark))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/windows/batch={batch_id}")
+        batch.agg(F.count(F.lit(1)).alias("flows"), F.max("window_us").alias("last_window_us"), F.sum("packets").alias("packets")).write.mode(
+            "overwrite").parquet(f"{out}/window_log/batch={batch_id}")
+
+    w = stats.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
+
+
+def cap_new_peers(batch: DataFrame, known: DataFrame, max_new_peers: int = 64) -> DataFrame:
+    """For foreachBatch: rows of links that are known or within the cap of new links of this batch."""
+    from ..operators.fleet import new_peers
+
+    ranked = new_peers(batch, known, max_new_peers)
+    opened = ranked.where("NOT withheld").select("capture", "peer_key")
+    fresh = batch.join(opened, ["capture", "peer_key"], "left_semi")
+    return batch.join(known.select("peer_key"), "peer_key", "left_semi").unionByName(fresh)
