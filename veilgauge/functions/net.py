@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .bytes import address_key
 
@@ -34,3 +34,13 @@ def subject_peer(subject: Column, side: int) -> Column:
 
 def label(name: Column, key_length: Column) -> Column:
     return F.when(key_length > 0, F.concat_ws("-", name, key_length.cast("string"))).otherwise(name)
+
+
+def add_link(df: DataFrame, a: Column, b: Column, name: str = "link") -> DataFrame:
+    """Add link_id of two address columns, null when either is null; addresses and keys are computed once per row."""
+    from ..operators.packets import pinned
+
+    d = pinned(df, _a=a, _b=b)
+    d = pinned(d, _ka=address_key(F.col("_a")), _kb=address_key(F.col("_b")))
+    link = F.when(F.col("_ka") <= F.col("_kb"), F.concat_ws("~", "_a", "_b")).otherwise(F.concat_ws("~", "_b", "_a"))
+    return d.withColumn(name, F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), link)).drop("_a", "_b", "_ka", "_kb")

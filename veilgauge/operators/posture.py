@@ -138,10 +138,9 @@ def finding_groups(findings: DataFrame) -> DataFrame:
 
 def with_link(findings: DataFrame) -> DataFrame:
     """Add the link named by a finding's subject, null when it names none."""
-    from ..functions.net import link_id, subject_peer
+    from ..functions.net import add_link, subject_peer
 
-    a, b = subject_peer(F.col("subject"), 0), subject_peer(F.col("subject"), 1)
-    return findings.withColumn("link", F.when(a.isNotNull() & b.isNotNull(), link_id(a, b)))
+    return add_link(findings, subject_peer(F.col("subject"), 0), subject_peer(F.col("subject"), 1))
 
 
 def links(sessions: DataFrame | None, flows: DataFrame | None, findings: DataFrame) -> DataFrame:
@@ -149,23 +148,26 @@ def links(sessions: DataFrame | None, flows: DataFrame | None, findings: DataFra
 
     Each side is reduced to one row per link before the sides meet.
     """
-    from ..functions.net import link_id
+    from ..functions.net import add_link
 
     parts = []
     if sessions is not None:
         weakest = F.min(F.when(F.col("kex_family") != "unknown", F.struct("classical_bits", "quantum_bits", "kex_family", "hybrid")))
-        parts.append(sessions.groupBy("capture", link_id(F.col("peer_a"), F.col("peer_b")).alias("link")).agg(
+        slim = sessions.select("capture", "peer_a", "peer_b", "classical_bits", "quantum_bits", "kex_family", "hybrid")
+        parts.append(add_link(slim, F.col("peer_a"), F.col("peer_b")).groupBy("capture", "link").agg(
             F.count(F.lit(1)).alias("sessions"), weakest.alias("weakest")).withColumn("tunnels", F.lit(0).cast("bigint")))
     if flows is not None:
-        parts.append(flows.groupBy("capture", link_id(F.col("src"), F.col("dst")).alias("link")).agg(
+        parts.append(add_link(flows.select("capture", "src", "dst"), F.col("src"), F.col("dst")).groupBy("capture", "link").agg(
             F.count(F.lit(1)).alias("tunnels")).withColumn("sessions", F.lit(0).cast("bigint")))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     if "weakest" not in both.columns:
         both = both.withColumn("weakest", F.lit(None).cast("struct<classical_bits:int,quantum_bits:int,kex_family:string,hybrid:boolean>"))
     both = both.groupBy("capture", "link").agg(
         F.sum("sessions").alias("sessions"), F.sum("tunnels").alias("tunnels"), F.min("weakest").alias("weakest"))
-    per_link = with_link(findings).where(F.col("link").isNotNull())
-    counts = severity_counts(per_link, ("capture", "link"))
+    # a subject is parsed once, however many findings name it
+    per_subject = severity_counts(findings, ("capture", "subject"))
+    counts = with_link(per_subject).where(F.col("link").isNotNull()).groupBy("capture", "link").agg(
+        *[F.sum(c).alias(c) for c in (*R.SEVERITY, "findings")])
     j = both.join(counts, ["capture", "link"], "left").fillna(0, [*R.SEVERITY, "findings"])
     worst = F.coalesce(*[F.when(F.col(s) > 0, F.lit(s)) for s in R.SEVERITY])
     return j.select(

@@ -1,6 +1,6 @@
-"""Audit rules. A rule is an expression over a session or flow row, or a grouped job per capture.
+"""Audit rules. A rule is an expression over a session row, a flow row, or a value reused within a capture.
 
-Session and flow rules return arrays of finding structs. All enabled rules are
+Rules return arrays of finding structs. All enabled rules are
 concatenated into one array and exploded once, so twenty rules read their table
 once. Add a rule with the decorators; a user's rule needs no change here.
 """
@@ -12,14 +12,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import registries as R
-from ..functions.net import label, link_id
+from ..functions.net import add_link, label
 from .packets import pinned
 from .sessions import ALARMS, SA, offered_transforms, session_peers, sessions
 from .strength import attribute_volume, session_strength, sweet32
 
 SESSION_RULES: dict[str, Callable[[R.Policy], Column]] = {}
 FLOW_RULES: dict[str, Callable[[R.Policy], Column]] = {}
-CAPTURE_RULES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
+CAPTURE_RULES: dict[str, Callable[[R.Policy], Column]] = {}
 
 
 def session_rule(rule_id: str):
@@ -208,35 +208,41 @@ def _(p):
 
 
 # --- capture rules ----------------------------------------------------------------
-def _reuse(messages: DataFrame, sess: DataFrame, keys: Sequence[str], digest: str) -> DataFrame:
-    """Sessions whose digest was carried by two or more SAs, the earliest session per link.
+def reuse_table(messages: DataFrame) -> DataFrame:
+    """Key exchange values and nonces carried by two or more SAs, one row per (value, link).
 
-    Counts distinct SAs per digest after a distinct, joins the reused digests
-    back and keeps one session per (digest, link). No pair of sessions is formed.
+    Both kinds go through one pass. Distinct SAs per value come from a distinct
+    and a count; peers are looked up for the hit SAs only; one session, the
+    earliest, stands for each link. No pair of sessions is formed.
     """
-    m = messages.where(F.col(digest).isNotNull()).withColumnRenamed("initiator_spi", "sid")
-    carried = m.groupBy("capture", *keys, "sid").agg(F.min("frame").alias("seen"))
-    reused = carried.groupBy("capture", *keys).agg(F.count(F.lit(1)).alias("sas")).where(F.col("sas") >= 2)
-    hits = carried.join(reused, ["capture", *keys]).join(sess.select(*SA, "subject", "peer_a", "peer_b"), SA)
-    hits = hits.withColumn("link", link_id(F.col("peer_a"), F.col("peer_b")))
-    return hits.groupBy("capture", *keys, "link").agg(
+    kinds = F.array(
+        F.struct(F.lit("ke").alias("kind"), F.col("src").alias("who"), F.col("ke_digest").alias("digest")),
+        F.struct(F.lit("nonce").alias("kind"), F.lit("").alias("who"), F.col("nonce_digest").alias("digest")))
+    m = messages.withColumnRenamed("initiator_spi", "sid")
+    items = m.select(*SA, "frame", F.inline(kinds)).where(F.col("digest").isNotNull())
+    value = ["capture", "kind", "who", "digest"]
+    carried = items.groupBy(*value, "sid").agg(F.min("frame").alias("seen"))
+    reused = carried.groupBy(*value).agg(F.count(F.lit(1)).alias("sas")).where(F.col("sas") >= 2)
+    hits = carried.join(reused, value)
+    peers = session_peers(messages.join(
+        hits.select("capture", F.col("sid").alias("initiator_spi")).distinct(), ["capture", "initiator_spi"], "left_semi"))
+    linked = add_link(hits.join(peers, SA), F.col("peer_a"), F.col("peer_b"))
+    return linked.groupBy(*value, "link").agg(
         F.min_by("subject", F.struct("seen", "sid")).alias("subject"), F.max("sas").alias("sas"))
 
 
 @capture_rule("IKE-015")
-def _(messages, sess):
-    r = _reuse(messages, sess, ["src", "ke_digest"], "ke_digest")
-    return r.select("capture", "subject", F.inline(F.array(finding(
+def _(p):
+    return when_one(F.col("kind") == "ke", finding(
         "IKE-015", "Key exchange public value reused across IKE SAs", "medium", "one public value in several SAs",
-        {"peer": F.col("src"), "ke_sha256": F.col("ke_digest"), "distinct_sas": F.col("sas")}))))
+        {"peer": F.col("who"), "ke_sha256": F.col("digest"), "distinct_sas": F.col("sas")}))
 
 
 @capture_rule("IKE-016")
-def _(messages, sess):
-    r = _reuse(messages, sess, ["nonce_digest"], "nonce_digest")
-    return r.select("capture", "subject", F.inline(F.array(finding(
+def _(p):
+    return when_one(F.col("kind") == "nonce", finding(
         "IKE-016", "Nonce reused across IKE SAs", "high", "one nonce in several SAs",
-        {"nonce_sha256": F.col("nonce_digest"), "distinct_sas": F.col("sas")}))))
+        {"nonce_sha256": F.col("digest"), "distinct_sas": F.col("sas")}))
 
 
 # --- flow rules -------------------------------------------------------------------
@@ -321,8 +327,7 @@ def audit(messages: DataFrame | None, flows: DataFrame | None, classified: DataF
         if wanted & set(SESSION_RULES):
             parts.append(_apply(prepare_sessions(messages, flows, policy), SESSION_RULES, policy, wanted))
         if wanted & set(CAPTURE_RULES):
-            base = session_peers(messages)
-            parts += [fn(messages, base) for rid, fn in CAPTURE_RULES.items() if rid in wanted]
+            parts.append(_apply(reuse_table(messages), CAPTURE_RULES, policy, wanted))
     if classified is not None and wanted & set(FLOW_RULES):
         parts.append(_apply(prepare_flows(classified, gaps), FLOW_RULES, policy, wanted))
     out = parts[0]
