@@ -47,12 +47,11 @@ def _(spark, d):
 
 @query("fn_private_ip", """
 SELECT ip, a = 10 OR a = 127 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) AS private FROM (
- SELECT DISTINCT a || '.' || b || '.1.1' AS ip, a, b FROM (SELECT CASE event_id % 7 WHEN 0 THEN 10 WHEN 1 THEN 172 WHEN 2 THEN 192 WHEN 3 THEN 8 WHEN 4 THEN 127 WHEN 5 THEN 169 ELSE 77 END AS a, event_id % 255 AS b FROM events))
- WHERE NOT (a = 192 AND b = 0)""")
+ SELECT DISTINCT a || '.' || b || '.1.1' AS ip, a, b FROM (SELECT CASE event_id % 7 WHEN 0 THEN 10 WHEN 1 THEN 172 WHEN 2 THEN 192 WHEN 3 THEN 8 WHEN 4 THEN 127 WHEN 5 THEN 169 ELSE 77 END AS a, event_id % 255 AS b FROM events))""")
 def _(spark, d):
     e = A.table(spark, d, "events").selectExpr(
         "concat(element_at(array(10, 172, 192, 8, 127, 169, 77), cast(event_id % 7 AS int) + 1), '.', event_id % 255, '.1.1') AS ip").distinct()
-    return e.where("ip <> '192.0.1.1'").select("ip", WF.is_private(F.col("ip")).alias("private"))
+    return e.select("ip", WF.is_private(F.col("ip")).alias("private"))
 
 
 @query("wifi_rogue", "SELECT host, ssid_key, aps, best, worst, weak_aps, own, worst < best AS clone FROM v_ssid")
