@@ -72,3 +72,34 @@ def test_alert_codes(spark):
     v = FT.verdicts(table(spark, [("p", 1, "a", 128, 64), ("p", 2, "b", 128, 0), ("p", 3, "c", 80, 0)]))
     assert {r.capture: (r.exit_code, r.quantum_downgrades) for r in MO.alerts(v).collect()} == {"a": (0, 0), "b": (0, 1), "c": (3, 0)}
     assert v.select(F.max("delta_bits")).first()[0] == 0
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    schema = packets(spark).schema
+    for frames in ("0", "5000", "1", "9000"):  # minute 0, far ahead, a row for the closed minute 0, further ahead
+        spark.sql(f"SELECT 'c' capture, {frames}L frame, {frames}L * 1000000 ts_us, 'a' src, 'b' dst, 1L spi, 100L length").coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "in"))
+    stream = MO.event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    q = MO.start_monitor(stream, str(tmp_path / "out"), str(tmp_path / "cp"), window="60 seconds", watermark="1 second", available_now=True)
+    q.awaitTermination(120)
+    first = spark.read.parquet(str(tmp_path / "out/windows")).where("window_us = 0").collect()
+    assert [x.packets for x in first] == [1]
+
+
+def test_quiet_links_are_forgotten(spark, tmp_path):
+    o = table(spark, [("p", 1, "c", 128, 0), ("p", 2, "c", 80, 0)]).drop("at")
+    for i in (1, 2):
+        o.where(f"observed_us = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = run_memory(DR.drift_stream(stream, ttl_ms=1), "ttl_out", "append").collect()
+    assert sorted(x.verdict for x in rows) == ["new", "new"]
+
+
+def test_model_of_other_features_is_refused(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from veilgauge.operators import ml as ML
+
+    spark.createDataFrame([("0" * 64,)], "features string").write.json(str(tmp_path / "m/schema_guard"))
+    with pytest.raises(ValueError):
+        ML.load_model(str(tmp_path / "m"))

@@ -60,7 +60,7 @@ def first_packets(packets: DataFrame, n: int, keys=("capture",)) -> DataFrame:
     return ordered(packets, list(keys), [F.col("frame")], frame_chunk(), rank="rn").where(F.col("rn") <= n).select(*cols)
 
 
-def esp_from_packets(classed: DataFrame, entropy: bool = True) -> DataFrame:
+def esp_from_packets(classed: DataFrame, entropy: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """ESP rows of classified packets: SPI, sequence, ciphertext length and entropy.
 
     Only the derived columns leave this operator, so payload never shuffles.
@@ -70,7 +70,7 @@ def esp_from_packets(classed: DataFrame, entropy: bool = True) -> DataFrame:
     length = F.octet_length(data) - 8
     sample = F.when(length >= 256, F.substring(cipher, F.lit(1), F.lit(512)))
     cols = [
-        "capture", "frame", "ts_us", "src", "dst", uint(data, 1, 4).alias("spi"), uint(data, 5, 4).alias("seq"),
+        *keep, "capture", "frame", "ts_us", "src", "dst", uint(data, 1, 4).alias("spi"), uint(data, 5, 4).alias("seq"),
         length.cast("bigint").alias("length"), (F.col("pkt_class") == "esp_natt").alias("encapsulated")]
     if entropy:
         cols.append(byte_entropy(sample).alias("entropy"))
@@ -169,9 +169,11 @@ def wire_samples(classed: DataFrame, classes: DataFrame, max_samples: int = 3, h
     """
     from pyspark.sql import Window as W
 
-    esp = esp_from_packets(classed)
-    w = W.partitionBy("capture", "src", "dst", "spi").orderBy("frame")
-    first = esp.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max_samples)
+    esp = classed.where(F.col("pkt_class").isin("esp", "esp_natt")).withColumn("_spi", hex_at(F.col("payload"), 1, 4))
+    w = W.partitionBy("capture", "src", "dst", "_spi").orderBy("frame")
+    kept = esp.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max_samples)
+    # entropy is computed for the kept packets only
+    first = esp_from_packets(kept, keep=("nth",))
     j = first.join(classes, ["capture", "src", "dst", "spi"], "left")
     layout = {i: F.create_map(*[F.lit(x) for c, v in WIRE_LAYOUT.items() for x in (c, v[i])])[F.col("class")] for i in range(3)}
     iv, icv, block = (F.coalesce(layout[i], F.lit(d)) for i, d in ((0, 8), (1, 16), (2, 16)))
