@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import written
+from .shared import free_name, written
 from .words import ALPHANUMERIC, SHINGLE, mix, slices, windows, words
 
 #: Tokens of the shortest tile; also the length of the shared seeds.
@@ -57,7 +57,7 @@ def seed_filter(bench: DataFrame) -> np.ndarray:
 
 
 def benchmark_runs(docs: DataFrame, bitmap: np.ndarray, short_lengths: tuple[int, ...] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n_tokens, runs, seeds) of every document with a window in the filter.
+    """(doc, text_key, n_tokens, runs, seeds) of every document with a window in the filter.
 
     A run is a longest stretch of tokens covered by such windows, `at` its
     place. Each tile lies in one run, since all windows of a tile are seeds, so
@@ -65,7 +65,7 @@ def benchmark_runs(docs: DataFrame, bitmap: np.ndarray, short_lengths: tuple[int
     MIN_MATCH that items have; windows of these lengths are sought as well.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    kind = pa.schema([("doc", pa.int64()), ("n_tokens", pa.int64()), ("runs", pa.list_(pa.struct([("at", pa.int64()), ("tokens", pa.list_(pa.int64()))]))), ("seeds", pa.list_(pa.int64()))])
+    kind = pa.schema([("doc", pa.int64()), ("text_key", pa.string()), ("n_tokens", pa.int64()), ("runs", pa.list_(pa.struct([("at", pa.int64()), ("tokens", pa.list_(pa.int64()))]))), ("seeds", pa.list_(pa.int64()))])
     modulus = np.uint64(FILTER_BITS)
 
     def passing(first, seed, bits):
@@ -76,9 +76,9 @@ def benchmark_runs(docs: DataFrame, bitmap: np.ndarray, short_lengths: tuple[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            for low, high in slices(batch.column(1)):
-                ids = batch.column(0).slice(low, high - low)
-                w = _tokens(batch.column(1).slice(low, high - low))
+            for low, high in slices(batch.column(2)):
+                ids, keys = (batch.column(i).slice(low, high - low) for i in (0, 1))
+                w = _tokens(batch.column(2).slice(low, high - low))
                 found = [(*passing(*windows(w, MIN_MATCH), bits), MIN_MATCH)]
                 for k in short_lengths:
                     first, seed = windows(w, k)
@@ -99,15 +99,19 @@ def benchmark_runs(docs: DataFrame, bitmap: np.ndarray, short_lengths: tuple[int
                 rows: dict[int, dict] = {}
                 for a, b in zip(at[:-1][held].tolist(), at[1:][held].tolist()):
                     t = int(text_of[a])
-                    row = rows.setdefault(t, {"doc": ids[t].as_py(), "n_tokens": int(w.counts[t]), "runs": [], "seeds": set()})
+                    row = rows.setdefault(t, {"doc": ids[t].as_py(), "text_key": keys[t].as_py(), "n_tokens": int(w.counts[t]), "runs": [], "seeds": set()})
                     row["runs"].append({"at": int(a - w.split[t]), "tokens": w.hash[a:b].view(np.int64).tolist()})
                 for first, seed, _ in found:
                     for f, s in zip(first.tolist(), seed.view(np.int64).tolist()):
                         rows[int(text_of[f])]["seeds"].add(s)
                 yield pa.RecordBatch.from_pylist([r | {"seeds": sorted(r["seeds"])} for _, r in sorted(rows.items())], kind)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc long, n_tokens long, runs {_RUN}, seeds array<long>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), text_key(text).alias("text_key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc long, text_key string, n_tokens long, runs {_RUN}, seeds array<long>")
+
+
+def text_key(text: str):
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def _short_seed(w, first: np.ndarray, k: int) -> np.ndarray:
@@ -177,17 +181,8 @@ def tiles(runs: list[tuple[int, list[int]]], item: list[int], shortest: int = MI
         length = max(shortest, length // 2)
 
 
-def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", text: str = "text",
-            item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc, item, n_tiles, covered, item_tokens, coverage, tiles) of every document and item with `coverage` or more.
-
-    Tokens are runs of letters, digits and non-ASCII characters, ASCII case
-    folded. `coverage` is the share of the item's tokens that tiles of
-    MIN_MATCH tokens cover, in any order; an item of fewer tokens must occur
-    whole. Null and empty texts have no tokens and match nothing. Of documents
-    with one id each text is tiled by itself and the best is kept; null ids
-    are one id. Empty tables give no rows.
-    """
+def _matches(docs: DataFrame, items: DataFrame, coverage: float, doc_id: str, text: str, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Tiles of every text of a document id with every item, `coverage` reached; see matches."""
     bench = written(benchmark_tokens(items, item_id, item_text).withColumn("item_row", F.monotonically_increasing_id()), "benchmark")
     short = tuple(r[0] for r in bench.select(F.size("tokens").alias("n")).filter(F.col("n") < MIN_MATCH).distinct().sort("n").collect())
     runs = written(benchmark_runs(docs, seed_filter(bench), short, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "benchmark-runs")
@@ -205,15 +200,33 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, doc_i
             rows.append([{"at": a, "item_at": p, "length": n} for a, p, n in tiles([(x["at"], x["tokens"]) for x in r], t)])
         return pa.array(rows, kind)
 
-    full = pairs.join(runs.select("row", "doc", "runs"), "row").join(texts, "item_row").withColumn("tiles", tiled("runs", "item_tokens"))
+    full = pairs.join(runs.select("row", "doc", "text_key", "runs"), "row").join(texts, "item_row").withColumn("tiles", tiled("runs", "item_tokens"))
     covered = F.aggregate("tiles", F.lit(0).cast("long"), lambda n, t: n + t["length"])
-    judged = full.select("doc", "item", F.size("tiles").cast("long").alias("n_tiles"), covered.alias("covered"), F.size("item_tokens").cast("long").alias("item_tokens"), "tiles") \
-        .withColumn("coverage", F.col("covered") / F.col("item_tokens")).filter(F.col("coverage") >= coverage)
-    best = judged.groupBy("doc", "item").agg(F.max(F.struct("covered", "n_tiles", "item_tokens", "coverage", "tiles")).alias("b"))
+    judged = full.select("doc", "text_key", "item", F.size("tiles").cast("long").alias("n_tiles"), covered.alias("covered"), F.size("item_tokens").cast("long").alias("item_tokens"), "tiles")
+    return judged.withColumn("coverage", F.col("covered") / F.col("item_tokens")).filter(F.col("coverage") >= coverage)
+
+
+def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", text: str = "text",
+            item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc, item, n_tiles, covered, item_tokens, coverage, tiles) of every document and item with `coverage` or more.
+
+    Tokens are runs of letters, digits and non-ASCII characters, ASCII case
+    folded. `coverage` is the share of the item's tokens that tiles of
+    MIN_MATCH tokens cover, in any order; an item of fewer tokens must occur
+    whole. Null and empty texts have no tokens and match nothing. Of documents
+    with one id each text is tiled by itself and the best is kept; null ids
+    are one id. Empty tables give no rows.
+    """
+    best = _matches(docs, items, coverage, doc_id, text, item_id, item_text).groupBy("doc", "item").agg(F.max(F.struct("covered", "n_tiles", "item_tokens", "coverage", "tiles")).alias("b"))
     return best.select("doc", "item", "b.n_tiles", "b.covered", "b.item_tokens", "b.coverage", "b.tiles")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that reach `coverage` of no item; all columns and repeated rows stay."""
-    found = written(matches(docs, items, coverage, doc_id, text).select(F.col("doc").alias("_leak")).distinct(), "leaks")
-    return docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    """The documents that reach `coverage` of no item; all columns and repeated rows stay.
+
+    Rows are told apart by id and text, so a clean text stays though another of its id goes.
+    """
+    row, leak = free_name(docs, "_row_key"), free_name(docs, "_leak")
+    key = lambda k, d: F.concat_ws(" ", k, F.coalesce(d.cast("string"), F.lit("-")))
+    found = written(_matches(docs, items, coverage, doc_id, text).select(key(F.col("text_key"), F.col("doc")).alias(leak)).distinct(), "leaks")
+    return docs.withColumn(row, key(text_key(text), F.col(doc_id).cast("long"))).join(found, F.col(row) == F.col(leak), "left_anti").drop(row)

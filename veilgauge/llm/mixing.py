@@ -133,7 +133,7 @@ def choose(sized: DataFrame, amounts: DataFrame, epochs: int, seed: int = SEED)
         spent = took.groupBy("pattern").agg(F.sum(F.col("_take") * F.col("size")).alias("_spent")).withColumnRenamed("pattern", "_p")
         state = took.join(F.broadcast(spent), (F.col("pattern") == F.col("_p"))).withColumn("_open", F.col("_open") - F.col("_spent")).drop("_p", "_spent", "_take")
     return state.select(*[F.col(f"`{c}`") for c in keys], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"), "_base", "_extra") \
-        .select(*[F.col(f"`{c}`") for c in keys], (F.col("_base") + F.when(F.col("_copy") <= F.col("_extra"), 1).otherwise(0)).alias("copies"))
+        .select(*[F.col(f"`{c}`") for c in keys], F.when(F.col("size") > 0, F.col("_base") + F.when(F.col("_copy") <= F.col("_extra"), 1).otherwise(0)).otherwise(F.lit(0).cast("long")).alias("copies"))
 
 
 def plan(sized: DataFrame, weights, share: float, epochs: int) -> tuple[list, dict, dict]:

@@ -111,7 +111,7 @@ def windows(w: Words, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarr
     if not total:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     value = np.zeros(total, np.uint64)
-    for j in range(k):
+    for j in range(min(k, total)):
         value[:total - j] = value[:total - j] * SHINGLE + w.hash[j:]
     first = np.arange(total)
     fits = first + k <= np.repeat(w.split[1:], count)
