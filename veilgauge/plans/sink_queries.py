@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..operators import exposure as EX, fleet as FT, inventory as IN, posture as PO
+from ..operators import exposure as EX, fleet as FT, inventory as IN
 from ..sources import sinks as SK
 from ..streaming import monitor as MO
 from .catalog import query
 from .flow_queries import _trace, flow_classes
+from .stage import folder
 from .session_queries import captures, findings, sess, strong
 from .state_queries import obs
 
@@ -21,25 +24,57 @@ def _(spark, d):
     return SK.audit_records(captures(spark, d), findings(spark, d))
 
 
+def fresh(spark, name):
+    """A new folder for a sink's files, beside the staged tables."""
+    root = folder(spark)
+    if root is None:
+        raise ValueError("sinks need spark.checkpoint.dir on a cluster")
+    return f"{root}/veilgauge/sinks/{name}-{uuid.uuid4().hex}"
+
+
+def field(path):
+    return F.get_json_object("body", path)
+
+
 @query("sink_report", """
-SELECT capture, part, count(*) AS lines FROM (SELECT capture, 'finding' AS part FROM v_findings UNION ALL SELECT capture, 'session' FROM v_sa UNION ALL SELECT capture, 'flow' FROM v_top) GROUP BY ALL""")
+SELECT capture, part, item, count(*) AS lines FROM (SELECT capture, 'finding' AS part, rule_id || ' ' || subject AS item FROM v_findings
+ UNION ALL SELECT capture, 'session', sid FROM v_sa UNION ALL SELECT capture, 'flow', flow || ' ' || class FROM v_top) GROUP BY ALL""")
 def _(spark, d):
-    lines = SK.as_lines("finding", findings(spark, d)).union(SK.as_lines("session", strong(spark, d))).union(SK.as_lines("flow", flow_classes(spark, d)))
-    return lines.where(F.get_json_object("body", "$").isNotNull()).groupBy("capture", "part").agg(F.count(F.lit(1)).alias("lines"))
+    """Written and read back: what each line says."""
+    path = fresh(spark, "report")
+    SK.write_report(path, {"finding": findings(spark, d), "session": strong(spark, d), "flow": flow_classes(spark, d)})
+    lines = spark.read.schema("part string, body string, capture string").json(path)
+    item = F.when(F.col("part") == "finding", F.concat_ws(" ", field("$.rule_id"), field("$.subject"))).when(
+        F.col("part") == "session", field("$.sid")).otherwise(F.concat_ws(" ", field("$.flow"), field("$.class")))
+    return lines.groupBy("capture", "part", item.alias("item")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("sink_inventory", """
-SELECT part, count(*) AS lines FROM (SELECT 'component' AS part FROM v_str UNION ALL SELECT 'component' FROM v_algs UNION ALL SELECT 'component' FROM v_top
- UNION ALL SELECT 'vulnerability' FROM v_findings WHERE severity IN ('critical', 'high')) GROUP BY part""")
+SELECT part, item, count(*) AS lines FROM (SELECT 'component' AS part, 'protocol' AS item FROM v_str UNION ALL SELECT 'component', 'algorithm' FROM v_algs UNION ALL SELECT 'component', 'algorithm' FROM v_top
+ UNION ALL SELECT 'vulnerability', severity FROM v_findings WHERE severity IN ('critical', 'high')
+ UNION ALL SELECT 'document', capture || ' ' || score || ' ' || grade FROM v_posture) GROUP BY ALL""")
 def _(spark, d):
-    s = strong(spark, d)
+    """Written and read back: documents with posture, components by kind, vulnerabilities by severity."""
+    s, path = strong(spark, d), fresh(spark, "inventory")
     lines = SK.component_lines(IN.protocols(s), IN.algorithms(s), IN.esp_assets(flow_classes(spark, d)), IN.vulnerabilities(findings(spark, d)))
-    return lines.where(F.startswith(F.get_json_object("body", "$.bom-ref"), F.lit("crypto:"))).groupBy("part").agg(F.count(F.lit(1)).alias("lines"))
+    SK.write_inventory(path, lines.unionByName(SK.inventory_header(captures(spark, d), findings(spark, d))))
+    read = spark.read.schema("body string, capture string, part string").json(path)
+    item = F.when(F.col("part") == "document", F.concat_ws(" ", field("$.metadata.component.name"), field("$.metadata.properties[0].value"), field("$.metadata.properties[1].value"))).when(
+        F.col("part") == "component", field("$.cryptoProperties.assetType")).otherwise(field("$.ratings[0].severity"))
+    whole = F.when(F.col("part") == "document", field("$.specVersion") == "1.6").otherwise(F.startswith(field("$.bom-ref"), F.lit("crypto:")))
+    return read.where(whole).groupBy("part", item.alias("item")).agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("sink_dataset_export", "SELECT capture, findings, score, grade FROM v_posture")
+@query("sink_dataset_export", """
+SELECT p.capture, CASE WHEN p.findings > 0 THEN 'documents/capture=' || p.capture END AS file, p.findings, p.score, p.grade, p.findings AS lines, true AS sized FROM v_posture p""")
 def _(spark, d):
-    return PO.posture(captures(spark, d), findings(spark, d)).select("capture", "findings", "score", "grade")
+    """Manifest and documents as they were written; `sized`: the stated bytes are those of the lines."""
+    path = fresh(spark, "dataset")
+    SK.export_dataset(path, captures(spark, d), findings(spark, d))
+    manifest = spark.read.schema("capture string, file string, bytes bigint, findings bigint, score int, grade string").json(f"{path}/manifest")
+    stored = spark.read.schema("body string, capture string").json(f"{path}/documents").groupBy("capture").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("body")).alias("stored"))
+    return manifest.join(stored, "capture", "left").select(
+        "capture", "file", "findings", "score", "grade", F.coalesce("lines", F.lit(0)).alias("lines"), (F.coalesce("stored", F.lit(0)) == F.col("bytes")).alias("sized"))
 
 
 @query("st_newpeer_cap", """
@@ -48,7 +83,7 @@ SELECT capture, count(*) AS admitted FROM (SELECT capture, peer_key, row_number(
 def _(spark, d):
     o = obs(spark, d)
     known = o.where("peer_key LIKE '10.1.0.%'").select("peer_key").distinct()
-    admitted = MO.cap_new_peers(o, known, 4).where("peer_key NOT LIKE '10.1.0.%'")
+    admitted = MO.cap_new_peers(o, known, 4).where("peer_key NOT LIKE '10.1.0.%' AND NOT withheld")
     return admitted.select("capture", "peer_key").distinct().groupBy("capture").agg(F.count(F.lit(1)).alias("admitted"))
 
 
@@ -80,8 +115,24 @@ def _(spark, d):
     return o.select("o_orderkey", EX.deadline(F.col("gap")).alias("deadline"))
 
 
-@query("sink_fleet_store", "SELECT verdict, count(*) AS n, count(DISTINCT peer_key) AS links FROM v_verdict GROUP BY verdict")
+@query("sink_fleet_store", """
+SELECT v.id, v.peer_key, v.verdict, b.best_classical_bits, b.observations FROM v_verdict v LEFT JOIN v_base b ON b.peer_key = v.peer_key""")
+def _(spark, d):
+    """A store written twice under one version and read back: every verdict once, with the newest snapshot."""
+    o, path = obs(spark, d), fresh(spark, "fleet")
+    judged, base = FT.verdicts(o), FT.baselines(o).drop("best_transforms")
+    for _ in range(2):
+        SK.write_fleet(path, 1, judged, base)
+    schema = "peer_key string, id string, verdict string"
+    snapshot = SK.read_baselines(spark, path, "peer_key string, best_classical_bits int, observations bigint")
+    return SK.read_fleet(spark, path, schema).join(snapshot, "peer_key", "left").select("id", "peer_key", "verdict", "best_classical_bits", "observations")
+
+
+@query("base_withheld", """
+SELECT v.id, v.capture, CASE WHEN w.pos > 2 THEN 'withheld' ELSE v.verdict END AS verdict FROM v_verdict v LEFT JOIN (
+ SELECT capture, peer_key, row_number() OVER (PARTITION BY capture ORDER BY observed_us, id) AS pos FROM (
+  SELECT capture, peer_key, min(observed_us) AS observed_us, min(id) AS id FROM v_obs GROUP BY capture, peer_key)) w ON w.capture = v.capture AND w.peer_key = v.peer_key""")
 def _(spark, d):
-    """Verdict rows as the store keeps them."""
-    v = FT.verdicts(obs(spark, d)).drop("at")
-    return v.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("peer_key").alias("links"))
+    """Observations of new links past the cap of their capture stay, as withheld."""
+    o = obs(spark, d)
+    return FT.withhold(FT.verdicts(o), o, None, 2).select("id", "capture", "verdict")

@@ -7,6 +7,8 @@ is written by many tasks. Nothing is assembled into one object in one task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.posture import posture, report_digest
@@ -17,13 +19,21 @@ def as_lines(kind: str, df: DataFrame) -> DataFrame:
     return df.select("capture", F.lit(kind).alias("part"), F.to_json(F.struct(*[c for c in df.columns if c != "capture"])).alias("body"))
 
 
+FILES_PER_CAPTURE = 8
+
+
+def by_capture(lines: DataFrame, files: int = FILES_PER_CAPTURE) -> DataFrame:
+    """Rows dealt by capture and a bounded salt: at most `files` files each, and no task has to write a whole hot capture."""
+    return lines.repartition("capture", F.pmod(F.xxhash64("body"), F.lit(files)))
+
+
 def write_report(path: str, parts: dict[str, DataFrame], mode: str = "overwrite") -> None:
     """A full assessment: lines of every part under capture=<name>/."""
     out = None
     for kind, df in parts.items():
         lines = as_lines(kind, df)
         out = lines if out is None else out.unionByName(lines)
-    out.write.mode(mode).partitionBy("capture").json(path)
+    by_capture(out).write.mode(mode).partitionBy("capture").json(path)
 
 
 def component_lines(protocols: DataFrame, algorithms: DataFrame, esp: DataFrame, vulnerabilities: DataFrame) -> DataFrame:
@@ -41,8 +51,18 @@ def component_lines(protocols: DataFrame, algorithms: DataFrame, esp: DataFrame,
         component(esp.withColumn("name", F.col("flow")), "algorithm")).unionByName(vulns)
 
 
+def inventory_header(captures: DataFrame, findings: DataFrame) -> DataFrame:
+    """One document line per capture: format, version and metadata with the posture of the capture."""
+    score = F.array(F.struct(F.lit("posture:score").alias("name"), F.col("score").cast("string").alias("value")),
+                    F.struct(F.lit("posture:grade").alias("name"), F.col("grade").alias("value")))
+    component = F.struct(F.lit("application").alias("type"), F.col("capture").alias("name"))
+    return posture(captures, findings).select("capture", F.lit("document").alias("part"), F.to_json(F.struct(
+        F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"), F.lit(1).alias("version"),
+        F.struct(component.alias("component"), score.alias("properties")).alias("metadata"))).alias("body"))
+
+
 def write_inventory(path: str, lines: DataFrame) -> None:
-    lines.write.mode("overwrite").partitionBy("capture", "part").json(path)
+    by_capture(lines).write.mode("overwrite").partitionBy("capture", "part").json(path)
 
 
 def audit_records(captures: DataFrame, findings: DataFrame) -> DataFrame:
@@ -57,23 +77,48 @@ def append_audit_log(path: str, captures: DataFrame, findings: DataFrame) -> Non
 
 
 def write_fleet(path: str, version: int, judged: DataFrame, baselines: DataFrame) -> None:
-    """Append observations, then write the baseline snapshot as a new version; readers take the newest complete one."""
-    judged.drop("at").write.mode("append").parquet(f"{path}/observations")
+    """Observations of one run, then the baseline snapshot after it, both under the run's version.
+
+    Writing a version again replaces it, so a replayed batch counts once. A
+    version is complete when its snapshot is; readers look at complete ones only.
+    """
+    judged.drop("at").write.mode("overwrite").parquet(f"{path}/observations/version={version}")
     baselines.write.mode("overwrite").parquet(f"{path}/baselines/version={version}")
 
 
-def read_fleet(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Stored observations; a store that does not exist reads as empty and is not created."""
+def complete_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions whose baseline snapshot was committed, oldest first; a store that does not exist has none."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/observations")
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}/baselines")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    done = [n for n in names if re.fullmatch(r"version=\d+", n) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/baselines/{n}/_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in done)
+
+
+def read_fleet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored observations of all complete versions; a store that does not exist reads as empty and is not created."""
+    versions = complete_versions(spark, path)
+    if not versions:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/observations")
+    return spark.read.schema(schema).parquet(*[f"{path}/observations/version={v}" for v in versions])
+
+
+def read_baselines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest complete baseline snapshot."""
+    versions = complete_versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/baselines/version={versions[-1]}") if versions else spark.createDataFrame([], schema)
 
 
 def export_dataset(path: str, captures: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings per capture plus a manifest of capture, finding count, score and grade."""
-    as_lines("finding", findings).write.mode("overwrite").partitionBy("capture").json(f"{path}/documents")
-    manifest = posture(captures, findings).select("capture", "findings", "score", "grade")
+    """Findings per capture plus a manifest: folder and size of its lines, finding count, score and grade."""
+    lines = as_lines("finding", findings)
+    by_capture(lines).write.mode("overwrite").partitionBy("capture").json(f"{path}/documents")
+    sizes = lines.groupBy("capture").agg(F.sum(F.octet_length("body")).alias("bytes"))
+    manifest = posture(captures, findings).join(sizes, "capture", "left").select(
+        "capture", F.when(F.col("bytes").isNotNull(), F.concat(F.lit("documents/capture="), "capture")).alias("file"),
+        F.coalesce("bytes", F.lit(0)).alias("bytes"), "findings", "score", "grade")
     manifest.write.mode("overwrite").json(f"{path}/manifest")
     return manifest
