@@ -53,13 +53,21 @@ def test_capture_files(spark, tmp_path):
     (tmp_path / "lie.pcap").write_bytes(classic([frames[0]]) + struct.pack("<IIII", 1, 1, 9_999_999, 9) + b"x" * 50)
     (tmp_path / "notes.txt").write_text("no capture")
     got = {}
-    for r in read_captures(spark, str(tmp_path)).collect():
+    (tmp_path / "junk.pcap").write_bytes(b"no capture at all")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/a.pcap").write_bytes(classic(frames[:1]))
+    rows = read_captures(spark, str(tmp_path)).collect()
+    assert {r.capture: r.frame for r in rows if r.read_error} == {"cut.pcap": 2, "lie.pcap": 2, "junk.pcap": 1}
+    for r in rows:
+        if r.read_error:
+            continue
         got.setdefault(r.capture, []).append((r.frame, r.ts_us, bytes(r.frame_bytes)))
     assert got["a.pcap"] == [(1, 100_000_500, frames[0]), (2, 101_000_500, frames[1])]
     assert [t for _f, t, _b in got["b.pcap"]] == [100_000_000, 101_000_000]
     assert got["c.pcapng"] == got["a.pcap"]
     assert len(got["cut.pcap"]) == 1 and len(got["lie.pcap"]) == 1
-    assert [r.name for r in list_captures(spark, str(tmp_path)).collect()] == ["a.pcap", "b.pcap", "c.pcapng", "cut.pcap", "lie.pcap"]
+    assert len(got["sub/a.pcap"]) == 1  # the same name in another folder is another capture
+    assert [r.name for r in list_captures(spark, str(tmp_path)).collect()] == ["a.pcap", "b.pcap", "c.pcapng", "cut.pcap", "junk.pcap", "lie.pcap", "sub/a.pcap"]
 
 
 def decoded(spark, frames, link=1):
@@ -76,6 +84,7 @@ def test_headers(spark):
     assert sorted(got) == [0, 2]
     assert (got[0].sport, got[0].dport, bytes(got[0].payload), got[0].src) == (500, 501, b"abc", "10.0.0.1")
     assert (got[2].src, got[2].dst, got[2].protocol, bytes(got[2].payload), got[2].ip_version) == ("2001:db8::1", "::1", 17, b"\xff", 6)
+    assert [len(decoded(spark, [ether(ip4(50, b"y" * 16), tags=n)])) for n in (1, 3, 5)] == [1, 1, 1]
     assert decoded(spark, [ip4(50, b"y" * 16)], link=101)[0].protocol == 50
     assert decoded(spark, [b"\0" * 14 + b"\x08\0" + ip4(50, b"y" * 16)], link=113)[0].protocol == 50
 

@@ -65,11 +65,11 @@ def test_retention_keeps_protected_rows(spark):
     rows = [("busy", i * day // 100, "c", 192 if i == 0 else 128, 0) for i in range(600)] + [("quiet", 0, "old", 128, 0), ("ghost", 0, "old", 128, 0)]
     df = table(spark, rows)
     base = FT.baselines(df).where("peer_key <> 'ghost'")
-    kept = FT.prune(df, base, now_us=200 * day, keep=500, days=90).collect()
+    kept = FT.prune(df.withColumn("run", F.col("id").cast("int")), base, now_us=200 * day, keep=500, days=90, run="run").collect()
     ids = {x.id for x in kept}
     assert "000000" in ids  # behind the baseline
     assert any(x.peer_key == "quiet" for x in kept)  # newest row of a baselined link
-    assert "000601" in ids  # the latest assessment wrote it (highest id), though it has no baseline
+    assert "000601" in ids  # the latest assessment wrote it (highest run), though it has no baseline
     assert len([x for x in kept if x.peer_key == "busy"]) < 600
 
 

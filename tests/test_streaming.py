@@ -57,7 +57,8 @@ def test_cap_new_peers(spark):
     b = table(spark, [(f"p{i:02d}", i, "c", 128, 0) for i in range(10)])
     known = b.where("peer_key = 'p09'").select("peer_key")
     out = MO.cap_new_peers(b, known, 3)
-    assert sorted(x.peer_key for x in out.select("peer_key").collect()) == ["p00", "p01", "p02", "p09"]
+    assert sorted(x.peer_key for x in out.where("NOT withheld").collect()) == ["p00", "p01", "p02", "p09"]
+    assert out.count() == 10  # the others are recorded as withheld
 
 
 def test_running_totals(spark, tmp_path):

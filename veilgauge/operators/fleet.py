@@ -74,6 +74,13 @@ def verdicts(obs: DataFrame, min_observations: int = 2) -> DataFrame:
         (bits - base).alias("delta_bits"))
 
 
+def withhold(judged: DataFrame, obs: DataFrame, known: DataFrame | None = None, max_new_peers: int = 64) -> DataFrame:
+    """Verdict `withheld` for observations of new links past the cap of their capture; no row is dropped."""
+    past = new_peers(obs, known, max_new_peers).where("withheld").select("capture", "peer_key", "withheld")
+    return judged.join(past, ["capture", "peer_key"], "left").withColumn(
+        "verdict", F.when(F.col("withheld"), "withheld").otherwise(F.col("verdict"))).drop("withheld")
+
+
 def baselines(obs: DataFrame, min_observations: int = 2) -> DataFrame:
     """State of every link: best suite, when and by which row it was set, rows seen."""
     totals = obs.groupBy("peer_key").agg(F.count(F.lit(1)).alias("observations"), F.min("observed_us").alias("first_seen_us"))
@@ -97,7 +104,7 @@ def new_peers(obs: DataFrame, known: DataFrame | None, max_new_peers: int = 64)
 
 def latest(obs: DataFrame) -> DataFrame:
     return obs.groupBy("peer_key").agg(F.max_by(F.struct(
-        "id", "observed_us", "classical_bits", "quantum_bits", "transforms", "vendor_family", "ike_version"), "at").alias("o"))
+        "id", "capture", "observed_us", "classical_bits", "quantum_bits", "transforms", "vendor_family", "ike_version"), "at").alias("o"))
 
 
 def fleet(obs: DataFrame, base: DataFrame) -> DataFrame:
@@ -121,25 +128,31 @@ def fleet_summary(view: DataFrame) -> DataFrame:
         F.min("current_bits").alias("weakest_bits"))
 
 
-def prune(obs: DataFrame, base: DataFrame, now_us: int, keep: int | None = 500, days: float | None = 90) -> DataFrame:
+def prune(obs: DataFrame, base: DataFrame, now_us: int, keep: int | None = 500, days: float | None = 90,
+          run: str = "observed_us") -> DataFrame:
     """Rows that stay: recent enough and within the newest `keep`, or protected.
 
     Protected: the row behind a baseline, the newest row of a baselined link,
-    rows of the latest assessment. The rank filter keeps `keep` rows per link
-    before the shuffle; older rows of a hot link never meet in one task.
+    rows of the latest assessment: the capture with the highest `run`, a column
+    that orders assessments (their time or number; the observed time by default). Rows
+    are told apart by (capture, id), since an id may occur in two captures. The
+    rank filter keeps `keep` rows per link before the shuffle; older rows of a
+    hot link never meet in one task.
     """
+    row = ["capture", "id"]
     fresh = obs
     if days:
         fresh = fresh.where(F.col("observed_us") >= now_us - int(days * 86400 * 10 ** 6))
     if keep:
         w = W.partitionBy("peer_key").orderBy(F.desc("at"))
-        ranked = obs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).select("id")
-        fresh = fresh.join(ranked, "id", "left_semi")
-    newest = latest(obs).join(base.select("peer_key"), "peer_key", "left_semi").select(F.col("o.id").alias("id"))
-    last = obs.agg(F.max_by(F.struct("observed_us", "capture"), "id").alias("l")).select("l.observed_us", "l.capture")
-    same_run = obs.join(F.broadcast(last), ["observed_us", "capture"], "left_semi").select("id")
-    kept = fresh.select("id").union(base.select(F.col("best_observation_id").alias("id"))).union(newest).union(same_run).distinct()
-    return obs.join(kept, "id", "left_semi")
+        ranked = obs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).select(*row)
+        fresh = fresh.join(ranked, row, "left_semi")
+    newest = latest(obs).join(base.select("peer_key"), "peer_key", "left_semi").select(F.col("o.capture").alias("capture"), F.col("o.id").alias("id"))
+    last = obs.agg(F.max(F.struct(F.col(run).alias("run"), "observed_us", "capture")).alias("l")).select("l.observed_us", "l.capture")
+    same_run = obs.join(F.broadcast(last), ["observed_us", "capture"], "left_semi").select(*row)
+    opened = obs.join(base.select("peer_key", F.col("best_observation_id").alias("id"), F.col("best_seen_us").alias("observed_us")), ["peer_key", "id", "observed_us"], "left_semi").select(*row)
+    kept = fresh.select(*row).union(opened).union(newest).union(same_run).distinct()
+    return obs.join(kept, row, "left_semi")
 
 
 def history(obs: DataFrame, limit: int = 50) -> DataFrame:
@@ -153,6 +166,10 @@ def replay(judged: DataFrame, base: DataFrame, limit: int = 1000) -> DataFrame:
     sizes = judged.groupBy("peer_key").agg(F.count(F.lit(1)).alias("rows"))
     h = history(judged, limit).join(sizes, "peer_key").join(base.select("peer_key"), "peer_key", "left_semi")
     kept = F.least(F.col("rows"), F.lit(limit))
-    return h.withColumns({
-        "pos": kept - F.col("pos") + 1, "truncated": F.col("rows") > limit,
+    return changes(h).withColumns({"pos": kept - F.col("pos") + 1, "truncated": F.col("rows") > limit})
+
+
+def changes(judged: DataFrame) -> DataFrame:
+    """Transforms that every observation lost and gained against the baseline before it."""
+    return judged.withColumns({
         "removed": F.array_except("baseline_transforms", "transforms"), "added": F.array_except("transforms", "baseline_transforms")})

@@ -77,10 +77,14 @@ def length_residues(packets: DataFrame) -> DataFrame:
 
 def sequence_gaps(packets: DataFrame) -> DataFrame:
     """Per flow, packets whose sequence number is not the previous one plus one."""
-    lagged = ordered(packets.select(*KEYS, "frame", "seq"), KEYS, [F.col("frame")], frame_chunk(), lag={"prev": "seq"})
-    return lagged.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("packets"),
-        F.sum(F.when(F.col("seq") != F.col("prev") + 1, 1).otherwise(0)).alias("gaps"))
+    jump = lambda prev: F.when(F.col(prev) + 1 != F.col("seq"), 1).otherwise(0)
+    rows = W.partitionBy(*KEYS, "_chunk").orderBy("frame")
+    inner = packets.select(*KEYS, "frame", "seq", frame_chunk().alias("_chunk")).withColumn("prev", F.lag("seq").over(rows))
+    # a chunk keeps its count, inner gaps, first and last number; the borders between chunks are counted on these
+    per = inner.groupBy(*KEYS, "_chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(jump("prev")).alias("g"), F.min_by("seq", "frame").alias("seq"), F.max_by("seq", "frame").alias("last"))
+    per = per.withColumn("prev", F.lag("last").over(W.partitionBy(*KEYS).orderBy("_chunk")))
+    return per.groupBy(*KEYS).agg(F.sum("n").alias("packets"), F.sum(F.col("g") + jump("prev")).alias("gaps"))
 
 
 def inter_arrivals(packets: DataFrame) -> DataFrame:
@@ -93,11 +97,9 @@ def inter_arrivals(packets: DataFrame) -> DataFrame:
 
 def sample_caps(packets: DataFrame, max_samples: int = 4000, max_entropy: int = 256) -> DataFrame:
     """Bounded view of a flow: first lengths in arrival order, and first usable entropies."""
-    ranked = ordered(packets.select(*KEYS, "frame", "length", "entropy"), KEYS, [F.col("frame")], frame_chunk(), rank="rn")
-    kept = ranked.where(F.col("rn") <= max_samples)
-    usable = ordered(kept.withColumn("usable", F.col("entropy").isNotNull().cast("int")), KEYS, [F.col("frame")],
-                     frame_chunk(), sum_to={"nth": "usable"})
-    return usable.groupBy(*KEYS).agg(
+    marked = packets.select(*KEYS, "frame", "length", "entropy", F.col("entropy").isNotNull().cast("int").alias("usable"))
+    ranked = ordered(marked, KEYS, [F.col("frame")], frame_chunk(), rank="rn", sum_to={"nth": "usable"})
+    return ranked.where(F.col("rn") <= max_samples).groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("lengths_kept"), F.sum("length").alias("bytes_kept"),
         F.count(F.when(F.col("nth") <= max_entropy, F.col("entropy"))).alias("entropy_kept"))
 

@@ -78,13 +78,13 @@ def mask_probabilities(trace: DataFrame, prior: DataFrame | None = None) -> Data
 
 
 def classify_flows(probs: DataFrame) -> DataFrame:
-    """Most likely class per flow, its probability mass, top suite and ambiguity."""
+    """Class of the most probable suite per flow, the mass of that class, and ambiguity; ties go to the first suite."""
     per_class = probs.groupBy(*KEYS, "flow", "class").agg(
-        F.sum("prob").alias("mass"), F.min("ord").alias("ord"), F.max("prob").alias("top"), F.max("packets").alias("packets"),
+        F.sum("prob").alias("mass"), F.min_by("ord", F.struct(-F.round("prob", 9), "ord")).alias("ord"), F.max("prob").alias("top"), F.max("packets").alias("packets"),
         F.max("survivors").alias("survivors"), F.max("fallback").alias("fallback"),
         F.max("entropy_samples").alias("entropy_samples"), F.max("mean_entropy").alias("mean_entropy"),
         F.max("distinct_lengths").alias("distinct_lengths"), F.count(F.lit(1)).alias("members"))
-    best = F.struct(F.round("mass", 9), -F.col("ord"), F.struct("class", "mass", "members", "top"))
+    best = F.struct(F.round("top", 9), -F.col("ord"), F.struct("class", "mass", "members", "top"))
     # at most five class rows per flow
     flows = per_class.groupBy(*KEYS, "flow").agg(
         F.max(best).alias("b"), F.max("packets").alias("packets"), F.max("survivors").alias("survivors"),

@@ -32,9 +32,8 @@ def window_loss(log: DataFrame) -> DataFrame:
 def close_windows(packets: DataFrame, keys, max_packets: int, max_bytes: int) -> DataFrame:
     """Where each window ends: the first packet that reaches the packet or the byte bound."""
     o = ordered(packets, keys, [F.col("frame")], frame_chunk(), rank="nth", sum_to={"total": "length"})
-    hit = (F.col("nth") >= max_packets) | (F.col("total") >= max_bytes)
-    stop = o.groupBy(*keys).agg(F.min(F.when(hit, F.col("nth"))).alias("stop"))
-    kept = o.join(stop, keys).where(F.col("stop").isNull() | (F.col("nth") <= F.col("stop")))
+    # both counts only rise, so a packet is inside when the one before it had reached neither bound
+    kept = o.where((F.col("nth") - 1 < max_packets) & (F.col("total") - F.coalesce("length", F.lit(0)) < max_bytes))
     return kept.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"),
         ((F.sum("length") >= max_bytes) & (F.count(F.lit(1)) < max_packets)).alias("truncated"))
@@ -43,15 +42,19 @@ def close_windows(packets: DataFrame, keys, max_packets: int, max_bytes: int) ->
 def evidence_to_delete(files: DataFrame, keep: int, max_bytes: int) -> DataFrame:
     """Files to remove per directory: beyond the newest `keep`, or beyond the byte ceiling, never a protected one.
 
+    max_bytes=0 means no ceiling. A file of unknown age counts as the oldest.
     Only window-*.pcap files count. Running totals go newest first, cut into
     days so a directory with millions of files is not one task.
     """
     f = files.where(F.col("name").rlike(r"^window-.*\.pcap$"))
     guard = f.where("protected").groupBy("dir").agg(F.count(F.lit(1)).alias("pn"), F.sum("bytes").alias("pb"))
-    free = f.where("NOT protected").withColumn("age", -F.col("mtime_us"))
+    free = f.where("NOT protected").withColumn("age", -F.coalesce("mtime_us", F.lit(-(1 << 62))))
     o = ordered(free, ["dir"], [F.col("age"), F.col("name")], F.floor(F.col("age") / (86400 * 10 ** 6)), rank="nth", sum_to={"total": "bytes"})
     o = o.join(guard, "dir", "left").fillna(0, ["pn", "pb"])
-    return o.where((F.col("nth") > F.greatest(F.lit(keep) - F.col("pn"), F.lit(0))) | (F.col("total") + F.col("pb") > max_bytes)).select("dir", "name", "bytes")
+    beyond = F.col("nth") > F.greatest(F.lit(keep) - F.col("pn"), F.lit(0))
+    if max_bytes:
+        beyond |= F.col("total") + F.col("pb") > max_bytes
+    return o.where(beyond).select("dir", "name", "bytes")
 
 
 def rate_guard(events: DataFrame, key: str, ts_us: str, limit: int, seconds: int) -> DataFrame:

@@ -89,14 +89,17 @@ def pinned(df: DataFrame, **cols: Column) -> DataFrame:
 def decode_headers(frames: DataFrame) -> DataFrame:
     """Frame bytes -> packets, without a UDF and in one pass over the frames.
 
-    Ethernet with up to two VLAN tags, raw IP, Linux cooked and null link
+    Ethernet with any number of VLAN tags, raw IP, Linux cooked and null link
     headers; IPv4 options and total length, later fragments dropped; IPv6 with
     up to eight extension headers.
     """
     f, link = F.col("frame_bytes"), F.col("linktype")
     tag1 = hex_at(f, 13, 2).isin(*VLAN_TAGS)
     tag2 = tag1 & hex_at(f, 17, 2).isin(*VLAN_TAGS)
-    start = (F.when(link == ETHERNET, F.when(tag2, 22).when(tag1, 18).otherwise(14))
+    # more than two tags are rare: only then the chain is followed, four bytes a tag
+    deeper = F.aggregate(F.sequence(F.lit(3), F.greatest(F.lit(3), F.floor((F.octet_length(f) - 12) / 4).cast("int"))), F.lit(22),
+                         lambda at, i: F.when((at == 14 + 4 * (i - 1)) & hex_at(f, at - 1, 2).isin(*VLAN_TAGS), at + 4).otherwise(at))
+    start = (F.when(link == ETHERNET, F.when(tag2, deeper).when(tag1, 18).otherwise(14))
              .when(link == LINUX_SLL, 16).when(link == NULL_LINK, 4).otherwise(0))
     d = pinned(frames, _s=start)
     # the EtherType is the two bytes in front of the IP header
@@ -164,7 +167,8 @@ WIRE_LAYOUT = {
 def wire_samples(classed: DataFrame, classes: DataFrame, max_samples: int = 3, high_entropy: float = 7.0) -> DataFrame:
     """First packets of every SPI with header, IV, body and ICV sizes and the residue check.
 
-    `classes` has (capture, src, dst, spi, class). The rank filter keeps
+    `classes` has (capture, src, dst, spi, class); a flow without a known class
+    takes 16 bytes for IV, ICV and block. The rank filter keeps
     `max_samples` rows per flow before the shuffle.
     """
     from pyspark.sql import Window as W
@@ -176,7 +180,7 @@ def wire_samples(classed: DataFrame, classes: DataFrame, max_samples: int = 3, h
     first = esp_from_packets(kept, keep=("nth",))
     j = first.join(classes, ["capture", "src", "dst", "spi"], "left")
     layout = {i: F.create_map(*[F.lit(x) for c, v in WIRE_LAYOUT.items() for x in (c, v[i])])[F.col("class")] for i in range(3)}
-    iv, icv, block = (F.coalesce(layout[i], F.lit(d)) for i, d in ((0, 8), (1, 16), (2, 16)))
+    iv, icv, block = (F.coalesce(layout[i], F.lit(d)) for i, d in ((0, 16), (1, 16), (2, 16)))
     body = F.greatest(F.col("length") - iv - icv, F.lit(0))
     return j.select(
         "capture", "src", "dst", "spi", "nth", "frame", "seq", "length", iv.alias("iv_bytes"),

@@ -14,13 +14,13 @@ def positioned(df: DataFrame, keys, order, chunk) -> DataFrame:
     `chunk` is a list of Columns that never decrease along the order, so a hot
     key is ranked piece by piece (see scan.ordered).
     """
-    w = W.partitionBy(*keys, "_p").orderBy(*order)
     d = df.withColumn("_p", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(chunk)]))
     sizes = d.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
-    return d.withColumn("_r", F.row_number().over(w)).join(starts, [*keys, "_p"]).withColumn(
-        "pos", F.col("_n0") + F.col("_r")).drop("_p", "_r", "_n0")
+    starts = sizes.select(*keys, "_p", F.lit(0).alias("_row"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    both = d.withColumn("_row", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    w = W.partitionBy(*keys, "_p").orderBy("_row", *order).rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("pos", F.sum(F.coalesce("_n0", "_row")).over(w)).where("_row = 1").drop("_p", "_row", "_n0")
 
 
 def capture_stats(classed: DataFrame, min_packets: int = 8) -> DataFrame:

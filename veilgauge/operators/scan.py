@@ -4,9 +4,9 @@ A plain window function puts every row of a key into one task, so a key that
 holds a third of the data stalls the job. Here the rows of a key are cut into
 chunks by a column that never decreases along the order (frame // 65536, the
 hour of a timestamp, a key prefix). The row-level window then runs per
-(key, chunk), a small window over one row per chunk carries the state across
-chunk borders, and a join puts the two together. Results equal the plain
-window's; only the largest task changes, from one key to one chunk.
+(key, chunk), where a border row in front of each chunk carries the state that a
+small window over one row per chunk has found. Results equal the plain
+window's, null keys included; only the largest task changes, from one key to one chunk.
 """
 
 from __future__ import annotations
@@ -44,50 +44,39 @@ def ordered(
     lag, max_before, sum_to = dict(lag or {}), dict(max_before or {}), dict(sum_to or {})
     keys = list(keys)
     df = df.withColumn("_chunk", chunk)
-    rows = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    before = rows.rowsBetween(W.unboundedPreceding, -1)
-    upto = rows.rowsBetween(W.unboundedPreceding, 0)
     chunks = W.partitionBy(*keys).orderBy("_chunk")
     earlier = chunks.rowsBetween(W.unboundedPreceding, -1)
 
-    # one row per (key, chunk), combined map-side
+    # one row per (key, chunk), combined map-side; a window over them gives the state at each border
     aggs, carries = [], []
     if rank:
         aggs.append(F.count(F.lit(1)).alias("_n"))
         carries.append(F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"))
     for out, src in lag.items():
         aggs.append(F.max_by(F.col(src), F.struct(*order)).alias(f"_l_{out}"))
-        carries.append(F.lag(f"_l_{out}").over(chunks).alias(f"_l0_{out}"))
+        carries.append(F.lag(f"_l_{out}").over(chunks).alias(f"_v_{out}"))
     for out, src in max_before.items():
         aggs.append(F.max(src).alias(f"_m_{out}"))
-        carries.append(F.max(f"_m_{out}").over(earlier).alias(f"_m0_{out}"))
+        carries.append(F.max(f"_m_{out}").over(earlier).alias(f"_v_{out}"))
     for out, src in sum_to.items():
         aggs.append(F.sum(src).alias(f"_s_{out}"))
-        carries.append(F.coalesce(F.sum(f"_s_{out}").over(earlier), F.lit(0)).alias(f"_s0_{out}"))
-    carried = df.groupBy(*keys, "_chunk").agg(*aggs).select(*keys, "_chunk", *carries)
-
-    local = df
-    if rank:
-        local = local.withColumn("_r", F.row_number().over(rows))
-    for out, src in lag.items():
-        local = local.withColumn(f"_li_{out}", F.lag(src).over(rows)).withColumn(
-            f"_first_{out}", F.row_number().over(rows) == 1)
-    for out, src in max_before.items():
-        local = local.withColumn(f"_mi_{out}", F.max(src).over(before))
-    for out, src in sum_to.items():
-        local = local.withColumn(f"_si_{out}", F.sum(src).over(upto))
-
-    joined = local.join(carried, [*keys, "_chunk"])
+        carries.append(F.coalesce(F.sum(f"_s_{out}").over(earlier), F.lit(0)).alias(f"_v_{out}"))
+    borders = df.groupBy(*keys, "_chunk").agg(*aggs).select(*keys, "_chunk", F.lit(0).alias("_row"), *carries)
+
+    # the border row stands first in its chunk, so the row window needs no join and keeps null keys
+    both = df.select("*", F.lit(1).alias("_row"), *[F.col(src).alias(f"_v_{out}") for m in (lag, max_before, sum_to) for out, src in m.items()])
+    both = both.unionByName(borders, allowMissingColumns=True)
+    rows = W.partitionBy(*keys, "_chunk").orderBy("_row", *order)
+    before, upto = rows.rowsBetween(W.unboundedPreceding, -1), rows.rowsBetween(W.unboundedPreceding, 0)
     if rank:
-        joined = joined.withColumn(rank, F.col("_n0") + F.col("_r"))
+        both = both.withColumn(rank, F.sum(F.coalesce("_n0", "_row")).over(upto))
     for out in lag:
-        joined = joined.withColumn(
-            out, F.when(F.col(f"_first_{out}"), F.col(f"_l0_{out}")).otherwise(F.col(f"_li_{out}")))
+        both = both.withColumn(out, F.lag(f"_v_{out}").over(rows))
     for out in max_before:
-        joined = joined.withColumn(out, F.greatest(F.col(f"_m0_{out}"), F.col(f"_mi_{out}")))
+        both = both.withColumn(out, F.max(f"_v_{out}").over(before))
     for out in sum_to:
-        joined = joined.withColumn(out, F.col(f"_s0_{out}") + F.col(f"_si_{out}"))
-    return joined.select(*[c for c in joined.columns if not c.startswith("_")])
+        both = both.withColumn(out, F.sum(f"_v_{out}").over(upto))
+    return both.where("_row = 1").select(*[c for c in both.columns if not c.startswith("_")])
 
 
 def exact_percentiles(

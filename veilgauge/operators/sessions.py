@@ -28,18 +28,22 @@ def _family() -> Column:
     return F.get(F.filter(F.transform("vendor_ids", lambda v: known[v]), lambda f: f.isNotNull()), F.lit(0))
 
 
-def group_bits(groups) -> dict[int, int]:
-    """Bit position per policy group; the set of groups seen travels as one long."""
-    return {g: i for i, g in enumerate(sorted(set(groups))[:62])}
+MASK_BITS = 62
+
+
+def group_bits(groups) -> dict[int, tuple[int, int]]:
+    """(mask, bit) per policy group; the set of groups seen travels as one long per MASK_BITS groups."""
+    return {g: divmod(i, MASK_BITS) for i, g in enumerate(sorted(set(groups)))}
 
 
 def sessions(messages: DataFrame, policy: R.Policy = R.BASELINE_POLICY) -> DataFrame:
     """One row per handshake with what was offered, what was selected and what was seen."""
     watched = group_bits(policy.dh_prohibited + policy.dh_legacy)
-    bit = F.coalesce(*[F.when(F.col("ke_group") == g, F.lit(1 << i).cast("bigint")) for g, i in watched.items()], F.lit(0))
+    masks = sorted({word for word, _ in watched.values()})
+    bit = {word: F.coalesce(*[F.when(F.col("ke_group") == g, F.lit(1 << i).cast("bigint")) for g, (w, i) in watched.items() if w == word], F.lit(0)) for word in masks}
     order = F.struct("ts_us", "frame")
     m = messages.withColumnRenamed("initiator_spi", "sid").withColumns({
-        "_tr": _ike_transforms(), "_fam": _family(), "_bit": bit.cast("bigint"), "_o": order})
+        "_tr": _ike_transforms(), "_fam": _family(), "_o": order, **{f"_bit{w}": b.cast("bigint") for w, b in bit.items()}})
     has_tr = F.col("_tr").isNotNull()
     notified = lambda n: F.array_contains("notifies", n)
 
@@ -62,13 +66,13 @@ def sessions(messages: DataFrame, policy: R.Policy = R.BASELINE_POLICY) -> DataF
         "short_nonce": F.coalesce(F.col("nonce_len") < 16, F.lit(False)),
         **{f"alarm_{i}": notified(n) for i, n in enumerate(ALARMS)},
     }
-    aggs = [F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.bit_or("_bit").alias("group_mask"),
+    aggs = [F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), *[F.bit_or(f"_bit{w}").alias(f"group_mask{w}") for w in masks],
             F.sum(F.size("parse_errors")).alias("parse_errors")]
     aggs += [F.min_by(value, F.when(cond, by)).alias(name) for name, (value, cond, by) in earliest.items()]
     aggs += [F.max(c).alias(n) for n, c in flags.items()]
     s = m.groupBy(*SA).agg(*aggs).join(message_counts(messages), SA)
     seen_groups = F.filter(F.array(*[
-        F.when(F.col("group_mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(g)) for g, i in watched.items()]),
+        F.when(F.col(f"group_mask{w}").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(g)) for g, (w, i) in watched.items()]),
         lambda g: g.isNotNull())
     return s.select(
         *SA, F.col("first.version").alias("version"), F.col("first.src").alias("peer_a"), F.col("first.dst").alias("peer_b"),

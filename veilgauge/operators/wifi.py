@@ -113,7 +113,7 @@ def wifi_score(findings: DataFrame, hosts: DataFrame) -> DataFrame:
     s = hosts.select("host", (F.lower("state") == "connected").alias("up")).join(total, "host", "left")
     score = F.when(F.col("up"), F.greatest(F.lit(0), F.least(F.lit(100), 100 + F.coalesce("delta", F.lit(0))))).otherwise(0).cast("int")
     s = s.withColumn("score", score)
-    grade = (F.when(~F.col("up"), "-").when(F.col("score") >= 95, "A+").when(F.col("score") >= 90, "A").when(F.col("score") >= 80, "B")
+    grade = (F.when(~F.col("up"), "\u2014").when(F.col("score") >= 95, "A+").when(F.col("score") >= 90, "A").when(F.col("score") >= 80, "B")
              .when(F.col("score") >= 70, "C").when(F.col("score") >= 55, "D").otherwise("F"))
     return s.withColumn("grade", grade).drop("delta")
 

@@ -37,7 +37,8 @@ def with_ctes(sql: str) -> str:
     visit(sql)
     if not order:
         return sql.strip()
-    parts = ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    # materialized: a block that several others read is computed once
+    parts = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in order)
     body = sql.strip()
     if body.startswith("WITH "):  # the query brings its own CTEs
         return f"WITH {parts},\n{body[5:]}"

@@ -98,9 +98,9 @@ ON a.capture = f.capture AND a.src = f.src AND a.dst = f.dst AND a.spi = f.spi A
 # most likely class of a flow under a flat prior over surviving suites
 cte("v_top", """
 SELECT capture, src, dst, spi, flow, packets, truth, mode, loss, tfc, entropy_samples, mean_entropy, distinct_lengths,
-  arg_max(class, struct_pack(m := mass, o := -ord)) AS class, max(mass) AS confidence, max(n_surv) AS survivors
+  arg_max(class, struct_pack(t := top, o := -ord)) AS class, arg_max(mass, struct_pack(t := top, o := -ord)) AS confidence, max(n_surv) AS survivors
 FROM (SELECT capture, src, dst, spi, flow, packets, truth, mode, loss, tfc, entropy_samples, mean_entropy, distinct_lengths,
-  class, round(sum(prob), 9) AS mass, max(n) AS n_surv, min(ord) AS ord
+  class, round(sum(prob), 9) AS mass, max(n) AS n_surv, round(max(prob), 9) AS top, arg_min(ord, struct_pack(p := -round(prob, 9), o := ord)) AS ord
   FROM (SELECT t.*, CASE WHEN n = 0 THEN 1e0 / 9 WHEN failed IS NULL THEN 1e0 / n ELSE 0e0 END AS prob FROM
     (SELECT *, sum(CASE WHEN failed IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY capture, src, dst, spi) AS n FROM v_trace) t)
   GROUP BY ALL) GROUP BY ALL
@@ -245,14 +245,15 @@ RULE_SQL = {
       LEFT JOIN d_policy p ON p.kind = 'ENCR' AND p.name = n.name WHERE p.name IS NOT NULL OR n.key_length < 128""",
     "IKE-005": """SELECT s.capture, s.peer AS subject, CASE p.verdict WHEN 'prohibited' THEN 'Prohibited ' ELSE 'Deprecated ' END || CASE p.kind WHEN 'PRF' THEN 'PRF: ' ELSE 'integrity algorithm: ' END || n.name AS title,
       CASE WHEN p.verdict = 'prohibited' THEN 'high' WHEN p.kind = 'PRF' THEN 'low' ELSE 'medium' END AS severity
-      FROM v_str s JOIN v_neg n ON n.sid = s.sid JOIN d_policy p ON p.name = n.name AND ((n.type_id = 3 AND p.kind = 'INTEG') OR (n.type_id = 2 AND p.kind = 'PRF'))""",
+      FROM v_str s JOIN v_neg n ON n.sid = s.sid JOIN d_policy p ON p.name = n.name AND p.kind = CASE n.type_id WHEN 3 THEN 'INTEG' WHEN 2 THEN 'PRF' END""",
     "IKE-006": """SELECT s.capture, s.peer AS subject, CASE p.verdict WHEN 'prohibited' THEN 'Prohibited' ELSE 'Deprecated' END || ' Diffie-Hellman group ' || n.value_id || ' (' || d.gname || ')' AS title,
       CASE p.verdict WHEN 'prohibited' THEN 'critical' ELSE 'high' END AS severity
       FROM v_str s JOIN (SELECT DISTINCT sid, value_id FROM v_neg WHERE type_id = 4) n ON n.sid = s.sid JOIN d_policy p ON p.kind = 'DH' AND p.name = n.value_id::VARCHAR JOIN d_dh d ON d.gid = n.value_id""",
     "IKE-007": """SELECT s.capture, s.peer AS subject, 'No quantum-resistant key establishment' AS title, 'medium' AS severity FROM v_str s
       WHERE NOT (s.confirmed AND s.k % 19 = 0) AND NOT EXISTS (SELECT 1 FROM v_neg n WHERE n.sid = s.sid AND s.confirmed AND (n.type_id = 4 OR n.type_id >= 6) AND n.value_id IN (35, 36, 37))""",
     "IKE-008": """SELECT s.capture, s.peer AS subject, 'Broken transforms remain in the proposal set' AS title, 'medium' AS severity FROM v_str s WHERE s.sid IN (
-      SELECT o.sid FROM v_offer o JOIN d_policy p ON p.verdict = 'prohibited' AND ((p.kind = 'ENCR' AND o.type_id = 1 AND p.name = o.name) OR (p.kind = 'INTEG' AND o.type_id = 3 AND p.name = o.name) OR (p.kind = 'DH' AND o.type_id = 4 AND p.name = o.value_id::VARCHAR))
+      SELECT o.sid FROM v_offer o JOIN (SELECT * FROM d_policy WHERE verdict = 'prohibited') p
+        ON p.kind = CASE o.type_id WHEN 1 THEN 'ENCR' WHEN 3 THEN 'INTEG' WHEN 4 THEN 'DH' END AND p.name = CASE o.type_id WHEN 4 THEN o.value_id::VARCHAR ELSE o.name END
       LEFT JOIN v_neg n ON n.sid = o.sid AND n.label = o.name || CASE WHEN o.key_length > 0 THEN '-' || o.key_length ELSE '' END WHERE o.type_id = 4 OR n.sid IS NULL)""",
     "IKE-009": """SELECT s.capture, s.peer AS subject, 'Excessive SA lifetime (' || printf('%.1f', l.lifetime / 3600e0) || ' hours)' AS title, 'medium' AS severity
       FROM v_str s JOIN v_life l ON l.sid = s.sid WHERE l.lifetime > 86400""",

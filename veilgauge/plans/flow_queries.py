@@ -116,25 +116,21 @@ def _(spark, d):
 
 
 @query("wire_samples", """
-SELECT r.capture, r.src, r.dst, ('0x' || substr(hexed, 1, 8))::BIGINT AS spi, nth, frame, frame AS seq, length(hexed) // 2 - 8 AS length,
-  CASE c.class WHEN '64-bit block cipher' THEN 8 WHEN 'AEAD or counter mode' THEN 8 ELSE 16 END AS iv_bytes,
-  greatest(length(hexed) // 2 - 8 - CASE c.class WHEN '64-bit block cipher' THEN 20 WHEN 'AEAD or counter mode' THEN 24 ELSE 28 END, 0) AS body_bytes,
-  CASE c.class WHEN 'AEAD or counter mode' THEN 16 ELSE 12 END AS icv_bytes,
-  (length(hexed) // 2 - 8) % CASE c.class WHEN '64-bit block cipher' THEN 8 ELSE 16 END AS residue,
-  CASE c.class WHEN '64-bit block cipher' THEN 4 WHEN 'AEAD or counter mode' THEN 8 ELSE 12 END AS expected,
-  (length(hexed) // 2 - 8) % CASE c.class WHEN '64-bit block cipher' THEN 8 ELSE 16 END
-    = CASE c.class WHEN '64-bit block cipher' THEN 4 WHEN 'AEAD or counter mode' THEN 8 ELSE 12 END AS residue_ok,
-  false AS looks_encrypted
-FROM (SELECT *, row_number() OVER (PARTITION BY capture, src, dst, substr(hexed, 1, 8) ORDER BY frame) AS nth FROM v_raw_class WHERE pkt_class LIKE 'esp%') r,
- LATERAL (SELECT CASE ('0x' || substr(r.hexed, 1, 8))::BIGINT % 3 WHEN 0 THEN '64-bit block cipher' WHEN 1 THEN 'AEAD or counter mode' ELSE 'AES-CBC with 96-bit ICV' END AS class) c
+SELECT r.capture, r.src, r.dst, ('0x' || substr(hexed, 1, 8))::BIGINT AS spi, nth, frame, frame AS seq, n AS length, c.iv AS iv_bytes,
+  greatest(n - c.iv - c.icv, 0) AS body_bytes, c.icv AS icv_bytes, n % c.block AS residue, (c.iv + c.icv) % c.block AS expected,
+  n % c.block = (c.iv + c.icv) % c.block AS residue_ok, false AS looks_encrypted
+FROM (SELECT *, length(hexed) // 2 - 8 AS n, row_number() OVER (PARTITION BY capture, src, dst, substr(hexed, 1, 8) ORDER BY frame) AS nth FROM v_raw_class WHERE pkt_class LIKE 'esp%') r
+ JOIN (VALUES (0, 8::BIGINT, 12::BIGINT, 8::BIGINT), (1, 8, 16, 16), (2, 16, 12, 16), (3, 16, 16, 16)) c(kind, iv, icv, block) ON c.kind = ('0x' || substr(r.hexed, 1, 8))::BIGINT % 4
 WHERE nth <= 3""")
 def _(spark, d):
+    """Flows of three known classes and flows without one."""
     classed = P.classify(A.raw_packets(spark, d))
     spis = classed.where(F.col("pkt_class").isin("esp", "esp_natt")).select(
         "capture", "src", "dst", P.uint(F.col("payload"), 1, 4).alias("spi")).distinct()
-    classes = spis.withColumn("class", F.when(F.col("spi") % 3 == 0, "64-bit block cipher").when(
-        F.col("spi") % 3 == 1, "AEAD or counter mode").otherwise("AES-CBC with 96-bit ICV"))
-    return P.wire_samples(classed, classes)
+    classes = spis.where("spi % 4 < 3").withColumn("class", F.when(F.col("spi") % 4 == 0, "64-bit block cipher").when(
+        F.col("spi") % 4 == 1, "AEAD or counter mode").otherwise("AES-CBC with 96-bit ICV"))
+    samples = P.wire_samples(classed, classes)
+    return samples.withColumns({c: F.col(c).cast("bigint") for c in ("iv_bytes", "icv_bytes", "residue", "expected")})
 
 
 # --- flows --------------------------------------------------------------------------

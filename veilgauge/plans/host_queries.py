@@ -77,7 +77,7 @@ for _r in WIFI_SQL:
 
 
 @query("wifi_score", """
-SELECT host, findings, score, CASE WHEN NOT up THEN '-' WHEN score >= 95 THEN 'A+' WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 55 THEN 'D' ELSE 'F' END AS grade FROM (
+SELECT host, findings, score, CASE WHEN NOT up THEN chr(8212) WHEN score >= 95 THEN 'A+' WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 55 THEN 'D' ELSE 'F' END AS grade FROM (
  SELECT h.host, h.up, count(*) AS findings, CASE WHEN h.up THEN greatest(0, least(100, 100 + sum(delta)))::INT ELSE 0 END AS score FROM v_host h JOIN v_wifi_findings f ON f.host = h.host GROUP BY h.host, h.up)""")
 def _(spark, d):
     return WF.wifi_score(_audit(spark, d), A.wifi_host(spark, d)).select("host", "findings", "score", "grade")

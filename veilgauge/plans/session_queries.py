@@ -363,15 +363,17 @@ def _(spark, d):
 
 
 @query("addr_sort", """
-SELECT addr, row_number() OVER (ORDER BY a, b, c, d) AS pos FROM (SELECT DISTINCT '10.' || (user_id % 13) || '.' || (event_id % 256) || '.' || (event_id // 256 % 7) AS addr,
-  user_id % 13 AS a, event_id % 256 AS b, event_id // 256 % 7 AS c, 0 AS d FROM events)""")
+SELECT addr, row_number() OVER (ORDER BY kind, a, b, c, addr) AS pos FROM (SELECT DISTINCT 0 AS kind, '10.' || (user_id % 13) || '.' || (event_id % 256) || '.' || (event_id // 256 % 7) AS addr,
+  user_id % 13 AS a, event_id % 256 AS b, event_id // 256 % 7 AS c FROM events
+ UNION ALL SELECT DISTINCT 1, '2001:db8::' || lower(to_hex(1 + event_id % 500)), event_id % 500, 0, 0 FROM events UNION ALL SELECT DISTINCT 2, 'host-' || (user_id % 40), 0, 0, 0 FROM events)""")
 def _(spark, d):
-    from ..functions.bytes import address_key
+    from ..functions.bytes import address_chunk, address_key
 
     e = A.table(spark, d, "events").selectExpr(
-        "concat('10.', user_id % 13, '.', event_id % 256, '.', event_id div 256 % 7) AS addr").distinct()
+        "inline(array(named_struct('addr', concat('10.', user_id % 13, '.', event_id % 256, '.', event_id div 256 % 7)),"
+        " named_struct('addr', concat('2001:db8::', lower(hex(1 + event_id % 500)))), named_struct('addr', concat('host-', user_id % 40))))").distinct()
     e = e.withColumn("key", address_key(F.col("addr"))).withColumn("net", F.lit("all"))
-    return PO.positioned(e, ["net"], [F.asc("key")], [F.floor(F.col("key.v4") / 65536)]).select("addr", "pos")
+    return PO.positioned(e, ["net"], [F.asc("key")], address_chunk(F.col("key"))).select("addr", "pos")
 
 
 # --- decoding ---------------------------------------------------------------------

@@ -75,7 +75,7 @@ NOW_US = 1_000_000_000_000_000  # 2001-09-09
 
 @query("base_retention", f"""
 SELECT o.id, o.peer_key, o.observed_us FROM v_obs o JOIN v_base b ON b.peer_key = o.peer_key WHERE (o.observed_us >= {NOW_US} - 900 * 86400000000 AND b.observations - o.rn < 3)
-  OR o.id = b.best_observation_id OR o.rn = b.observations OR (o.observed_us, o.capture) IN (SELECT (observed_us, capture) FROM v_obs WHERE id = (SELECT max(id) FROM v_obs))""")
+  OR o.id = b.best_observation_id OR o.rn = b.observations OR (o.observed_us, o.capture) IN (SELECT max((observed_us, capture)) FROM v_obs)""")
 def _(spark, d):
     o = obs(spark, d)
     return FT.prune(o, FT.baselines(o), NOW_US, keep=3, days=900).select("id", "peer_key", "observed_us")
@@ -83,11 +83,11 @@ def _(spark, d):
 
 @query("retention_keep", f"""
 SELECT o.peer_key, count(*) AS removed FROM v_obs o JOIN v_base b ON b.peer_key = o.peer_key WHERE NOT ((o.observed_us >= {NOW_US} - 900 * 86400000000 AND b.observations - o.rn < 3)
-  OR o.id = b.best_observation_id OR o.rn = b.observations OR (o.observed_us, o.capture) IN (SELECT (observed_us, capture) FROM v_obs WHERE id = (SELECT max(id) FROM v_obs))) GROUP BY o.peer_key""")
+  OR o.id = b.best_observation_id OR o.rn = b.observations OR (o.observed_us, o.capture) IN (SELECT max((observed_us, capture)) FROM v_obs)) GROUP BY o.peer_key""")
 def _(spark, d):
     o = obs(spark, d)
     kept = FT.prune(o, FT.baselines(o), NOW_US, keep=3, days=900)
-    return o.join(kept.select("id"), "id", "left_anti").groupBy("peer_key").agg(F.count(F.lit(1)).alias("removed"))
+    return o.join(kept.select("capture", "id"), ["capture", "id"], "left_anti").groupBy("peer_key").agg(F.count(F.lit(1)).alias("removed"))
 
 
 @query("base_history", "SELECT peer_key, id, n - rn + 1 AS pos, classical_bits FROM (SELECT *, max(rn) OVER (PARTITION BY peer_key) AS n FROM v_obs) WHERE n - rn < 50")
@@ -108,7 +108,7 @@ SELECT id, array_to_string(list_filter(string_split(base.t, ','), lambda x: NOT
   array_to_string(list_filter(string_split(transforms, ','), lambda x: NOT list_contains(string_split(base.t, ','), x)), ',') AS added FROM v_verdict WHERE base IS NOT NULL""")
 def _(spark, d):
     o = obs(spark, d)
-    return FT.replay(FT.verdicts(o), FT.baselines(o)).where("baseline_bits IS NOT NULL").select(
+    return FT.changes(FT.verdicts(o)).where("baseline_bits IS NOT NULL").select(
         "id", joined("removed").alias("removed"), joined("added").alias("added"))
 
 

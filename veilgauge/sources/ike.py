@@ -8,6 +8,7 @@ datagram yields a row with parse_errors, never an exception.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,7 +35,6 @@ NOTIFY = {
     16431: "SIGNATURE_HASH_ALGORITHMS", 16435: "USE_PPK", 16438: "INTERMEDIATE_EXCHANGE_SUPPORTED",
 }
 NAMES = {1: R.ENCR, 2: R.PRF, 3: R.INTEG, 5: R.ESN}
-MAX_CHAIN = 64
 
 
 class Cut(Exception):
@@ -70,9 +70,9 @@ def transform(type_id: int, value: int, name: str, key_length=None) -> dict:
             "key_length": key_length}
 
 
-def substructures(b: bytes, what: str, errors: list[str], limit: int) -> Iterator[tuple[int, bytes]]:
-    """(more flag, body) of a run of structures headed by flag, reserved, 16-bit length."""
-    for _ in range(limit):
+def substructures(b: bytes, what: str, errors: list[str], stated: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(more flag, body) of a run of structures headed by flag, reserved, 16-bit length; at most the stated number."""
+    for _ in itertools.repeat(None) if stated is None else range(stated):  # lengths are at least 8, so any run ends
         if len(b) < 8:
             if b:
                 errors.append(f"{what}: {len(b)} bytes left over")
@@ -111,7 +111,7 @@ def v1_suite(b: bytes, row: dict) -> list[dict]:
 
 def proposals(b: bytes, v2: bool, row: dict) -> list[dict]:
     out = []
-    for more, p in substructures(b if v2 else b[8:], "proposal", row["parse_errors"], 32):
+    for more, p in substructures(b if v2 else b[8:], "proposal", row["parse_errors"]):
         spi_end = 8 + p[6]
         parts: list[dict] = []
         for _, t in substructures(p[spi_end:], "transform", row["parse_errors"] if v2 else [], p[7]):
@@ -181,9 +181,7 @@ SK, SKF = 46, 53
 def walk(body: bytes, kind: int, v2: bool, row: dict) -> None:
     """Follow the payload chain; encrypted IKEv2 payloads end it."""
     handlers = V2_HANDLERS if v2 else V1_HANDLERS
-    for _ in range(MAX_CHAIN):
-        if kind == 0 or len(body) < 4:
-            return
+    while kind != 0 and len(body) >= 4:  # every payload takes 4 bytes or more
         size = num(body, 2, 2)
         if size < 4 or size > len(body):
             row["parse_errors"].append(f"payload {R.PAYLOADS_V2.get(kind, kind) if v2 else kind}: bad length {size}")

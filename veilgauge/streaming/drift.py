@@ -24,7 +24,8 @@ class DriftProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.best = handle.getValueState("best", BEST, self.ttl_ms) if self.ttl_ms else handle.getValueState("best", BEST)
-        self.seen = handle.getMapState("seen", "bits int", "n bigint")
+        # both states expire together, else a link that returns would be promoted on old counts
+        self.seen = handle.getMapState("seen", "bits int", "n bigint", self.ttl_ms) if self.ttl_ms else handle.getMapState("seen", "bits int", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["observed_us", "id"])

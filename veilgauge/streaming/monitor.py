@@ -18,9 +18,15 @@ def window_flows(packets: DataFrame, window: str = "60 seconds", watermark: str
         F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), F.min("length").alias("min_length"), F.max("length").alias("max_length"))
 
 
-def spi_stats(packets: DataFrame) -> DataFrame:
-    """Running totals per SPI with first and last sight."""
-    return packets.groupBy("spi").agg(
+def spi_stats(packets: DataFrame, window: str | None = None, watermark: str | None = None) -> DataFrame:
+    """Running totals per SPI with first and last sight.
+
+    On a stream give a window and a watermark: totals are then kept per window
+    and forgotten behind the watermark, however many SPIs are made up.
+    """
+    p = packets.withWatermark("ts", watermark) if watermark else packets
+    keys = [F.window("ts", window).alias("w"), "spi"] if window else ["spi"]
+    return p.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
 
 
@@ -69,8 +75,9 @@ def start_monitor(packets: DataFrame, out: str, checkpoint: str, window: str = "
     stats = window_columns(window_flows(packets, window, watermark))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/windows/batch={batch_id}")
-        batch.agg(F.count(F.lit(1)).alias("flows"), F.max("window_us").alias("last_window_us"), F.sum("packets").alias("packets")).write.mode(
+        target = f"{out}/windows/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
+        batch.sparkSession.read.schema(batch.schema).parquet(target).agg(F.count(F.lit(1)).alias("flows"), F.max("window_us").alias("last_window_us"), F.sum("packets").alias("packets")).write.mode(
             "overwrite").parquet(f"{out}/window_log/batch={batch_id}")
 
     w = stats.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
@@ -78,10 +85,11 @@ def start_monitor(packets: DataFrame, out: str, checkpoint: str, window: str = "
 
 
 def cap_new_peers(batch: DataFrame, known: DataFrame, max_new_peers: int = 64) -> DataFrame:
-    """For foreachBatch: rows of links that are known or within the cap of new links of this batch."""
+    """For foreachBatch: all rows, `withheld` where a new link of this batch is past the cap of its capture.
+
+    A withheld row is recorded like any other; only a baseline is not opened from it.
+    """
     from ..operators.fleet import new_peers
 
-    ranked = new_peers(batch, known, max_new_peers)
-    opened = ranked.where("NOT withheld").select("capture", "peer_key")
-    fresh = batch.join(opened, ["capture", "peer_key"], "left_semi")
-    return batch.join(known.select("peer_key"), "peer_key", "left_semi").unionByName(fresh)
+    past = new_peers(batch, known, max_new_peers).where("withheld").select("capture", "peer_key", "withheld")
+    return batch.join(past, ["capture", "peer_key"], "left").withColumn("withheld", F.coalesce("withheld", F.lit(False)))
