@@ -131,9 +131,10 @@ def flow_features(packets: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("uniq"), F.collect_list("length").alias("lengths"),
         (F.sum(F.when(length < 128, n).otherwise(0)) / total).alias("small_pkt_ratio"),
         (F.sum(F.when(length > 1300, n).otherwise(0)) / total).alias("mtu_pkt_ratio"),
+        # exact and interpolated; a flow has at most 65,536 lengths to hold
+        F.percentile("length", list(PROBS.values()), F.col("n")).alias("quantiles"),
         F.sum("en").alias("en"), F.sum("es").alias("es"), F.sum("es2").alias("es2"), F.min("emin").alias("emin"),
         F.min("t0").alias("t0"), F.max("t1").alias("t1"))
-    quant = exact_percentiles(counts, KEYS, "length", "n", {f"len_{k}": p for k, p in PROBS.items()}, width=1024)
 
     gaps = inter_arrivals(packets).groupBy(*KEYS, "iat_us").agg(F.count(F.lit(1)).alias("k"))
     iat = gaps.groupBy(*KEYS).agg(
@@ -151,13 +152,13 @@ def flow_features(packets: DataFrame) -> DataFrame:
     e_mean = F.when(F.col("en") > 0, F.col("es") / F.col("en")).otherwise(zero)
     i_mean = F.coalesce(F.col("iat_mean_us") / 1e6, zero)
     i_std = F.coalesce(spread(F.col("isq"), i_mean, F.col("ik")), zero)
-    joined = base.join(quant, KEYS).join(iat, KEYS, "left").join(iat_p50, KEYS, "left").join(bursts, KEYS, "left")
+    joined = base.join(iat, KEYS, "left").join(iat_p50, KEYS, "left").join(bursts, KEYS, "left")
     low = F.col("lo").cast("bigint")
     return joined.select(
         *KEYS, *[F.col(c) for c in SHARE_NAMES],
         F.col("len_mean"), spread(F.col("sq"), F.col("len_mean"), F.col("packets")).alias("len_std"),
         F.col("lo").cast("double").alias("len_min"), F.col("hi").cast("double").alias("len_max"),
-        *[F.col(f"len_{k}") for k in PROBS], (F.col("uniq") / F.col("packets")).alias("len_unique_ratio"),
+        *[F.get("quantiles", F.lit(i)).alias(f"len_{k}") for i, k in enumerate(PROBS)], (F.col("uniq") / F.col("packets")).alias("len_unique_ratio"),
         (F.col("hi") - F.col("lo")).cast("double").alias("len_range"),
         gcd_with(F.col("lengths"), low).cast("double").alias("len_gcd"),
         gcd_of_gaps(F.col("lengths")).cast("double").alias("len_delta_gcd"),

@@ -215,36 +215,35 @@ def _(spark, d):
         "capture", "flow", "packets", "pos")
 
 
-@query("flow_features", """
+_SHARES = {**{f"mod{m}_{i}": f"avg((length % {m} = {i})::INT)" for m in (16, 8, 4) for i in range(m)},
+           **{f"lenhist_{i}": f"avg((least(floor(least(length, 1600) * 36 / 1600e0), 35) = {i})::INT)" for i in range(36)}}
+# decimals compared, 4 where none are stated
+_DIGITS = {"entropy_std": 3, "iat_mean": 3, "iat_std": 2, "iat_p50": 3, "packet_rate": 6, "log_packets": 6}
+_FEATURE_SQL = {
+    **{c: c for c in [*_SHARES, "len_mean", "len_std", "len_p25", "len_p50", "len_p75", "len_p90", "len_unique_ratio", "small_pkt_ratio", "mtu_pkt_ratio",
+                      "entropy_mean", "entropy_std", "entropy_min", "iat_mean", "iat_std", "iat_p50", "burstiness"]},
+    "len_min": "lo::DOUBLE", "len_max": "hi::DOUBLE", "len_range": "(hi - lo)::DOUBLE", "len_gcd": "list_reduce(ls, lambda a, b: gcd(a, b))::DOUBLE",
+    "len_delta_gcd": "list_reduce(list_prepend(0, list_transform(ls, lambda x: x - lo)), lambda a, b: gcd(a, b))::DOUBLE",
+    "iat_cv": "iat_std / iat_mean", "packet_rate": "n / dur", "log_packets": "ln(1 + n)"}
+
+
+@query("flow_features", f"""
 WITH lens AS (SELECT capture, src, dst, spi, avg(length) AS len_mean, stddev_pop(length) AS len_std, quantile_cont(length, 0.25) AS len_p25,
    quantile_cont(length, 0.5) AS len_p50, quantile_cont(length, 0.75) AS len_p75, quantile_cont(length, 0.9) AS len_p90,
-   count(DISTINCT length) / count(*) AS len_unique_ratio, max(length) - min(length) AS len_range,
-   list_reduce(list(DISTINCT length), lambda a, b: gcd(a, b)) AS len_gcd,
+   count(DISTINCT length) / count(*) AS len_unique_ratio, min(length) AS lo, max(length) AS hi, list(DISTINCT length) AS ls,
    avg((length < 128)::INT) AS small_pkt_ratio, avg((length > 1300)::INT) AS mtu_pkt_ratio,
    coalesce(avg(entropy), 0) AS entropy_mean, coalesce(stddev_pop(entropy), 0) AS entropy_std, coalesce(min(entropy), 0) AS entropy_min,
-   avg((length % 16 = 4)::INT) AS mod16_4, avg((length % 8 = 4)::INT) AS mod8_4, avg((length % 4 = 0)::INT) AS mod4_0,
-   avg((least(floor(least(length, 1600) * 36 / 1600e0), 35) = 3)::INT) AS lenhist_3, count(*) AS n,
-   (max(ts_us) - min(ts_us)) / 1e6 AS dur FROM v_packets GROUP BY ALL),
+   {", ".join(f"{sql} AS {name}" for name, sql in _SHARES.items())}, count(*) AS n, (max(ts_us) - min(ts_us)) / 1e6 AS dur FROM v_packets GROUP BY ALL),
  gaps AS (SELECT capture, src, dst, spi, (ts_us - latest) / 1e6 AS iat FROM (
    SELECT *, max(ts_us) OVER (PARTITION BY capture, src, dst, spi ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM v_packets)
    WHERE ts_us >= latest),
  iats AS (SELECT capture, src, dst, spi, avg(iat) AS iat_mean, stddev_pop(iat) AS iat_std, quantile_cont(iat, 0.5) AS iat_p50,
    avg((iat < m * 0.25e0)::INT) AS burstiness FROM (SELECT *, avg(iat) OVER (PARTITION BY capture, src, dst, spi) AS m FROM gaps) GROUP BY ALL)
-SELECT capture, src, dst, spi, round(len_mean, 4) AS len_mean, round(len_std, 4) AS len_std, round(len_p25, 4) AS len_p25, round(len_p50, 4) AS len_p50,
-  round(len_p75, 4) AS len_p75, round(len_p90, 4) AS len_p90, round(len_unique_ratio, 4) AS len_unique_ratio, len_range::DOUBLE AS len_range,
-  len_gcd::DOUBLE AS len_gcd, round(small_pkt_ratio, 4) AS small_pkt_ratio, round(mtu_pkt_ratio, 4) AS mtu_pkt_ratio,
-  round(entropy_mean, 4) AS entropy_mean, round(entropy_std, 3) AS entropy_std, round(entropy_min, 4) AS entropy_min,
-  round(mod16_4, 4) AS mod16_4, round(mod8_4, 4) AS mod8_4, round(mod4_0, 4) AS mod4_0, round(lenhist_3, 4) AS lenhist_3,
-  round(iat_mean, 3) AS iat_mean, round(iat_std, 2) AS iat_std, round(iat_p50, 3) AS iat_p50, round(iat_std / iat_mean, 4) AS iat_cv,
-  round(burstiness, 4) AS burstiness, round(n / dur, 6) AS packet_rate, round(ln(1 + n), 6) AS log_packets
+SELECT capture, src, dst, spi, {", ".join(f"round(({_FEATURE_SQL[c]})::DOUBLE, {_DIGITS.get(c, 4)}) AS {c}" for c in FL.FEATURES)}
 FROM lens JOIN iats USING (capture, src, dst, spi)""")
 def _(spark, d):
     f = FL.flow_features(A.esp_packets(spark, d))
-    shown = {"len_mean": 4, "len_std": 4, "len_p25": 4, "len_p50": 4, "len_p75": 4, "len_p90": 4, "len_unique_ratio": 4,
-             "small_pkt_ratio": 4, "mtu_pkt_ratio": 4, "entropy_mean": 4, "entropy_std": 3, "entropy_min": 4, "mod16_4": 4,
-             "mod8_4": 4, "mod4_0": 4, "lenhist_3": 4, "iat_mean": 3, "iat_std": 2, "iat_p50": 3, "iat_cv": 4,
-             "burstiness": 4, "packet_rate": 6, "log_packets": 6}
-    return f.select(*FL.KEYS, "len_range", "len_gcd", *[F.round(c, n).alias(c) for c, n in shown.items()])
+    return f.select(*FL.KEYS, *[F.round(c, _DIGITS.get(c, 4)).alias(c) for c in FL.FEATURES])
 
 
 # --- framing -------------------------------------------------------------------------
