@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -12,7 +10,7 @@ from ..sources import sinks as SK
 from ..streaming import monitor as MO
 from .catalog import query
 from .flow_queries import _trace, flow_classes
-from .stage import folder
+from .stage import fresh
 from .session_queries import captures, findings, sess, strong
 from .state_queries import obs
 
@@ -24,14 +22,6 @@ def _(spark, d):
     return SK.audit_records(captures(spark, d), findings(spark, d))
 
 
-def fresh(spark, name):
-    """A new folder for a sink's files, beside the staged tables."""
-    root = folder(spark)
-    if root is None:
-        raise ValueError("sinks need spark.checkpoint.dir on a cluster")
-    return f"{root}/veilgauge/sinks/{name}-{uuid.uuid4().hex}"
-
-
 def field(path):
     return F.get_json_object("body", path)
 

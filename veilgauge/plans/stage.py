@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,11 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
         _TABLES[key] = (path, df.schema)
     path, schema = _TABLES[key]
     return spark.read.schema(schema).parquet(path)
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query writes and reads back, beside the staged tables."""
+    root = folder(spark)
+    if root is None:
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return f"{root}/veilgauge/fresh/{name}-{uuid.uuid4().hex}"

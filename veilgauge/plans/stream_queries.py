@@ -10,7 +10,7 @@ from ..streaming import monitor as MO
 from .catalog import query
 from .flow_queries import _trace
 from .session_queries import messages
-from .stage import staged
+from .stage import fresh, staged
 
 
 def _packets(spark, d):
@@ -56,6 +56,49 @@ def _(spark, d):
     return s.select("initiator_spi", "window_us", F.col("packets").alias("messages"))
 
 
+# --- drained streams: what a stream has written when its source is empty ---------------------
+def _drained(spark, name, parts, stream_of, mode="append"):
+    """Feed `parts` one after another to a file stream that is stopped and restarted between them; the rows it wrote."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = fresh(spark, name)
+    out = None
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        out = stream_of(spark.readStream.schema(part.schema).parquet(f"{path}/in"))
+        q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{path}/out")
+        q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query("st_drift", "SELECT id, peer_key, verdict, base.bits AS baseline_bits FROM v_verdict")
+def _(spark, d):
+    """Verdicts of a restarted keyed stream over two halves of the observations equal the batch verdicts."""
+    from .state_queries import obs
+
+    from ..streaming import drift as DR
+
+    o = obs(spark, d).drop("at")
+    middle = o.agg(F.expr("percentile(observed_us, 0.5)").alias("m")).first()["m"] or 0
+    rows = _drained(spark, "drift", [o.where(F.col("observed_us") <= middle), o.where(F.col("observed_us") > middle)], DR.drift_stream)
+    return rows.select("id", "peer_key", "verdict", "baseline_bits")
+
+
+LATE_DAYS, DELAY_DAYS = 10, 2
+
+
+@query("st_late", f"""
+WITH b AS (SELECT max(ts_us) AS top FROM v_packets)
+SELECT ts_us // 86400000000 * 86400000000 AS window_us, capture, src, dst, spi, count(*) AS packets, sum(length)::BIGINT AS bytes FROM v_packets, b
+WHERE ts_us >= top - {LATE_DAYS} * 86400000000 AND ts_us // 86400000000 * 86400000000 + 86400000000 <= top - {DELAY_DAYS} * 86400000000 GROUP BY ALL""")
+def _(spark, d):
+    """Windows of a stream whose older packets arrive behind the watermark: closed windows only, late rows left out."""
+    p = _packets(spark, d).select("ts", "ts_us", "capture", "src", "dst", "spi", "length")
+    top = p.agg(F.max("ts_us").alias("m")).first()["m"] or 0
+    on_time = F.col("ts_us") >= top - LATE_DAYS * 86400 * 10 ** 6
+    rows = _drained(spark, "late", [p.where(on_time), p.where(~on_time)], lambda s: MO.window_flows(s, "1 day", f"{DELAY_DAYS} days"))
+    return MO.window_columns(rows).select("window_us", "capture", "src", "dst", "spi", "packets", "bytes")
+
+
 # --- models (rows only: no SQL twin for a fitted model) ------------------------------------
 def _training(spark, d):
     from ..operators import ml as ML
