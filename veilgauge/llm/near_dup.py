@@ -16,10 +16,12 @@ SIMILARITY = 0.8
 #: 24 bands of 5 registers: a pair of similarity 0.8 shares a band with probability 0.99993, of 0.85 with 0.9999992.
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Registers two texts must share to be verified: five standard deviations under the threshold.
-MIN_SHARED = int(REGISTERS * SIMILARITY - 5 * (REGISTERS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
-#: Pairs across classes that one task compares by sketch; a bucket with more is split by further bands first.
+#: Registers two texts must share to be verified: four standard deviations under the threshold.
+MIN_SHARED = int(REGISTERS * SIMILARITY - 4 * (REGISTERS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+#: Pairs across classes that one task compares; larger buckets are compared in blocks.
 TASK_PAIRS = 1 << 18
+#: Bands whose buckets are tried first, every text with one leader. What they connect needs no further links in the other bands.
+FIRST_BANDS = 8
 
 
 def weighted_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,29 +68,38 @@ def sketches(texts: pa.Array) -> np.ndarray:
     return who.reshape(n, REGISTERS)
 
 
-def probability_jaccard(a: dict[int, float], b: dict[int, float]) -> float:
-    """Sum over common shingles i of 1 / sum over j of max(a_j / a_i, b_j / b_i)."""
-    common = a.keys() & b.keys()
-    if not common:
+def profiles(texts: pa.Array) -> pa.StructArray:
+    """Sorted 32-bit fingerprints of a text's shingles and their weights, as bytes; weights are null where all are 1."""
+    owner, value, weight = weighted_shingles(texts)
+    mark = (value >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((mark, owner))
+    mark, weight = mark[order], weight[order].astype(np.float32)
+    split = np.searchsorted(owner, np.arange(len(texts) + 1))
+    parts = [(mark[a:b], weight[a:b]) for a, b in zip(split[:-1], split[1:])]
+    return pa.StructArray.from_arrays([pa.array([m.tobytes() for m, _ in parts], pa.binary()), pa.array([None if (w == 1).all() else w.tobytes() for _, w in parts], pa.binary())], ["marks", "weights"])
+
+
+def probability_jaccard(a: tuple[np.ndarray, np.ndarray | None], b: tuple[np.ndarray, np.ndarray | None]) -> float:
+    """Sum over common shingles i of 1 / sum over j of max(a_j / a_i, b_j / b_i), from (sorted marks, weights or None for ones)."""
+    (ma, wa), (mb, wb) = a, b
+    if not len(ma) or not len(mb):
         return 0.0
-    va, vb = (np.array([x.get(k, 0.0) for k in a.keys() | b.keys()]) for x in (a, b))
-    ratios: dict[tuple[float, float], int] = {}
-    for k in common:
-        ratios[a[k], b[k]] = ratios.get((a[k], b[k]), 0) + 1
-    return float(sum(n / np.maximum(va / x, vb / y).sum() for (x, y), n in ratios.items()))
-
+    place = np.minimum(np.searchsorted(ma, mb), len(ma) - 1)
+    common = ma[place] == mb
+    n = int(common.sum())
+    if wa is None and wb is None:
+        return n / (len(ma) + len(mb) - n)
+    wa = np.ones(len(ma)) if wa is None else wa.astype(np.float64)
+    wb = np.ones(len(mb)) if wb is None else wb.astype(np.float64)
+    only_a = np.ones(len(ma), bool)
+    only_a[place[common]] = False
+    rest_a, rest_b, both = wa[only_a].sum(), wb[~common].sum(), np.stack([wa[place[common]], wb[common]])
+    kinds, counts = np.unique(both, axis=1, return_counts=True)
+    return float(sum(c / (rest_a / x + rest_b / y + (counts * np.maximum(kinds[0] / x, kinds[1] / y)).sum()) for (x, y), c in zip(kinds.T, counts)))
 
-def _similarity(left: pa.Array, right: pa.Array) -> list[float]:
-    def profile(text):
-        _, value, weight = weighted_shingles(pa.array([text], pa.string()))
-        return dict(zip(value.tolist(), weight.tolist()))
 
-    out, known = [], (None, None)
-    for a, b in zip(left.to_pylist(), right.to_pylist()):
-        if known[0] != a:
-            known = (a, profile(a))
-        out.append(probability_jaccard(known[1], profile(b)))
-    return out
+def _profile(marks: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray | None]:
+    return np.frombuffer(marks, np.uint32), None if weights is None else np.frombuffer(weights, np.float32)
 
 
 def distinct_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -128,22 +139,36 @@ def _plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(shared("sketch_a", "sketch_b") >= MIN_SHARED).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Links (a, b, similarity): pairs whose texts have probability Jaccard of SIMILARITY or more."""
-    pairs = written(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "text_key", "first_doc"), "node")
+def text_profiles(nodes: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, marks, weights) of the given nodes, written once; every text is read from its first document."""
+    needed = nodes.distinct().join(texts.select("node", "text_key", "first_doc"), "node")
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("key"), F.col(text).cast("string").alias("text"))
-    found = source.join(needed, (F.col("key") == F.col("text_key")) & F.col("doc").eqNullSafe(F.col("first_doc")))
-    used = written(found.select("node", "text").dropDuplicates(["node"]), "pair-texts")
+    needed = written(needed.select("node", _row_key(F.hex("text_key"), F.col("first_doc")).alias("row")), "needed")
+    found = source.withColumn("row", _row_key(F.hex("key"), F.col("doc"))).join(needed, "row").select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in slices(batch.column(1)):
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([part.column(0), *profiles(part.column(1)).flatten()], ["node", "marks", "weights"])
+
+    done = written(found.mapInArrow(run, "node long, marks binary, weights binary").dropDuplicates(["node"]), "profiles")
+    forget(needed)
+    return done
 
-    @F.arrow_udf("double")
-    def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(_similarity(a, b), pa.float64())
 
-    both = pairs.join(used.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(used.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    links = written(both.select("a", "b", similarity("text_a", "text_b").alias("similarity")).filter(F.col("similarity") >= SIMILARITY), "links")
-    forget(pairs, used)
-    return links
+def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b): pairs whose profiles have a probability Jaccard of SIMILARITY or more."""
+
+    @F.arrow_udf("boolean")
+    def linked(marks_a: pa.Array, weights_a: pa.Array, marks_b: pa.Array, weights_b: pa.Array) -> pa.Array:
+        rows = zip(*[x.to_pylist() for x in (marks_a, weights_a, marks_b, weights_b)])
+        return pa.array([probability_jaccard(_profile(ma, wa), _profile(mb, wb)) >= SIMILARITY for ma, wa, mb, wb in rows], pa.bool_())
+
+    left = known.select(F.col("node").alias("a"), F.col("marks").alias("marks_a"), F.col("weights").alias("weights_a"))
+    right = known.select(F.col("node").alias("b"), F.col("marks").alias("marks_b"), F.col("weights").alias("weights_b"))
+    both = pairs.join(left, "a").join(right, "b")
+    return written(both.filter(linked("marks_a", "weights_a", "marks_b", "weights_b")).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -156,18 +181,14 @@ def components(links: DataFrame) -> DataFrame:
     label = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
     while True:
         near = both.join(label.select(F.col("u").alias("v"), F.col("label").alias("seen")), "v").groupBy("u").agg(F.min("seen").alias("seen"))
-        # the minimum of the own label and the neighbours' labels is also told to the node that was the label
-        low = label.join(near, "u").select("u", "label", F.least("label", "seen").alias("low"))
-        low = written(low, "lows")
-        told = low.select("u", "low").union(low.select(F.col("label"), "low")).groupBy("u").agg(F.min("low").alias("low"))
-        told = written(told, "told")
-        jump = told.join(told.select(F.col("u").alias("low"), F.col("low").alias("next")), "low", "left")
-        new = jump.select("u", F.least("low", F.coalesce("next", "low")).alias("label"))
-        new = written(new, "labels")
-        moved = new.join(label.select("u", F.col("label").alias("old")), "u").filter(F.col("label") != F.col("old")).limit(1).count()
-        forget(label, low, told)
+        low = label.select("u", "label").join(near, "u").select("u", "label", F.least("label", "seen").alias("low"))
+        # what a node has found is also told to the node that was its label
+        told = low.select("u", "low", "label").union(low.select("label", "low", F.lit(None).cast("long"))).groupBy("u").agg(F.min("low").alias("low"), F.max("label").alias("label"))
+        jump = told.join(told.select(F.col("u").alias("low"), F.col("low").alias("next")), "low")
+        new = written(jump.select("u", F.least("low", "next").alias("new"), "label").select("u", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")), "labels")
+        forget(label)
         label = new
-        if not moved:
+        if not new.filter("moved").limit(1).count():
             forget(both)
             return label.select(F.col("u").alias("node"), F.col("label").alias("class_node"))
 
@@ -181,58 +202,80 @@ def _open_buckets(table: DataFrame, classes: DataFrame) -> DataFrame:
     return known.join(crossing, ["band", "key"])
 
 
-def _split(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of too large buckets dealt anew: texts that also share one of the later bands stay together."""
-    later = F.transform(F.sequence(F.col("band") + 1, F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.col("key"), b, F.substring(F.col("sketch"), b * (ROWS * 4) + 1, F.lit(ROWS * 4))).alias("key")))
-    return rows.filter(F.col("band") < BANDS - 1).select("node", "band", "key").join(texts.select("node", "sketch"), "node") \
-        .select("node", F.explode(later).alias("to")).select("to.band", "to.key", "node")
+def _stars(table: DataFrame) -> DataFrame:
+    """Pairs of every text of a bucket with the bucket's leader, if of another class; each band has leaders of its own."""
+    # Small results are written before they are joined: the join can then split a bucket of very many texts.
+    order = F.xxhash64("band", "node")
+    leaders = written(table.groupBy("band", "key").agg(F.min_by("node", order).alias("leader"), F.min_by("class_node", order).alias("leader_class")), "leaders")
+    led = table.join(leaders, ["band", "key"]).filter("class_node <> leader_class")
+    return led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def _across(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different classes in small buckets whose sketches share MIN_SHARED registers."""
+def _across(rows: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Links between different classes of a bucket.
+
+    A task compares one bucket, or two blocks of a bucket with more than
+    TASK_PAIRS pairs across classes. Pairs that share an earlier band are left
+    to it, and pairs of classes that a link has just connected need no more
+    links. Nothing but links leaves the task.
+    """
+    blocks = F.ceil(F.sqrt(F.col("across") / TASK_PAIRS)).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks)
+    pieces = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(block, j).alias("low"), F.greatest(block, j).alias("high")))
+    dealt = rows.select("band", "key", "node", "class_node", block.alias("block"), F.explode(pieces).alias("piece")).select("band", "key", "node", "class_node", "block", "piece.low", "piece.high")
 
     def compare(table: pa.Table) -> pa.Table:
         signs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, REGISTERS)
-        node, group = table.column("node").to_numpy(), table.column("class_node").to_numpy()
+        node, group, block = (table.column(c).to_numpy().copy() for c in ("node", "class_node", "block"))
+        low, high, band = (table.column(c)[0].as_py() for c in ("low", "high", "band"))
+        marks = [_profile(m, w) for m, w in zip(table.column("marks").to_pylist(), table.column("weights").to_pylist())]
         out = []
         for i in range(len(node) - 1):
-            same = (signs[i + 1:] == signs[i]).sum(axis=1)
-            for j in (np.flatnonzero((same >= MIN_SHARED) & (group[i + 1:] != group[i])) + i + 1).tolist():
-                out.append((min(node[i], node[j]), max(node[i], node[j])))
+            other = group[i + 1:] != group[i]
+            if low != high:
+                other &= block[i + 1:] != block[i]
+            j = np.flatnonzero(other) + i + 1
+            equal = signs[j] == signs[i]
+            j = j[(equal.sum(axis=1) >= MIN_SHARED) & ~equal[:, :band * ROWS].reshape(len(j), band, ROWS).all(axis=2).any(axis=1)]
+            for k in j.tolist():
+                if group[k] != group[i] and probability_jaccard(marks[i], marks[k]) >= SIMILARITY:
+                    out.append((min(node[i], node[k]), max(node[i], node[k])))
+                    group[group == group[k]] = group[i]
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    signed = rows.select("band", "key", "node", "class_node").join(texts.select("node", "sketch"), "node")
-    return signed.groupBy("band", "key").applyInArrow(compare, "a long, b long").distinct()
+    full = dealt.join(texts.select("node", "sketch"), "node").join(known, "node")
+    return full.groupBy("band", "key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts, links, classes) over the distinct texts of `docs`; see near_duplicates."""
     texts = distinct_texts(docs, doc_id, text)
     table = buckets(texts)
-    # 1. Every text of a bucket is tried with one leader, another one in each band.
-    # Small results are written before they are joined: the join can then split a bucket of very many texts.
-    leaders = written(table.groupBy("band", "key").agg(F.min_by("node", F.xxhash64("band", "node")).alias("leader"), F.count(F.lit(1)).alias("size"))
-                      .filter("size > 1").drop("size"), "leaders")
-    shared = written(table.join(leaders, ["band", "key"]), "buckets")
-    star = shared.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    edges = _verified(_plausible(star, texts), texts, docs, doc_id, text)
+    several = written(table.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"), "several")
+    shared = written(table.join(several, ["band", "key"]), "buckets")
+    known = text_profiles(shared.select("node"), texts, docs, doc_id, text)
+    alone = shared.filter(F.col("band") < FIRST_BANDS).select("band", "key", "node", F.col("node").alias("class_node"))
+    edges = _verified(_plausible(_stars(alone), texts), known)
     classes = written(components(edges), "classes")
-    # 2. Buckets that still hold several classes: all pairs across classes are compared by sketch.
-    rest = written(_open_buckets(shared.select("band", "key", "node"), classes), "open")
-    pairs = None
-    while True:
-        small = _across(rest.filter(F.col("across") <= TASK_PAIRS), texts)
-        pairs = small if pairs is None else pairs.union(small)
-        large = rest.filter(F.col("across") > TASK_PAIRS)
-        if not large.limit(1).count():
-            break
-        rest = written(_open_buckets(_split(large, texts), classes), "open")
-    more = _verified(pairs.distinct(), texts, docs, doc_id, text)
-    edges = edges.union(more)
-    if more.limit(1).count():
-        classes = written(components(edges), "classes")
-    forget(shared)
-    return texts, edges, classes
+    # then all bands, but only buckets that still hold several classes
+    rest = written(_open_buckets(shared, classes), "open")
+    edges, classes = _joined(edges, classes, _verified(_plausible(_stars(rest), texts), known))
+    rest = written(_open_buckets(rest.select("band", "key", "node"), classes), "open")
+    edges, classes = _joined(edges, classes, written(_across(rest, texts, known), "links"))
+    forget(several, shared, known)
+    return texts, edges.distinct(), classes
+
+
+def _joined(edges: DataFrame, classes: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all links, classes) after more links: only links between classes are walked, so late rounds are small."""
+    if not more.limit(1).count():
+        return edges, classes
+    of = lambda side, name: classes.select(F.col("node").alias(side), F.col("class_node").alias(name))
+    lifted = more.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
+    merged = written(components(lifted), "merged")
+    known = classes.join(merged.select(F.col("node").alias("class_node"), F.col("class_node").alias("top")), "class_node", "left").select("node", F.coalesce("top", "class_node").alias("class_node"))
+    fresh = merged.join(known.select("node"), "node", "left_anti").select("node", "class_node")
+    return edges.union(more), written(known.union(fresh), "classes")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,11 +309,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     texts, _, classes = links(docs, doc_id, text)
     known = texts.select("node", "text_key", "first_doc").join(classes, "node", "left").withColumn("class_node", F.coalesce("class_node", "node"))
     first = known.groupBy("class_node").agg(F.min(F.struct(F.coalesce("first_doc", F.lit((1 << 63) - 1)).alias("o"), "text_key", "first_doc")).alias("f"))
-    kept = written(first.select(_row_key(F.hex("f.text_key"), F.col("f.first_doc")).alias("_row")), "kept")
-    row, wordless = free_name(docs, "_row_key"), free_name(docs, "_wordless")
+    row, wordless, chosen_row = free_name(docs, "_row_key"), free_name(docs, "_wordless"), free_name(docs, "_chosen_row")
+    kept = written(first.select(_row_key(F.hex("f.text_key"), F.col("f.first_doc")).alias(chosen_row)), "kept")
     marked = docs.withColumn(wordless, ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
     key = _row_key(F.upper(F.md5(F.col(text).cast("binary"))), F.col(doc_id).cast("long"))
-    chosen = marked.filter(~F.col(wordless)).withColumn(row, key).join(kept, F.col(row) == F.col("_row"), "left_semi").dropDuplicates([row]).drop(row)
+    chosen = marked.filter(~F.col(wordless)).withColumn(row, key).join(kept, F.col(row) == F.col(chosen_row), "left_semi").dropDuplicates([row]).drop(row)
     return chosen.union(marked.filter(F.col(wordless))).drop(wordless)
 
 
