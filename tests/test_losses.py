@@ -8,11 +8,11 @@ from pyspark.sql import Window as W, functions as F
 
 from veilgauge import registries as R
 from veilgauge.functions.bytes import address_chunk, address_key, byte_entropy
-from veilgauge.operators import fleet as FT, flows as FL, operations as OP, packets as P
+from veilgauge.operators import fleet as FT, flows as FL, labels as LB, operations as OP, packets as P
 from veilgauge.operators.posture import positioned
 from veilgauge.operators.scan import frame_chunk, ordered
 from veilgauge.operators.sessions import group_bits
-from veilgauge.sources import sinks as SK
+from veilgauge.sources import sidecars as SC, sinks as SK
 
 from .test_capture import chain, header, ike_rows, v2_sa
 from .test_fleet import table
@@ -143,3 +143,17 @@ def test_class_of_the_most_probable_suite(spark):
                                      " mean_entropy double, distinct_lengths bigint, class string, ord int, prob double")
     r = classify_flows(df).first()
     assert r["class"] == other and abs(r.confidence - 0.3) < 1e-9
+
+
+def test_unreadable_and_empty_sidecars_are_reported(spark, tmp_path):
+    (tmp_path / "bad.pcap.label.json").write_text('{"source": "x", "flows": [')
+    (tmp_path / "none.pcap.label.json").write_text('{"source": "x"}')
+    (tmp_path / "empty.pcap.label.json").write_text('{"source": "x", "flows": []}')
+    got = {r.capture: (r.idx, r.problem) for r in LB.validate(SC.read_labels(spark, str(tmp_path))).collect()}
+    assert got == {"bad.pcap": (None, "not JSON"), "none.pcap": (None, "no flows"), "empty.pcap": (None, "no flows")}
+
+
+def test_busiest_of_many_flows(spark):
+    flows = spark.range(20_000).selectExpr("'c' AS capture", "concat('s', id) AS src", "'d' AS dst", "id AS spi", "(id * 7919) % 20011 AS packets", "0L AS last_us")
+    got = {r.packets for r in FL.busiest(flows, 3000).collect()}
+    assert got == set(sorted((i * 7919 % 20011 for i in range(20_000)), reverse=True)[:3000])

@@ -29,6 +29,8 @@ def validate(raw: DataFrame) -> DataFrame:
         .when(F.trim(F.coalesce("source", F.lit(""))) == "", "no source").when(has_spi == has_peers, "one of spi or peers")
         .when(has_spi & spi.isNull(), "spi is not hex").when(has_spi & ((spi <= 0) | (spi > 0xFFFFFFFF)), "spi out of range")
         .when(has_peers & ~peers_ok, "peers are not two addresses"))
+    if "file_problem" in raw.columns:  # of the file that an entry should have come from
+        first_problem = F.coalesce("file_problem", first_problem)
     r = raw.withColumn("spi", spi).withColumn("problem", first_problem)
     good = r.where(F.col("problem").isNull() & F.col("spi").isNotNull())
     first = good.groupBy("capture", "spi", F.coalesce("dst", F.lit("")).alias("to")).agg(F.min("idx").alias("first_idx"))

@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import registries as R
 from .flows import FEATURES, KEYS, SHARE_NAMES
@@ -29,10 +29,9 @@ def with_label(features: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def stratified(rows: DataFrame, test_share: float = 0.25) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows with the same share of every label, decided by a hash of the flow key."""
-    w = W.partitionBy("label").orderBy(F.xxhash64(*KEYS), *KEYS)
-    r = rows.withColumn("_p", F.percent_rank().over(w))
-    return r.where(F.col("_p") >= test_share).drop("_p"), r.where(F.col("_p") < test_share).drop("_p")
+    """Train and test rows, decided row by row by a hash of label and flow key: about the same share of every label."""
+    test = F.pmod(F.xxhash64("label", *KEYS), F.lit(1 << 20)) < int(test_share * (1 << 20))
+    return rows.where(~test), rows.where(test)
 
 
 def fit_ranker(train: DataFrame, seed: int = 42, trees: int = 60, depth: int = 8, epochs: int = 60) -> PipelineModel:

@@ -10,11 +10,15 @@ LABEL_SCHEMA = ("source string, notes string, flows array<struct<suite:string,so
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label sidecars (<capture>.label.json) to raw entries for labels.validate."""
-    docs = spark.read.schema(LABEL_SCHEMA).option("multiLine", "true").json(path).withColumn(
+    """Label sidecars (<capture>.label.json) to raw entries for labels.validate.
+
+    A file that is no JSON, or has no flows, gives one row without an index that says so in file_problem.
+    """
+    docs = spark.read.schema(LABEL_SCHEMA + ", _corrupt string").option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn(
         "capture", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.label\.json$", ""))
-    return docs.select("capture", F.col("source").alias("top"), F.posexplode("flows").alias("idx", "f")).select(
-        "capture", "idx", "f.suite", F.coalesce("f.source", "top").alias("source"), F.col("f.spi").alias("spi_text"), "f.dst", "f.peers")
+    problem = F.when(F.col("_corrupt").isNotNull(), "not JSON").when(F.coalesce(F.size("flows"), F.lit(0)) < 1, "no flows")
+    return docs.select("capture", F.col("source").alias("top"), problem.alias("file_problem"), F.posexplode_outer("flows").alias("idx", "f")).select(
+        "file_problem", "capture", "idx", "f.suite", F.coalesce("f.source", "top").alias("source"), F.col("f.spi").alias("spi_text"), "f.dst", "f.peers")
 
 
 def read_overlay(spark: SparkSession, path: str) -> DataFrame:
