@@ -208,12 +208,13 @@ def _(p):
 
 
 # --- capture rules ----------------------------------------------------------------
-def reuse_table(messages: DataFrame) -> DataFrame:
+def reuse_table(messages: DataFrame, peers: DataFrame | None = None) -> DataFrame:
     """Key exchange values and nonces carried by two or more SAs, one row per (value, link).
 
     Both kinds go through one pass. Distinct SAs per value come from a distinct
     and a count; peers are looked up for the hit SAs only; one session, the
-    earliest, stands for each link. No pair of sessions is formed.
+    earliest, stands for each link. No pair of sessions is formed. `peers`, the
+    session table, saves looking the peers up in the messages again.
     """
     kinds = F.array(
         F.struct(F.lit("ke").alias("kind"), F.col("src").alias("who"), F.col("ke_digest").alias("digest")),
@@ -224,8 +225,11 @@ def reuse_table(messages: DataFrame) -> DataFrame:
     carried = items.groupBy(*value, "sid").agg(F.min("frame").alias("seen"))
     reused = carried.groupBy(*value).agg(F.count(F.lit(1)).alias("sas")).where(F.col("sas") >= 2)
     hits = carried.join(reused, value)
-    peers = session_peers(messages.join(
-        hits.select("capture", F.col("sid").alias("initiator_spi")).distinct(), ["capture", "initiator_spi"], "left_semi"))
+    if peers is None:
+        peers = session_peers(messages.join(
+            hits.select("capture", F.col("sid").alias("initiator_spi")).distinct(), ["capture", "initiator_spi"], "left_semi"))
+    else:
+        peers = peers.select(*SA, "peer_a", "peer_b", "subject")
     linked = add_link(hits.join(peers, SA), F.col("peer_a"), F.col("peer_b"))
     return linked.groupBy(*value, "link").agg(
         F.min_by("subject", F.struct("seen", "sid")).alias("subject"), F.max("sas").alias("sas"))
@@ -290,10 +294,10 @@ def _apply(df: DataFrame, rules: dict, policy: R.Policy, wanted: set[str]) -> Da
     return df.select("capture", "subject", F.inline(merged))
 
 
-def prepare_sessions(messages: DataFrame, flows: DataFrame | None, policy: R.Policy) -> DataFrame:
-    """Session rows with everything the session rules read."""
-    s = session_strength(sessions(messages, policy))
-    offers = offered_transforms(messages)
+def prepare_sessions(messages: DataFrame, flows: DataFrame | None, policy: R.Policy, strong: DataFrame | None = None) -> DataFrame:
+    """Session rows with everything the session rules read; `strong` is the session table with strengths, if there is one."""
+    s = session_strength(sessions(messages, policy)) if strong is None else strong
+    offers = offered_transforms(messages, distinct=False)  # repeats end in sets below
     weak = F.when(((F.col("type_id") == 1) & F.col("name").isin(*policy.encr_prohibited))
                   | ((F.col("type_id") == 3) & F.col("name").isin(*policy.integ_prohibited)), F.col("label"))
     group = F.when((F.col("type_id") == 4) & F.col("value_id").isin(*policy.dh_prohibited), F.col("value_id"))
@@ -318,16 +322,21 @@ def prepare_flows(classified: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def audit(messages: DataFrame | None, flows: DataFrame | None, classified: DataFrame | None = None, gaps: DataFrame | None = None,
-          policy: R.Policy = R.BASELINE_POLICY, disabled: Sequence[str] = (), only: Sequence[str] | None = None) -> DataFrame:
-    """Findings of every enabled rule over the given tables."""
+          policy: R.Policy = R.BASELINE_POLICY, disabled: Sequence[str] = (), only: Sequence[str] | None = None,
+          strong: DataFrame | None = None) -> DataFrame:
+    """Findings of every enabled rule over the given tables.
+
+    `strong` is the session table with strengths under the same policy, where
+    one is at hand; else it is built from the messages.
+    """
     every = set(SESSION_RULES) | set(FLOW_RULES) | set(CAPTURE_RULES)
     wanted = (set(only) if only is not None else every) - set(disabled)
     parts = []
     if messages is not None:
         if wanted & set(SESSION_RULES):
-            parts.append(_apply(prepare_sessions(messages, flows, policy), SESSION_RULES, policy, wanted))
+            parts.append(_apply(prepare_sessions(messages, flows, policy, strong), SESSION_RULES, policy, wanted))
         if wanted & set(CAPTURE_RULES):
-            parts.append(_apply(reuse_table(messages), CAPTURE_RULES, policy, wanted))
+            parts.append(_apply(reuse_table(messages, strong), CAPTURE_RULES, policy, wanted))
     if classified is not None and wanted & set(FLOW_RULES):
         parts.append(_apply(prepare_flows(classified, gaps), FLOW_RULES, policy, wanted))
     out = parts[0]

@@ -116,13 +116,13 @@ def exploded(sessions_df: DataFrame, col: str = "transforms") -> DataFrame:
         *SA, "subject", "confirmed", "ord", "t.*", label(F.col("t.name"), F.col("t.key_length")).alias("label"))
 
 
-def offered_transforms(messages: DataFrame) -> DataFrame:
-    """Distinct transforms of every IKE proposal a session's requests carried."""
+def offered_transforms(messages: DataFrame, distinct: bool = True) -> DataFrame:
+    """Distinct transforms of every IKE proposal a session's requests carried; not distinct where the caller makes sets."""
     m = messages.where(~F.col("is_response")).withColumnRenamed("initiator_spi", "sid")
     p = m.select(*SA, F.explode(F.filter("proposals", lambda x: x["protocol"] == "IKE")).alias("p"))
     t = p.select(*SA, F.explode("p.transforms").alias("t"))
-    return t.select(*SA, "t.type_id", "t.type_name", "t.value_id", "t.name",
-                    label(F.col("t.name"), F.col("t.key_length")).alias("label")).distinct()
+    t = t.select(*SA, "t.type_id", "t.type_name", "t.value_id", "t.name", label(F.col("t.name"), F.col("t.key_length")).alias("label"))
+    return t.distinct() if distinct else t
 
 
 def session_lists(messages: DataFrame) -> DataFrame:

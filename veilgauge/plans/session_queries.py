@@ -32,7 +32,7 @@ def findings(spark, d, **kw):
 
     def build():
         packets = A.esp_packets_seq(spark, d)
-        return RU.audit(messages(spark, d), flow_volumes(spark, d), flow_classes(spark, d), FL.sequence_gaps(packets), **kw)
+        return RU.audit(messages(spark, d), flow_volumes(spark, d), flow_classes(spark, d), FL.sequence_gaps(packets), strong=strong(spark, d), **kw)
 
     return build() if kw else staged(spark, d, "findings", build)
 
@@ -172,7 +172,7 @@ def _rule(rule_id):
             out = RU.audit(None, None, flow_classes(spark, d), gaps, only=[rule_id])
         else:
             flows = flow_volumes(spark, d) if rule_id == "IKE-013" else None
-            out = RU.audit(messages(spark, d), flows, only=[rule_id])
+            out = RU.audit(messages(spark, d), flows, only=[rule_id], strong=strong(spark, d))
         return out.select("capture", "subject", "title", "severity")
 
 
