@@ -30,6 +30,16 @@ def test_scores_cover_the_whole_text_and_not_the_batch():
     assert abs(net.score(pa.array(["plain words " * 900]))[0] - got[6]) > 1e-9
 
 
+def test_a_text_longer_than_a_slice_is_pooled_in_blocks(monkeypatch):
+    net = qn.Network(1)
+    net.out += np.random.default_rng(0).normal(0, 1, net.out.shape).astype(np.float32)
+    texts = pa.array(["x y z " * 3000, "", "long words here " * 2000])
+    whole = net.score(texts)
+    monkeypatch.setattr(qn, "_SLICE", 1000)
+    monkeypatch.setattr(qn, "_BLOCK", 7)
+    assert net.score(texts) == pytest.approx(whole, abs=1e-6)
+
+
 def test_gradients_against_differences():
     net = qn.Network(2)
     net.out += np.random.default_rng(0).normal(0, 1, net.out.shape).astype(np.float32)

@@ -18,7 +18,8 @@ EMBED, FILTERS = 6, 32
 EPOCHS, BATCH, RATE = 14, 32, 0.006
 PASS_SCORE = 0.3
 PAD = 256
-_SLICE = 1 << 18
+# Bytes of text laid out at once, and chunks that filters run over at once.
+_SLICE, _BLOCK = 1 << 18, 512
 
 
 def layout(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,18 +62,34 @@ class Network:
     def forward(self, texts: pa.Array):
         padded, position, chunk, text = layout(texts)
         seen = padded[position[:, None] + np.arange(WIDTH)]
-        inputs = self.embed[seen].reshape(len(position), -1)
-        active = np.maximum(inputs @ self.filters + self.bias, 0)
+        inputs, active = self._active(seen)
         pooled = np.maximum.reduceat(active, chunk, axis=0)
-        n = np.diff(text).astype(np.float32)[:, None]
-        document = np.concatenate([np.add.reduceat(pooled, text[:-1], axis=0) / n, np.maximum.reduceat(pooled, text[:-1], axis=0)], axis=1)
-        logit = (document - self.middle) @ self.out + self.shift
-        return logit, (seen, inputs, active, pooled, document, chunk, text, n)
+        document, logit = self._combined(pooled, text)
+        return logit, (seen, inputs, active, pooled, document, chunk, text, np.diff(text).astype(np.float32)[:, None])
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        out = [1 / (1 + np.exp(-self.forward(texts.slice(a, b - a))[0].astype(np.float64))) for a, b in slices(texts, _SLICE)]
+        """Probabilities of all texts. A text longer than a slice is pooled block by block, so filters never see it all at once."""
+        out = []
+        for low, high in slices(texts, _SLICE):
+            padded, position, chunk, text = layout(texts.slice(low, high - low))
+            pooled = np.empty((len(chunk), FILTERS), np.float32)
+            for a in range(0, len(chunk), _BLOCK):
+                b = min(a + _BLOCK, len(chunk))
+                own = position[chunk[a]:chunk[b] if b < len(chunk) else len(position)]
+                pooled[a:b] = np.maximum.reduceat(self._active(padded[own[:, None] + np.arange(WIDTH)])[1], chunk[a:b] - chunk[a], axis=0)
+            logit = self._combined(pooled, text)[1]
+            out.append(1 / (1 + np.exp(-logit.astype(np.float64))))
         return np.concatenate(out) if out else np.zeros(0)
 
+    def _active(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inputs = self.embed[seen].reshape(len(seen), -1)
+        return inputs, np.maximum(inputs @ self.filters + self.bias, 0)
+
+    def _combined(self, pooled: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.diff(text).astype(np.float32)[:, None]
+        document = np.concatenate([np.add.reduceat(pooled, text[:-1], axis=0) / n, np.maximum.reduceat(pooled, text[:-1], axis=0)], axis=1)
+        return document, (document - self.middle) @ self.out + self.shift
+
     def gradients(self, texts: pa.Array, wanted: np.ndarray) -> list[np.ndarray]:
         """Of the mean logistic loss. A maximum passes its gradient to the first place that has it."""
         logit, (seen, inputs, active, pooled, document, chunk, text, n) = self.forward(texts)

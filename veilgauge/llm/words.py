@@ -93,7 +93,8 @@ def words(texts: pa.Array, kind: np.ndarray = BLANK_SEPARATED, lower: bool = Tru
     split = np.searchsorted(start, offsets)
     values = np.zeros(0, np.uint64)
     if hashed and len(start):
-        place = np.arange(start[0], n) - np.repeat(start, np.diff(np.append(start, n)))
+        index = np.int32 if n < 1 << 31 else np.int64  # half the memory for all but huge texts
+        place = np.arange(start[0], n, dtype=index) - np.repeat(start.astype(index), np.diff(np.append(start, n)))
         live = inside[start[0]:]
         place[~live] = 0
         power = np.cumprod(np.full(int((end - start).max()), _BASE, np.uint64))
