@@ -164,7 +164,7 @@ def _(spark, d):
     s = _training(spark, d).withColumn("fold", F.concat(F.lit("g"), F.expr("(spi - 4096) div 8 % 4")))
 
     def predict(train, test):
-        model = ML.fit_ranker(train, trees=20, epochs=20)
+        model = ML.fit_ranker(train)
         trace = _trace(spark, d).join(test.select(*FL.KEYS), FL.KEYS, "left_semi")
         return FR.classify_flows(FR.mask_probabilities(trace, ML.suite_probabilities(model, test))).select(*FL.KEYS, "class")
 
