@@ -69,11 +69,11 @@ def number_slots(df: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     df = df.drop(*[c for c in df.columns if c.lower() == "slot"])
     columns = df.columns
     named = [F.col(f"`{c}`") for c in columns]
-    counted = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_copies"))
-    dealt = counted.withColumn("_chunk", F.pmod(F.xxhash64(*named), F.lit(chunks)))
+    part = F.pmod(F.xxhash64(*named), F.lit(chunks))
+    dealt = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_chunk", part)
     order = W.partitionBy("shard", "_chunk").orderBy(*[c for c in named if c is not None])
     within = dealt.withColumn("_before", F.sum("_copies").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    sums = dealt.groupBy("shard", "_chunk").agg(F.sum("_copies").alias("_sum"))
+    sums = df.groupBy("shard", part.alias("_chunk")).agg(F.count(F.lit(1)).alias("_sum"))  # whole rows need not move for this
     starts = sums.select(F.col("shard").alias("_shard"), F.col("_chunk").alias("_part"),
                          F.sum("_sum").over(W.partitionBy("shard").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)).alias("_start"))
     placed = within.join(starts, F.col("shard").eqNullSafe(F.col("_shard")) & (F.col("_chunk") == F.col("_part")))
