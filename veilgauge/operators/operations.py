@@ -79,6 +79,7 @@ def bench_summary(runs: DataFrame, key: str, rate: str) -> DataFrame:
 
 
 # --- plans ----------------------------------------------------------------------
+# fixed values: platforms that plans are written for
 PLATFORMS = {"cisco": "Cisco IOS / IOS-XE", "strongswan": "strongSwan (swanctl)", "fortinet": "Fortinet FortiOS", "juniper": "Juniper SRX (Junos)"}
 
 

@@ -1,4 +1,4 @@
-"""Host tunnels: adapter type, DNS leak, split tunnel."""
+"""Host tunnels: adapter type, DNS leak, split tunnel. Titles are fixed values: findings group by them."""
 
 from __future__ import annotations
 

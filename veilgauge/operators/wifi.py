@@ -26,20 +26,26 @@ def _old_wpa(auth: Column) -> Column:
     return F.contains(auth, F.lit("WPA-")) & ~F.contains(auth, F.lit("WPA2")) & ~F.contains(auth, F.lit("WPA3"))
 
 
+# fixed values, first match wins: (of the authentication or the encryption, pattern in upper case, rank, grade)
+SECURITY = (
+    ("authentication", "OPEN", 0, "F"), ("encryption", "NONE", 0, "F"), ("authentication", "WEP", 1, "F"), ("encryption", "WEP", 1, "F"),
+    ("encryption", "TKIP", 2, "D"), ("authentication", "^(?!.*WPA[23]).*WPA", 2, "D"), ("authentication", "WPA3", 4, "A+"), ("authentication", "WPA2", 3, "B"))
+SECURITY_ELSE = (2, "C")
+
+
+def _security(auth: Column, enc: Column, item: int) -> Column:
+    """Rank (item 0) or grade (item 1) of the first row of SECURITY that matches."""
+    of = {"authentication": F.upper(F.coalesce(auth, F.lit(""))), "encryption": F.upper(F.coalesce(enc, F.lit("")))}
+    return F.coalesce(*[F.when(of[which].rlike(pattern), F.lit(result[item])) for which, pattern, *result in SECURITY], F.lit(SECURITY_ELSE[item]))
+
+
 def security_rank(auth: Column, enc: Column) -> Column:
     """0 open, 1 WEP, 2 TKIP, WPA or unknown, 3 WPA2, 4 WPA3."""
-    a, e = F.upper(F.coalesce(auth, F.lit(""))), F.upper(F.coalesce(enc, F.lit("")))
-    has = lambda c, t: F.contains(c, F.lit(t))
-    return (F.when(has(a, "OPEN") | has(e, "NONE"), 0).when(has(a, "WEP") | has(e, "WEP"), 1)
-            .when(has(e, "TKIP") | _old_wpa(a), 2).when(has(a, "WPA3"), 4).when(has(a, "WPA2"), 3).otherwise(2))
+    return _security(auth, enc, 0)
 
 
 def network_grade(auth: Column, enc: Column) -> Column:
-    a, e = F.upper(auth), F.upper(enc)
-    has = lambda c, t: F.contains(c, F.lit(t))
-    plain = has(a, "WPA") & ~has(a, "WPA2") & ~has(a, "WPA3")
-    return (F.when(has(a, "OPEN") | has(e, "NONE") | has(a, "WEP") | has(e, "WEP"), "F").when(has(e, "TKIP") | plain, "D")
-            .when(has(a, "WPA3"), "A+").when(has(a, "WPA2"), "B").otherwise("C"))
+    return _security(auth, enc, 1)
 
 
 def rogue_groups(scan: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -66,6 +72,7 @@ def rogue_findings(groups: DataFrame) -> DataFrame:
         F.when(clone & F.col("own"), -35).otherwise(0).alias("delta"))
 
 
+# fixed values: resolvers taken as known; titles below are fixed values too, since findings group by them
 SECURE_DNS = ("1.1.1.1", "1.0.0.1", "8.8.8.8", "8.8.4.4", "9.9.9.9")
 PRIVATE = r"^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|0\.|::1$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
 
