@@ -20,6 +20,8 @@ REGISTERS = BANDS * ROWS
 MIN_SHARED = int(REGISTERS * SIMILARITY - 4 * (REGISTERS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Pairs across classes that one task compares; larger buckets are compared in blocks.
 TASK_PAIRS = 1 << 18
+#: Texts on either side, and columns of shingles, that link_matrix takes at once.
+TILE, SLAB = 256, 4096
 #: Bands whose buckets are tried first, every text with one leader. What they connect needs no further links in the other bands.
 FIRST_BANDS = 8
 
@@ -98,6 +100,46 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray | None], b: tuple[np.nda
     return float(sum(c / (rest_a / x + rest_b / y + (counts * np.maximum(kinds[0] / x, kinds[1] / y)).sum()) for (x, y), c in zip(kinds.T, counts)))
 
 
+def link_matrix(a: list, b: list, same: bool = False) -> np.ndarray:
+    """Which profiles of a are linked to which of b; of equal lists (`same`) only pairs above the diagonal.
+
+    Products of (text, shingle) matrices give the weight that one text has on the
+    shingles of another. Between texts of plain weights that is the exact
+    similarity; for the others, whose similarity is at most the share of either
+    weight that is common, it leaves the pairs to be computed one by one.
+    """
+    rows, n = a + b, len(a)
+    lengths = np.array([len(m) for m, _ in rows], np.int64)
+    plain = np.array([w is None for _, w in rows], bool)
+    owner = np.repeat(np.arange(len(rows)), lengths)
+    weight = np.concatenate([np.ones(len(m), np.float32) if w is None else w for m, w in rows] + [np.zeros(0, np.float32)])
+    total = np.bincount(owner, weight, len(rows))
+    _, column, seen = np.unique(np.concatenate([m for m, _ in rows] + [np.zeros(0, np.uint32)]), return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    owner, weight, column = owner[shared], weight[shared], (np.cumsum(seen > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, weight, column = owner[order], weight[order], column[order]
+    of_a, of_b = np.zeros((n, len(b))), np.zeros((n, len(b)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, SLAB):
+        x, y = np.searchsorted(column, [low, low + SLAB])
+        held = np.zeros((len(rows), SLAB), np.float32)
+        held[owner[x:y], column[x:y] - low] = weight[x:y]
+        has = (held > 0).astype(np.float32)
+        of_a += held[:n] @ has[n:].T
+        if not plain.all():
+            of_b += has[:n] @ held[n:].T
+    both = plain[:n, None] & plain[None, n:]
+    union = lengths[:n, None] + lengths[None, n:] - of_a
+    near = both & (of_a / np.maximum(union, 1) >= SIMILARITY)
+    least = SIMILARITY * (1 - 1e-6)
+    maybe = ~both & (of_a >= least * total[:n, None]) & (of_b >= least * total[None, n:])
+    if same:
+        near, maybe = np.triu(near, 1), np.triu(maybe, 1)
+    for i, k in np.argwhere(maybe).tolist():
+        near[i, k] = probability_jaccard(a[i], b[k]) >= SIMILARITY
+    return near
+
+
 def _profile(marks: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray | None]:
     return np.frombuffer(marks, np.uint32), None if weights is None else np.frombuffer(weights, np.float32)
 
@@ -211,6 +253,14 @@ def _stars(table: DataFrame) -> DataFrame:
     return led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
+def _pieces(rows: DataFrame, pairs, *columns: str) -> DataFrame:
+    """Rows of a group with `block`, `low` and `high`: once for every pair of blocks that a row takes part in."""
+    blocks = F.ceil(F.sqrt(pairs / TASK_PAIRS)).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks)
+    pieces = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(block, j).alias("low"), F.greatest(block, j).alias("high")))
+    return rows.select(*columns, block.alias("block"), F.explode(pieces).alias("piece")).select(*columns, "block", "piece.low", "piece.high")
+
+
 def _across(rows: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
     """Links between different classes of a bucket.
 
@@ -219,10 +269,7 @@ def _across(rows: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
     to it, and pairs of classes that a link has just connected need no more
     links. Nothing but links leaves the task.
     """
-    blocks = F.ceil(F.sqrt(F.col("across") / TASK_PAIRS)).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks)
-    pieces = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(block, j).alias("low"), F.greatest(block, j).alias("high")))
-    dealt = rows.select("band", "key", "node", "class_node", block.alias("block"), F.explode(pieces).alias("piece")).select("band", "key", "node", "class_node", "block", "piece.low", "piece.high")
+    dealt = _pieces(rows, F.col("across"), "band", "key", "node", "class_node")
 
     def compare(table: pa.Table) -> pa.Table:
         signs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, REGISTERS)
@@ -247,54 +294,85 @@ def _across(rows: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
     return full.groupBy("band", "key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
+def link_counts(classes: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, n_links): the links of every node of a class, all pairs of the class compared.
+
+    A link never leaves a class, so this needs no bands and no sketches. A task
+    compares one class, or two blocks of a class with more than TASK_PAIRS
+    pairs, and gives one count per text. Two texts that are a class are linked.
+    """
+    sizes = written(classes.groupBy("class_node").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sized = classes.join(sizes, "class_node")
+    dealt = _pieces(sized.filter("n > 2"), F.col("n") * (F.col("n") - 1) / 2, "class_node", "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        low, high = (table.column(c)[0].as_py() for c in ("low", "high"))
+        marks = [_profile(m, w) for m, w in zip(table.column("marks").to_pylist(), table.column("weights").to_pylist())]
+        left, right = (np.flatnonzero(block == x) for x in (low, high))
+        found = np.zeros(len(node), np.int64)
+        for i in range(0, len(left), TILE):
+            for j in range(i if low == high else 0, len(right), TILE):
+                a, b = left[i:i + TILE], right[j:j + TILE]
+                near = link_matrix([marks[k] for k in a], [marks[k] for k in b], low == high and i == j)
+                found[a] += near.sum(axis=1)
+                found[b] += near.sum(axis=0)
+        return pa.table({"node": pa.array(node, pa.int64()), "n_links": pa.array(found, pa.int64())})
+
+    counted = dealt.join(known, "node").groupBy("class_node", "low", "high").applyInArrow(compare, "node long, n_links long")
+    summed = counted.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    done = written(summed.union(sized.filter("n = 2").select("node", F.lit(1).cast("long"))), "counts")
+    forget(sizes)
+    return done
+
+
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, links, classes) over the distinct texts of `docs`; see near_duplicates."""
+    """(texts, profiles, classes) over the distinct texts of `docs`; see near_duplicates. The caller forgets the profiles."""
     texts = distinct_texts(docs, doc_id, text)
     table = buckets(texts)
     several = written(table.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"), "several")
     shared = written(table.join(several, ["band", "key"]), "buckets")
     known = text_profiles(shared.select("node"), texts, docs, doc_id, text)
     alone = shared.filter(F.col("band") < FIRST_BANDS).select("band", "key", "node", F.col("node").alias("class_node"))
-    edges = _verified(_plausible(_stars(alone), texts), known)
-    classes = written(components(edges), "classes")
+    classes = written(components(_verified(_plausible(_stars(alone), texts), known)), "classes")
     # then all bands, but only buckets that still hold several classes
     rest = written(_open_buckets(shared, classes), "open")
-    edges, classes = _joined(edges, classes, _verified(_plausible(_stars(rest), texts), known))
+    classes = _joined(classes, _verified(_plausible(_stars(rest), texts), known))
     rest = written(_open_buckets(rest.select("band", "key", "node"), classes), "open")
-    edges, classes = _joined(edges, classes, written(_across(rest, texts, known), "links"))
-    forget(several, shared, known)
-    return texts, edges.distinct(), classes
+    classes = _joined(classes, written(_across(rest, texts, known), "links"))
+    forget(several, shared)
+    return texts, known, classes
 
 
-def _joined(edges: DataFrame, classes: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all links, classes) after more links: only links between classes are walked, so late rounds are small."""
+def _joined(classes: DataFrame, more: DataFrame) -> DataFrame:
+    """Classes after more links: only links between classes are walked, so late rounds are small."""
     if not more.limit(1).count():
-        return edges, classes
+        return classes
     of = lambda side, name: classes.select(F.col("node").alias(side), F.col("class_node").alias(name))
     lifted = more.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
     merged = written(components(lifted), "merged")
     known = classes.join(merged.select(F.col("node").alias("class_node"), F.col("class_node").alias("top")), "class_node", "left").select("node", F.coalesce("top", "class_node").alias("class_node"))
     fresh = merged.join(known.select("node"), "node", "left_anti").select("node", "class_node")
-    return edges.union(more), written(known.union(fresh), "classes")
+    return written(known.union(fresh), "classes")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc, class_id, n_links, class_first.
+    """One row per document: doc, class_id, n_links.
 
     Texts are sets of five-word shingles weighted by their counts (blank-separated
     words, ASCII case folded; a text of fewer words is one shingle). Texts of
     probability Jaccard 0.8 or more are linked; a class is what links connect,
-    and class_id its least doc_id. n_links counts a document's links to other
-    texts (stars that connect the class, not all pairs in it). Equal texts are
-    one text before anything is compared, so copies cost no pairs. Documents
-    without words are alone: class_id is their own id. Null ids stay null
-    unless the class has another. Repeated rows come back as often as they
-    came. class_first marks one row of the class's representative text.
+    and class_id its least doc_id. n_links counts all links of a document's
+    text to other texts. Equal texts are one text before anything is compared,
+    so copies cost no pairs and count once. Documents without words are alone:
+    class_id is their own id. Null ids stay null unless the class has another.
+    Repeated rows come back as often as they came.
     """
-    texts, edges, classes = links(docs, doc_id, text)
+    texts, profiled, classes = links(docs, doc_id, text)
+    degree = link_counts(classes, profiled)
+    forget(profiled)
     known = texts.select("node", "text_key", "first_doc").join(classes, "node", "left").withColumn("class_node", F.coalesce("class_node", "node"))
     first = known.groupBy("class_node").agg(F.min("first_doc").alias("class_id"))
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     judged = known.join(first, "class_node").join(degree, "node", "left").select("text_key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("key"))
     return rows.join(judged, F.col("key") == F.col("text_key"), "left").select(
@@ -306,7 +384,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Of rows with that id and text one stays. The columns are those of `docs`.
     """
-    texts, _, classes = links(docs, doc_id, text)
+    texts, profiled, classes = links(docs, doc_id, text)
+    forget(profiled)
     known = texts.select("node", "text_key", "first_doc").join(classes, "node", "left").withColumn("class_node", F.coalesce("class_node", "node"))
     first = known.groupBy("class_node").agg(F.min(F.struct(F.coalesce("first_doc", F.lit((1 << 63) - 1)).alias("o"), "text_key", "first_doc")).alias("f"))
     row, wordless, chosen_row = free_name(docs, "_row_key"), free_name(docs, "_wordless"), free_name(docs, "_chosen_row")
