@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import registries as R
 from .flows import FEATURES, KEYS, SHARE_NAMES
+from .scan import ordered
 
 FEATURE_VERSION = 1
 FOREST_SHARE = 0.55
@@ -29,9 +30,16 @@ def with_label(features: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def stratified(rows: DataFrame, test_share: float = 0.25) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows, decided row by row by a hash of label and flow key: about the same share of every label."""
-    test = F.pmod(F.xxhash64("label", *KEYS), F.lit(1 << 20)) < int(test_share * (1 << 20))
-    return rows.where(~test), rows.where(test)
+    """Train and test rows: the same share of every label, to the row, the test rows first in the order of a hash of the flow key.
+
+    A label of two rows or more has at least one in either part; a single row is for training.
+    """
+    n, rank, order = F.col("label_rows"), F.col("label_rank"), F.col("label_order")
+    ranked = ordered(rows.withColumn("label_order", F.xxhash64("label", *KEYS)), ["label"], [order, *map(F.col, KEYS)], F.shiftright(order, 52), rank="label_rank")
+    sizes = rows.groupBy(F.col("label").alias("label_of")).agg(F.count(F.lit(1)).alias("label_rows"))
+    wanted = F.least(F.greatest(F.floor(n * test_share + 0.5), F.lit(1)), n - 1)
+    dealt = ranked.join(F.broadcast(sizes), F.col("label").eqNullSafe(F.col("label_of")))
+    return tuple(dealt.where(x).select(*rows.columns) for x in (rank > wanted, rank <= wanted))
 
 
 def fit_ranker(train: DataFrame, seed: int = 42, trees: int = 300, depth: int = 30, epochs: int = 60) -> PipelineModel:
