@@ -110,6 +110,20 @@ def _(spark, d):
     return docs.select("doc_id", F.round(byte_entropy(F.encode("text", "UTF-8")), 6).alias("entropy"))
 
 
+@query("fn_entropy_all", """
+SELECT d.doc_id, CASE WHEN length(d.text) = 0 THEN 0e0 ELSE e.entropy END AS entropy FROM documents d LEFT JOIN (
+ SELECT doc_id, round(least(8e0, h + (m - 1) / (2e0 * n * ln(2e0))), 6) AS entropy FROM (
+  SELECT doc_id, n, count(*) AS m, -sum(c / n * log2(c / n)) AS h FROM (
+   SELECT doc_id, x, count(*)::DOUBLE AS c, any_value(n)::DOUBLE AS n FROM (
+    SELECT doc_id, len(b) AS n, unnest(b) AS x FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents))
+   GROUP BY doc_id, x) GROUP BY doc_id, n)) e ON e.doc_id = d.doc_id""")
+def _(spark, d):
+    """Every document: 0 for an empty text, null for none."""
+    from ..functions.bytes import byte_entropy
+
+    return A.table(spark, d, "documents").select("doc_id", F.round(byte_entropy(F.encode("text", "UTF-8")), 6).alias("entropy"))
+
+
 @query("fn_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def _(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
