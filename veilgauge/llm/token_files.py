@@ -15,8 +15,10 @@ the levels.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,16 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .shared import forget, new_folder, written
-from .words import bytes_of, slices
+from .words import bytes_of, mix, slices
 
 MAGIC, VERSION = b"DACTOKEN", 1
 WIDTHS = {8: np.uint8, 16: np.uint16}
 #: Bits of a bitmap whose ones are counted together in the rank directory.
 BLOCK = 512
 #: A file is closed behind the document with which it reaches this many ids.
-FILE_IDS = 1 << 20
+FILE_IDS = 1 << 22
 #: Bytes of text encoded at once, and ids decoded at once when a file is read from end to end.
-SLICE, READ_IDS = 1 << 22, 1 << 18
+SLICE, READ_IDS = 1 << 24, 1 << 18
+#: Kinds of pieces that are encoded as one text.
+LINES = 4096
 END_ID = 0
 #: Tasks that read files at once, at most.
 READ_TASKS = 1 << 14
@@ -160,10 +164,20 @@ class TokenFile:
 # --- tokenizer -----------------------------------------------------------------------------------------
 
 _TOKENIZERS: dict[str, tuple] = {}
+# Kinds of bytes: blank, ASCII letter, ASCII digit, other visible ASCII, apostrophe, and all that never ends or begins a piece.
+_BLANK, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _OTHER = range(6)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x21:0x7F], _KIND[0x20], _KIND[0x27], _KIND[48:58], _KIND[65:91], _KIND[97:123] = _MARK, _BLANK, _APOSTROPHE, _DIGIT, _LETTER, _LETTER
+#: Between which kinds a byte-level tokenizer always cuts, whatever stands around them.
+_CUTS = np.zeros((6, 6), bool)
+_CUTS[[_LETTER, _DIGIT, _MARK, _APOSTROPHE], _BLANK] = True
+_CUTS[_LETTER, [_DIGIT, _MARK, _APOSTROPHE]] = _CUTS[_DIGIT, [_LETTER, _MARK, _APOSTROPHE]] = _CUTS[_MARK, [_LETTER, _DIGIT]] = _CUTS[_APOSTROPHE, _DIGIT] = True
+#: Pieces that a line break may follow without changing their ids or its own.
+_SIMPLE = re.compile(r" ?(?:[!-~]|\w)+")
 
 
 def _tokenizer(path: str):
-    """(tokenizer, whether its pieces never span a blank that follows a visible ASCII character), once per worker."""
+    """(tokenizer, its id of a line break, strings of added tokens) once per worker; the id is None where texts are encoded in one piece."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -171,42 +185,91 @@ def _tokenizer(path: str):
         made = Tokenizer.from_file(path)
         spec = json.loads(made.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        plain = all(not any(a.get(k) for k in ("lstrip", "rstrip", "normalized")) and not any(c.isspace() for c in a["content"]) for a in spec.get("added_tokens", []))
-        cuts = (spec.get("normalizer") is None and plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-                and spec["model"]["type"] == "BPE" and (spec.get("post_processor") or {"type": "ByteLevel"})["type"] == "ByteLevel"
-                and not spec.get("truncation") and not spec.get("padding"))
-        _TOKENIZERS[path] = made, cuts
+        cuts = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+                and spec["model"]["type"] == "BPE" and not any(spec.get(k) for k in ("truncation", "padding")) and not spec["model"].get("dropout")
+                and (spec.get("post_processor") or {"type": "ByteLevel"})["type"] == "ByteLevel")
+        end = made.encode("\n", add_special_tokens=False).ids
+        _TOKENIZERS[path] = made, end[0] if cuts and len(end) == 1 else None, [a["content"] for a in spec.get("added_tokens", [])]
     return _TOKENIZERS[path]
 
 
+def _whole(made, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    found = [e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)]
+    count = np.fromiter(map(len, found), np.int64, len(found))
+    return count, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(count.sum()))
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, which, kinds): where the pieces of all texts start, the kind of each, and a piece of every kind.
+
+    Pieces of up to 16 bytes are told apart by their bytes as two words, which
+    are compared again after sorting by one; longer ones as strings.
+    """
+    kind = _KIND[data]
+    edge = _CUTS[kind[:-1], kind[1:]]
+    # a blank behind a letter of Latin-1 (two bytes, the first C3) is no part of a run of blanks either
+    edge[1:] |= (data[:-2] == 0xC3) & (kind[2:] == _BLANK)
+    marks = np.zeros(len(data) + 1, bool)
+    marks[1:-1] = edge
+    marks[offsets] = True
+    starts = np.flatnonzero(marks)
+    length = np.diff(starts)
+    starts = starts[:-1]
+    short = np.flatnonzero(length <= 16)
+    room = np.concatenate([data, np.zeros(24, np.uint8)])
+    at = np.ndarray(len(data) + 16, "<u8", room, strides=(1,))
+    low, high = (at[starts[short] + k] & _MASKS[np.clip(length[short] - k, 0, 8)] for k in (0, 8))
+    key = mix(low ^ mix(high + length[short].astype(np.uint64)))
+    _, first, which_short = np.unique(key, return_index=True, return_inverse=True)
+    which = np.zeros(len(starts), np.int64)
+    which[short] = which_short
+    same = (low == low[first][which_short]) & (high == high[first][which_short]) & (length[short] == length[short][first][which_short])
+    rest = np.concatenate([np.flatnonzero(length > 16), short[~same]])
+    rest.sort()
+    codes: dict[bytes, int] = {}
+    held = data.tobytes() if len(rest) else b""
+    which[rest] = [codes.setdefault(held[a:b], len(codes)) for a, b in zip(starts[rest].tolist(), (starts + length)[rest].tolist())]
+    which[rest] += len(first)
+    seen = np.zeros(len(codes), np.int64)
+    seen[which[rest] - len(first)] = rest
+    return starts, which, np.concatenate([short[first], seen])
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(counts, ids) of whole texts; a null text is empty.
 
-    A byte-level tokenizer splits every text between a visible character and the
-    blank behind it before it merges anything, so the parts of a batch that lie
-    between such places are encoded once each, however often they occur.
-    Other tokenizers get each text in one piece.
+    A byte-level tokenizer cuts every text at certain pairs of bytes before it
+    merges anything, so each kind of piece between such places is encoded once,
+    however often the batch holds it; the kinds are encoded as lines of a few long
+    texts. Other tokenizers, and batches that hold the string of an added token, get each text in one piece.
     """
-    made, cuts = _tokenizer(path)
+    made, end, added = _tokenizer(path)
     data, offsets = bytes_of(texts)
-    ends = offsets[1:].astype(np.int64)
-    if not cuts:
-        found = [np.array(e.ids, np.uint32) for e in made.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
-        return np.array([len(f) for f in found], np.int64), np.concatenate([*found, np.zeros(0, np.uint32)])
-    before, here = data[:-1], data[1:]
-    split = np.flatnonzero((here == 0x20) & (before > 0x20) & (before < 0x7F)) + 1
-    edges = np.unique(np.concatenate([offsets.astype(np.int64), split]))
-    parts = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data)))
-    coded = parts.dictionary_encode()
-    found = [e.ids for e in made.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-    size = np.array([len(f) for f in found], np.int64)
-    flat = np.fromiter((t for f in found for t in f), np.uint32, int(size.sum()))
-    first, which = np.cumsum(size) - size, coded.indices.to_numpy()
+    raw = data.tobytes()
+    if end is None or not len(data) or any(a.encode() in raw for a in added):
+        return _whole(made, texts.fill_null("").to_pylist())
+    starts, which, kinds = _pieces(data, offsets)
+    ends = np.append(starts[1:], len(data))
+    names = [raw[a:b].decode("utf-8") for a, b in zip(starts[kinds].tolist(), ends[kinds].tolist())]
+    simple = np.fromiter((_SIMPLE.fullmatch(n) is not None for n in names), bool, len(names))
+    size, flat = np.zeros(len(names), np.int64), [np.zeros(0, np.uint32)] * 2
+    if simple.any():
+        lines = [n for n, s in zip(names, simple.tolist()) if s]
+        _, flat[0] = _whole(made, ["\n".join([*lines[i:i + LINES], ""]) for i in range(0, len(lines), LINES)])
+        size[simple] = np.diff(np.flatnonzero(flat[0] == end), prepend=-1) - 1
+        flat[0] = flat[0][flat[0] != end]
+    size[~simple], flat[1] = _whole(made, [n for n, s in zip(names, simple.tolist()) if not s])
+    first = np.zeros(len(names), np.int64)
+    first[simple] = np.cumsum(size[simple]) - size[simple]
+    first[~simple] = len(flat[0]) + np.cumsum(size[~simple]) - size[~simple]
     n = size[which]
-    behind = np.concatenate([[0], np.cumsum(n)])
-    place = np.arange(behind[-1]) - np.repeat(behind[:-1], n) + np.repeat(first[which], n)
-    total = behind[np.searchsorted(edges, np.concatenate([[0], ends]))]
-    return np.diff(total), flat[place]
+    behind = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(n, out=behind[1:])
+    place = np.arange(behind[-1]) + np.repeat(first[which] - behind[:-1], n)
+    return np.diff(behind[np.searchsorted(np.append(starts, len(data)), offsets)]), np.concatenate(flat)[place]
 
 
 # --- files ---------------------------------------------------------------------------------------------
