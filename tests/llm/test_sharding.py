@@ -8,6 +8,8 @@ from veilgauge.llm.queries import QUERIES
 
 from .rows import DOCS, awkward, extra
 
+HELPERS = ["_copies", "_chunk", "_before", "_sum", "_start", "_shard", "_part", "_shard_of", "_chunk_of", "_piece", "piece"]
+
 
 def jump(key, n):
     key, at, to = key % (1 << 64), -1, 0
@@ -33,8 +35,11 @@ def test_a_further_shard_only_takes_rows_into_itself(spark):
 
 
 def test_slots_are_gapless_for_nulls_ties_and_repeated_rows(spark):
-    df = extra(spark.createDataFrame(awkward() * 2, DOCS), "shard", "Slot", "_sum")
-    got = sharding.number_slots(sharding.assign_shards(df)).collect()
+    df = extra(spark.createDataFrame(awkward() * 2, DOCS), "shard", "Slot", *HELPERS)
+    numbered = sharding.number_slots(sharding.assign_shards(df))
+    got = numbered.collect()
+    assert sorted(numbered.columns) == sorted([*[c for c in df.columns if c not in ("shard", "Slot")], "shard", "slot"])
+    assert all(r[n] == f"own {n}" for r in got for n in HELPERS)
     assert len(got) == 2 * len(awkward())
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
@@ -42,7 +47,8 @@ def test_slots_are_gapless_for_nulls_ties_and_repeated_rows(spark):
     assert sharding.number_slots(sharding.assign_shards(df.limit(0))).count() == 0
 
 
-def test_one_row_repeated_without_end(spark):
+def test_one_row_repeated_without_end(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 7)
     df = spark.range(30000).select(F.lit(5).alias("doc_id"))
     got = sharding.number_slots(sharding.assign_shards(df)).agg(F.min("slot"), F.max("slot"), F.countDistinct("slot")).first()
     assert tuple(got) == (0, 29999, 30000)

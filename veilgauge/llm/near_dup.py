@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,6 @@ REGISTERS = BANDS * ROWS
 MIN_SHARED = int(REGISTERS * SIMILARITY - 4 * (REGISTERS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Pairs across classes that one task compares; larger buckets are compared in blocks.
 TASK_PAIRS = 1 << 18
-#: Texts on either side, and columns of shingles, that link_matrix takes at once.
-TILE, SLAB = 256, 4096
 #: Bands whose buckets are tried first, every text with one leader. What they connect needs no further links in the other bands.
 FIRST_BANDS = 8
 
@@ -100,46 +99,6 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray | None], b: tuple[np.nda
     return float(sum(c / (rest_a / x + rest_b / y + (counts * np.maximum(kinds[0] / x, kinds[1] / y)).sum()) for (x, y), c in zip(kinds.T, counts)))
 
 
-def link_matrix(a: list, b: list, same: bool = False) -> np.ndarray:
-    """Which profiles of a are linked to which of b; of equal lists (`same`) only pairs above the diagonal.
-
-    Products of (text, shingle) matrices give the weight that one text has on the
-    shingles of another. Between texts of plain weights that is the exact
-    similarity; for the others, whose similarity is at most the share of either
-    weight that is common, it leaves the pairs to be computed one by one.
-    """
-    rows, n = a + b, len(a)
-    lengths = np.array([len(m) for m, _ in rows], np.int64)
-    plain = np.array([w is None for _, w in rows], bool)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    weight = np.concatenate([np.ones(len(m), np.float32) if w is None else w for m, w in rows] + [np.zeros(0, np.float32)])
-    total = np.bincount(owner, weight, len(rows))
-    _, column, seen = np.unique(np.concatenate([m for m, _ in rows] + [np.zeros(0, np.uint32)]), return_inverse=True, return_counts=True)
-    shared = seen[column] > 1
-    owner, weight, column = owner[shared], weight[shared], (np.cumsum(seen > 1) - 1)[column[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, weight, column = owner[order], weight[order], column[order]
-    of_a, of_b = np.zeros((n, len(b))), np.zeros((n, len(b)))
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, SLAB):
-        x, y = np.searchsorted(column, [low, low + SLAB])
-        held = np.zeros((len(rows), SLAB), np.float32)
-        held[owner[x:y], column[x:y] - low] = weight[x:y]
-        has = (held > 0).astype(np.float32)
-        of_a += held[:n] @ has[n:].T
-        if not plain.all():
-            of_b += has[:n] @ held[n:].T
-    both = plain[:n, None] & plain[None, n:]
-    union = lengths[:n, None] + lengths[None, n:] - of_a
-    near = both & (of_a / np.maximum(union, 1) >= SIMILARITY)
-    least = SIMILARITY * (1 - 1e-6)
-    maybe = ~both & (of_a >= least * total[:n, None]) & (of_b >= least * total[None, n:])
-    if same:
-        near, maybe = np.triu(near, 1), np.triu(maybe, 1)
-    for i, k in np.argwhere(maybe).tolist():
-        near[i, k] = probability_jaccard(a[i], b[k]) >= SIMILARITY
-    return near
-
-
 def _profile(marks: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray | None]:
     return np.frombuffer(marks, np.uint32), None if weights is None else np.frombuffer(weights, np.float32)
 
@@ -200,17 +159,17 @@ def text_profiles(nodes: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: s
 
 
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b): pairs whose profiles have a probability Jaccard of SIMILARITY or more."""
+    """Links (a, b, similarity): pairs whose profiles have a probability Jaccard of SIMILARITY or more."""
 
-    @F.arrow_udf("boolean")
-    def linked(marks_a: pa.Array, weights_a: pa.Array, marks_b: pa.Array, weights_b: pa.Array) -> pa.Array:
+    @F.arrow_udf("double")
+    def likeness(marks_a: pa.Array, weights_a: pa.Array, marks_b: pa.Array, weights_b: pa.Array) -> pa.Array:
         rows = zip(*[x.to_pylist() for x in (marks_a, weights_a, marks_b, weights_b)])
-        return pa.array([probability_jaccard(_profile(ma, wa), _profile(mb, wb)) >= SIMILARITY for ma, wa, mb, wb in rows], pa.bool_())
+        return pa.array([probability_jaccard(_profile(ma, wa), _profile(mb, wb)) for ma, wa, mb, wb in rows], pa.float64())
 
     left = known.select(F.col("node").alias("a"), F.col("marks").alias("marks_a"), F.col("weights").alias("weights_a"))
     right = known.select(F.col("node").alias("b"), F.col("marks").alias("marks_b"), F.col("weights").alias("weights_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    return written(both.filter(linked("marks_a", "weights_a", "marks_b", "weights_b")).select("a", "b"), "links")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", likeness("marks_a", "weights_a", "marks_b", "weights_b").alias("similarity"))
+    return written(both.filter(F.col("similarity") >= SIMILARITY), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -262,7 +221,7 @@ def _pieces(rows: DataFrame, pairs, *columns: str) -> DataFrame:
 
 
 def _across(rows: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
-    """Links between different classes of a bucket.
+    """Links (a, b, similarity) between different classes of a bucket.
 
     A task compares one bucket, or two blocks of a bucket with more than
     TASK_PAIRS pairs across classes. Pairs that share an earlier band are left
@@ -285,63 +244,45 @@ def _across(rows: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
             equal = signs[j] == signs[i]
             j = j[(equal.sum(axis=1) >= MIN_SHARED) & ~equal[:, :band * ROWS].reshape(len(j), band, ROWS).all(axis=2).any(axis=1)]
             for k in j.tolist():
-                if group[k] != group[i] and probability_jaccard(marks[i], marks[k]) >= SIMILARITY:
-                    out.append((min(node[i], node[k]), max(node[i], node[k])))
+                if group[k] != group[i] and (likeness := probability_jaccard(marks[i], marks[k])) >= SIMILARITY:
+                    out.append((min(node[i], node[k]), max(node[i], node[k]), likeness))
                     group[group == group[k]] = group[i]
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "similarity": pa.array([x[2] for x in out], pa.float64())})
 
     full = dealt.join(texts.select("node", "sketch"), "node").join(known, "node")
-    return full.groupBy("band", "key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
-
-
-def link_counts(classes: DataFrame, known: DataFrame) -> DataFrame:
-    """(node, n_links): the links of every node of a class, all pairs of the class compared.
-
-    A link never leaves a class, so this needs no bands and no sketches. A task
-    compares one class, or two blocks of a class with more than TASK_PAIRS
-    pairs, and gives one count per text. Two texts that are a class are linked.
-    """
-    sizes = written(classes.groupBy("class_node").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    sized = classes.join(sizes, "class_node")
-    dealt = _pieces(sized.filter("n > 2"), F.col("n") * (F.col("n") - 1) / 2, "class_node", "node")
-
-    def compare(table: pa.Table) -> pa.Table:
-        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-        low, high = (table.column(c)[0].as_py() for c in ("low", "high"))
-        marks = [_profile(m, w) for m, w in zip(table.column("marks").to_pylist(), table.column("weights").to_pylist())]
-        left, right = (np.flatnonzero(block == x) for x in (low, high))
-        found = np.zeros(len(node), np.int64)
-        for i in range(0, len(left), TILE):
-            for j in range(i if low == high else 0, len(right), TILE):
-                a, b = left[i:i + TILE], right[j:j + TILE]
-                near = link_matrix([marks[k] for k in a], [marks[k] for k in b], low == high and i == j)
-                found[a] += near.sum(axis=1)
-                found[b] += near.sum(axis=0)
-        return pa.table({"node": pa.array(node, pa.int64()), "n_links": pa.array(found, pa.int64())})
-
-    counted = dealt.join(known, "node").groupBy("class_node", "low", "high").applyInArrow(compare, "node long, n_links long")
-    summed = counted.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    done = written(summed.union(sized.filter("n = 2").select("node", F.lit(1).cast("long"))), "counts")
-    forget(sizes)
-    return done
+    return full.groupBy("band", "key", "low", "high").applyInArrow(compare, "a long, b long, similarity double").distinct()
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, profiles, classes) over the distinct texts of `docs`; see near_duplicates. The caller forgets the profiles."""
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(texts, classes, verified links) over the distinct texts of `docs`; see near_duplicates. The caller forgets the links."""
     texts = distinct_texts(docs, doc_id, text)
     table = buckets(texts)
     several = written(table.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"), "several")
     shared = written(table.join(several, ["band", "key"]), "buckets")
     known = text_profiles(shared.select("node"), texts, docs, doc_id, text)
     alone = shared.filter(F.col("band") < FIRST_BANDS).select("band", "key", "node", F.col("node").alias("class_node"))
-    classes = written(components(_verified(_plausible(_stars(alone), texts), known)), "classes")
+    found = [_verified(_plausible(_stars(alone), texts), known)]
+    classes = written(components(found[0]), "classes")
     # then all bands, but only buckets that still hold several classes
     rest = written(_open_buckets(shared, classes), "open")
-    classes = _joined(classes, _verified(_plausible(_stars(rest), texts), known))
+    found.append(_verified(_plausible(_stars(rest), texts), known))
+    classes = _joined(classes, found[1])
     rest = written(_open_buckets(rest.select("band", "key", "node"), classes), "open")
-    classes = _joined(classes, written(_across(rest, texts, known), "links"))
-    forget(several, shared)
-    return texts, known, classes
+    found.append(written(_across(rest, texts, known), "links"))
+    classes = _joined(classes, found[2])
+    forget(several, shared, known)
+    return texts, classes, found
+
+
+def nearest_links(found: list[DataFrame], texts: DataFrame) -> DataFrame:
+    """(node, linked_doc, similarity): of the verified links of every text the closest, ties by the other text's document.
+
+    A text joins a class by a verified link, so every text of a class of several has one.
+    """
+    both = [x.select(F.col(u).alias("node"), F.col(v).alias("other"), "similarity") for x in found for u, v in (("a", "b"), ("b", "a"))]
+    named = functools.reduce(DataFrame.union, both).join(texts.select(F.col("node").alias("other"), F.col("first_doc").alias("linked_doc")), "other")
+    # least negated similarity first, then the least document
+    return named.groupBy("node").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "linked_doc")).alias("m")).select("node", "m.linked_doc", (-F.col("m.s")).alias("similarity"))
 
 
 def _joined(classes: DataFrame, more: DataFrame) -> DataFrame:
@@ -357,26 +298,26 @@ def _joined(classes: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc, class_id, n_links.
+    """One row per document: doc, class_id, linked_doc, similarity.
 
     Texts are sets of five-word shingles weighted by their counts (blank-separated
     words, ASCII case folded; a text of fewer words is one shingle). Texts of
     probability Jaccard 0.8 or more are linked; a class is what links connect,
-    and class_id its least doc_id. n_links counts all links of a document's
-    text to other texts. Equal texts are one text before anything is compared,
-    so copies cost no pairs and count once. Documents without words are alone:
-    class_id is their own id. Null ids stay null unless the class has another.
-    Repeated rows come back as often as they came.
+    and class_id its least doc_id. linked_doc is the first document of the text
+    that the closest verified link leads to, similarity what was computed for
+    it; both are null for a text without links. Equal texts are one text before
+    anything is compared, so copies cost no pairs. Documents without words are
+    alone: class_id is their own id. Null ids stay null unless the class has
+    another. Repeated rows come back as often as they came.
     """
-    texts, profiled, classes = links(docs, doc_id, text)
-    degree = link_counts(classes, profiled)
-    forget(profiled)
+    texts, classes, found = links(docs, doc_id, text)
+    nearest = written(nearest_links(found, texts), "nearest")
+    forget(*found)
     known = texts.select("node", "text_key", "first_doc").join(classes, "node", "left").withColumn("class_node", F.coalesce("class_node", "node"))
     first = known.groupBy("class_node").agg(F.min("first_doc").alias("class_id"))
-    judged = known.join(first, "class_node").join(degree, "node", "left").select("text_key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    judged = known.join(first, "class_node").join(nearest, "node", "left").select("text_key", "class_id", "linked_doc", "similarity")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("key"))
-    return rows.join(judged, F.col("key") == F.col("text_key"), "left").select(
-        "doc", F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(judged, F.col("key") == F.col("text_key"), "left").select("doc", F.coalesce("class_id", "doc").alias("class_id"), "linked_doc", "similarity")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -384,8 +325,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Of rows with that id and text one stays. The columns are those of `docs`.
     """
-    texts, profiled, classes = links(docs, doc_id, text)
-    forget(profiled)
+    texts, classes, found = links(docs, doc_id, text)
+    forget(*found)
     known = texts.select("node", "text_key", "first_doc").join(classes, "node", "left").withColumn("class_node", F.coalesce("class_node", "node"))
     first = known.groupBy("class_node").agg(F.min(F.struct(F.coalesce("first_doc", F.lit((1 << 63) - 1)).alias("o"), "text_key", "first_doc")).alias("f"))
     row, wordless, chosen_row = free_name(docs, "_row_key"), free_name(docs, "_wordless"), free_name(docs, "_chosen_row")

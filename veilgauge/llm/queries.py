@@ -80,7 +80,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_near_dup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate class and number of links of every document."""
+    """Near-duplicate class of every document and the closest verified link of its text."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
 
 

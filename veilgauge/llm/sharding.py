@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .shared import with_result
+from .shared import free_name, with_result
 
 # Multiplier of the generator of jump consistent hashing, in limbs of 22, 21 and 21 bits.
 _MULTIPLIER = 2862933555777941757
 _M0, _M1, _M2 = _MULTIPLIER & (1 << 22) - 1, _MULTIPLIER >> 22 & (1 << 21) - 1, _MULTIPLIER >> 43
 #: Rows of a shard are numbered in this many chunks, so that no task numbers a whole shard.
 CHUNKS = 4096
+#: Copies of a row that are numbered by one array.
+PIECE = 1 << 16
 #: Jumps taken for every key at once; the few keys that need more go on alone.
 COMMON_JUMPS = 40
 
@@ -68,14 +70,17 @@ def number_slots(df: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     """
     df = df.drop(*[c for c in df.columns if c.lower() == "slot"])
     columns = df.columns
+    copies, chunk, before, total, start, of_shard, of_chunk, piece = (free_name(df, f"_{n}") for n in ("copies", "chunk", "before", "sum", "start", "shard_of", "chunk_of", "piece"))
     named = [F.col(f"`{c}`") for c in columns]
     part = F.pmod(F.xxhash64(*named), F.lit(chunks))
-    dealt = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_chunk", part)
-    order = W.partitionBy("shard", "_chunk").orderBy(*[c for c in named if c is not None])
-    within = dealt.withColumn("_before", F.sum("_copies").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    sums = df.groupBy("shard", part.alias("_chunk")).agg(F.count(F.lit(1)).alias("_sum"))  # whole rows need not move for this
-    starts = sums.select(F.col("shard").alias("_shard"), F.col("_chunk").alias("_part"),
-                         F.sum("_sum").over(W.partitionBy("shard").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)).alias("_start"))
-    placed = within.join(starts, F.col("shard").eqNullSafe(F.col("_shard")) & (F.col("_chunk") == F.col("_part")))
-    first = F.coalesce("_before", F.lit(0)) + F.coalesce("_start", F.lit(0))
-    return placed.select(*named, F.explode(F.sequence(first, first + F.col("_copies") - 1)).alias("slot"))
+    dealt = df.groupBy(*named).agg(F.count(F.lit(1)).alias(copies)).withColumn(chunk, part)
+    order = W.partitionBy("shard", chunk).orderBy(*named)
+    within = dealt.withColumn(before, F.coalesce(F.sum(copies).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    sums = df.groupBy("shard", part.alias(chunk)).agg(F.count(F.lit(1)).alias(total))  # whole rows need not move for this
+    earlier = F.sum(total).over(W.partitionBy("shard").orderBy(chunk).rowsBetween(W.unboundedPreceding, -1))
+    starts = sums.select(F.col("shard").alias(of_shard), F.col(chunk).alias(of_chunk), F.coalesce(earlier, F.lit(0)).alias(start))
+    placed = within.join(starts, F.col("shard").eqNullSafe(F.col(of_shard)) & (F.col(chunk) == F.col(of_chunk)))
+    # copies in two steps, so that a row repeated without end needs no array of that length
+    first, last = F.col(before) + F.col(start), F.col(before) + F.col(start) + F.col(copies) - 1
+    pieces = placed.select(*named, last.alias(total), F.explode(F.sequence(first, last, F.lit(PIECE))).alias(piece))
+    return pieces.select(*named, F.explode(F.sequence(F.col(piece), F.least(F.col(piece) + PIECE - 1, F.col(total)))).alias("slot"))
