@@ -88,13 +88,38 @@ def test_sources_come_near_their_targets(spark):
     assert all(abs(taken[s] - t) <= 0.01 * t + 1 for s, t in target.items())
 
 
+def best_exchange(sizes, copies, words, epochs=2):
+    """Least distance to `words` that dropping one document, adding one, or both, can still bring."""
+    taken = sum(n * c for n, c in zip(sizes, copies))
+    add = [0] + [n for n, c in zip(sizes, copies) if n and c < epochs]
+    drop = [0] + [n for n, c in zip(sizes, copies) if c]
+    return min(abs(words - taken - a + b) for a in add for b in drop)
+
+
+def test_small_sources_end_where_no_exchange_helps(spark):
+    r = random.Random(11)
+    rows = [(i, prose(i, r.choice([3, 40, 300, 800, 5, 90])), "en", f"s{i % 9}", None) for i in range(90)]
+    got = mixing.mix_documents(spark.createDataFrame(rows, DOCS)).collect()
+    target, taken = check([(len(x[1].split()), x[3]) for x in rows], got)
+    for s, t in target.items():
+        own = [x for x in got if x.source == s]
+        full = min(x.copies for x in own)  # whole passes stay
+        assert abs(round(t) - taken[s]) <= best_exchange([x.size for x in own], [x.copies - full for x in own], round(t) - full * sum(x.size for x in own), 2 - full)
+
+
+def test_null_and_empty_source_are_two(spark):
+    df = spark.createDataFrame([(1, [None, ""], 10), (2, [None], 10), (3, [""], 10)], "id long, pattern array<string>, size long")
+    _, flows, _, _ = mixing.mix(df, {None: 1.0, "": 1.0}, share=1.0, epochs=2)
+    assert sum(r.words for f in flows.collect() for r in f.routes) == sum(f.words for f in flows.collect()) > 20
+
+
 def test_overlapping_sources_share_their_documents(spark):
     rows = [(i, ["a"], 10) for i in range(40)] + [(100 + i, ["a", "b"], 10) for i in range(40)] + [(200 + i, ["b"], 10) for i in range(5)]
     df = spark.createDataFrame(rows, "id long, pattern array<string>, size long")
     chosen, flows, target, sizes = mixing.mix(df, {"a": 1.0, "b": 1.0}, share=0.6, epochs=2)
     assert sizes == {"a": 800, "b": 450} and target == {"a": 375.0, "b": 375.0}
     routes = {tuple(f.pattern): f for f in flows.collect()}
-    assert sum(f.routes.get("a", 0) for f in routes.values()) == 375 and sum(f.routes.get("b", 0) for f in routes.values()) == 375
+    assert all(sum(r.words for f in routes.values() for r in f.routes if r.source == s) == 375 for s in "ab")
     assert all(f.words <= f.total for f in routes.values())  # nothing repeats while anything is unread
     taken = {tuple(k): v for k, v in chosen.groupBy("pattern").agg(F.sum(F.col("copies") * F.col("size"))).collect()}
     assert all(abs(taken[p] - f.words) < 10 for p, f in routes.items())

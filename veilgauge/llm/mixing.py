@@ -18,8 +18,11 @@ from .shared import free_name, word_count, written
 PARTS = 4096
 #: Membership patterns that the driver may hold. More means membership is no grouping; the call then fails.
 MAX_PATTERNS = 200_000
-#: Passes of seeded choice: each fills what the pass before left open with documents that still fit.
-PASSES = 4
+#: Passes of seeded choice: each fills what the pass before left open with documents that still fit; those
+#: behind FIRST_PASSES also offer what has been taken once more, while `epochs` allows it.
+PASSES, FIRST_PASSES = 5, 3
+#: Exchanges of one document for another (or for none) that close what the passes left open; most patterns need one or two.
+EXCHANGES = 8
 SEED = 20
 
 
@@ -106,8 +109,10 @@ def choose(sized: DataFrame, amounts: DataFrame, epochs: int, seed: int = SEED)
 
     sized: key columns, `pattern` and `size`; amounts: `pattern`, `words` to
     take, `total` words of the pattern. Rows that are equal are counted and
-    chosen as one. The left-over of a pattern after PASSES passes is less than
-    its shortest unchosen document, or nothing. No document is taken more than `epochs` times.
+    chosen as one. What the passes leave open is then closed by exchanges: each
+    adds the document, and drops the one, whose sizes bring the pattern nearest
+    to its words, as long as that is nearer than before. No document is taken
+    more than `epochs` times.
     """
     keys = [c for c in sized.columns]
     counted = sized.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.count(F.lit(1)).alias("_n"))
@@ -117,9 +122,10 @@ def choose(sized: DataFrame, amounts: DataFrame, epochs: int, seed: int = SEED)
     state = counted.join(F.broadcast(rest), (F.col("pattern") == F.col("_pattern"))).drop("_pattern") \
         .withColumns({"_order": order, "_part": F.shiftright(order, 52), "_extra": F.lit(0).cast("long")})
     state = written(state, "mix")
-    for _ in range(PASSES):
+    for turn in range(PASSES):
         # rows that may still be taken once more and fit into what is open
-        offered = F.when(F.col("_more") & (F.col("size") > 0) & (F.col("size") <= F.col("_open")), F.col("_n") - F.col("_extra")).otherwise(0)
+        most = F.col("_n") if turn < FIRST_PASSES else F.col("_n") * (epochs - F.col("_base"))
+        offered = F.when(F.col("_more") & (F.col("size") > 0) & (F.col("size") <= F.col("_open")), most - F.col("_extra")).otherwise(0)
         state = state.withColumn("_offer", offered)
         parts = state.groupBy("pattern", "_part").agg(F.sum(F.col("_offer") * F.col("size")).alias("_sum"))
         before = parts.select(F.col("pattern").alias("_p"), F.col("_part").alias("_q"),
@@ -132,8 +138,50 @@ def choose(sized: DataFrame, amounts: DataFrame, epochs: int, seed: int = SEED)
         took = written(took.drop("_before", "_start", "_offer"), "mix")
         spent = took.groupBy("pattern").agg(F.sum(F.col("_take") * F.col("size")).alias("_spent")).withColumnRenamed("pattern", "_p")
         state = took.join(F.broadcast(spent), (F.col("pattern") == F.col("_p"))).withColumn("_open", F.col("_open") - F.col("_spent")).drop("_p", "_spent", "_take")
-    return state.select(*[F.col(f"`{c}`") for c in keys], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"), "_base", "_extra") \
-        .select(*[F.col(f"`{c}`") for c in keys], F.when(F.col("size") > 0, F.col("_base") + F.when(F.col("_copy") <= F.col("_extra"), 1).otherwise(0)).otherwise(F.lit(0).cast("long")).alias("copies"))
+    for _ in range(EXCHANGES):
+        best = _best_exchanges(state, epochs)
+        if not best.limit(1).count():
+            break
+        state = written(_exchanged(state, best, [c for c in keys if c != "pattern"], epochs), "mix")
+    extra = F.expr("_extra div _n") + F.when(F.col("_copy") <= F.col("_extra") % F.col("_n"), 1).otherwise(0)
+    return state.select(*[F.col(f"`{c}`") for c in keys], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"), "_n", "_base", "_extra") \
+        .select(*[F.col(f"`{c}`") for c in keys], F.when(F.col("size") > 0, F.col("_base") + extra).otherwise(F.lit(0).cast("long")).alias("copies"))
+
+
+def _offered(epochs: int) -> Column:
+    return (F.col("size") > 0) & (F.col("_extra") < F.col("_n") * (epochs - F.col("_base")))
+
+
+def _best_exchanges(state: DataFrame, epochs: int) -> DataFrame:
+    """(pattern, add, drop): the sizes whose exchange brings a pattern nearest to its words, if any does.
+
+    Works on the distinct sizes of a pattern: for every size on offer the two
+    sizes in use that lie next to what would have to go; 0 stands for none on either side.
+    """
+    sizes = state.filter(F.col("_open") != 0).groupBy("pattern", "_open", "size").agg(F.max(_offered(epochs)).alias("in"), F.max(F.col("_extra") > 0).alias("out"))
+    none = sizes.select("pattern", "_open", F.lit(0).cast("long")).distinct()
+    add = sizes.filter("`in`").select("pattern", "_open", "size").union(none).select(
+        "pattern", "_open", F.col("size").alias("add"), (F.col("size") - F.col("_open")).alias("at"), F.lit(None).cast("long").alias("drop"))
+    used = sizes.filter("out").select("pattern", "_open", "size").union(none).select("pattern", "_open", F.lit(None).cast("long").alias("add"), F.col("size").alias("at"), F.col("size").alias("drop"))
+    order = W.partitionBy("pattern").orderBy("at", F.col("add").isNotNull())
+    near = add.union(used).withColumns({"under": F.last("drop", True).over(order.rowsBetween(W.unboundedPreceding, 0)), "above": F.first("drop", True).over(order.rowsBetween(0, W.unboundedFollowing))})
+    either = near.filter("add is not null").select("pattern", "_open", "add", F.explode(F.array("under", "above")).alias("drop")).filter("drop is not null and drop <> add")
+    left = F.col("_open") - F.col("add") + F.col("drop")
+    best = either.filter(F.abs(left) < F.abs("_open")).groupBy("pattern").agg(F.min(F.struct(F.abs(left).alias("d"), "add", "drop")).alias("b"))
+    return written(best.select("pattern", "b.add", "b.drop"), "mix-exchange")
+
+
+def _exchanged(state: DataFrame, best: DataFrame, keys: list[str], epochs: int) -> DataFrame:
+    """The state after one exchange in each pattern that has one, by the first documents in seeded order."""
+    both = state.join(F.broadcast(best), "pattern")
+    picked = both.groupBy("pattern", "add", "drop").agg(
+        F.min(F.when(_offered(epochs) & (F.col("size") == F.col("add")), F.struct("_order", *[F.col(f"`{c}`") for c in keys]))).alias("_plus"),
+        F.min(F.when((F.col("_extra") > 0) & (F.col("size") == F.col("drop")), F.struct("_order", *[F.col(f"`{c}`") for c in keys]))).alias("_minus"))
+    picked = written(picked.select(F.col("pattern").alias("_p"), "_plus", "_minus", (F.col("add") - F.col("drop")).alias("_moved")), "mix-picked")
+    own = F.struct("_order", *[F.col(f"`{c}`") for c in keys])
+    told = state.join(F.broadcast(picked), F.col("pattern") == F.col("_p"), "left")
+    step = F.when(own.eqNullSafe(F.col("_plus")), 1).otherwise(0) - F.when(own.eqNullSafe(F.col("_minus")), 1).otherwise(0)
+    return told.withColumns({"_extra": F.col("_extra") + step, "_open": F.col("_open") - F.coalesce("_moved", F.lit(0))}).drop("_p", "_plus", "_minus", "_moved")
 
 
 def plan(sized: DataFrame, weights, share: float, epochs: int) -> tuple[list, dict, dict]:
@@ -152,7 +200,7 @@ def plan(sized: DataFrame, weights, share: float, epochs: int) -> tuple[list, di
     target = capped_targets(sizes, given, share, epochs)
     member = [[at[s] for s in dict.fromkeys(r["pattern"])] for r in rows]
     flows = min_cost_flow([r["total"] for r in rows], member, [round(target[s]) for s in names], epochs)
-    out = [(list(r["pattern"]), sum(f.values()), r["total"], {("" if names[s] is None else names[s]): w for s, w in f.items()}) for r, f in zip(rows, flows)]
+    out = [(list(r["pattern"]), sum(f.values()), r["total"], [(names[s], w) for s, w in f.items()]) for r, f in zip(rows, flows)]
     return out, target, sizes
 
 
@@ -163,12 +211,12 @@ def mix(sized: DataFrame, weights, share: float = 1.5, epochs: int = 2, seed: in
     and `size`. weights maps sources to weights, or makes that map from the
     list of sources in code point order, null last. Source targets are
     capped_targets of the words that the sources hold. flows has one row per
-    pattern: words to take, total words and `routes`, words by source. Rows
+    pattern: words to take, total words and `routes`, pairs of source and words. Rows
     without words are never taken. An empty table gives no rows.
     """
     flows, target, sizes = plan(sized, weights, share, epochs)
     spark = sized.sparkSession
-    amounts = spark.createDataFrame(flows, "pattern array<string>, words long, total long, routes map<string,long>")
+    amounts = spark.createDataFrame(flows, "pattern array<string>, words long, total long, routes array<struct<source:string,words:long>>")
     return choose(sized, amounts.select("pattern", "words", "total"), epochs, seed), amounts, target, sizes
 
 
