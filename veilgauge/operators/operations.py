@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import registries as R
 from .posture import positioned
-from .scan import frame_chunk, ordered
+from .scan import counted_below, frame_chunk, ordered
 
 
 def window_health(log: DataFrame, now_us: int, stale_after: float | None = None) -> DataFrame:
@@ -57,18 +57,17 @@ def evidence_to_delete(files: DataFrame, keep: int, max_bytes: int) -> DataFrame
     return o.where(beyond).select("dir", "name", "bytes")
 
 
-def rate_guard(events: DataFrame, key: str, ts_us: str, limit: int, seconds: int) -> DataFrame:
+def rate_guard(events: DataFrame, key: str, ts_us: str, limit: int, seconds: int, chunk_us: int = 60 * 10 ** 6) -> DataFrame:
     """Events of the same key in the last `seconds`, this one included, and whether the limit is passed.
 
-    Time is cut into buckets of one window length. A row joins its own bucket and
-    the next one as context, so a window holds two buckets of a key, not its life.
+    The count is a difference of two ranks: events up to now, less events
+    before the window. Ranks come from running counts over chunks of `chunk_us`,
+    so neither a busy key nor a long window meets in one task.
     """
     span = seconds * 10 ** 6
-    own = F.floor(F.col(ts_us) / span)
-    spread = events.withColumn("_own", own).withColumn("_bucket", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    w = W.partitionBy(key, "_bucket").orderBy(ts_us).rangeBetween(-(span - 1), 0)
-    counted = spread.withColumn("recent", F.count(F.lit(1)).over(w)).where(F.col("_own") == F.col("_bucket"))
-    return counted.withColumn("allowed", F.col("recent") <= limit).drop("_own", "_bucket")
+    upto = counted_below(events, [key], ts_us, F.col(ts_us) + 1, "rank_now", chunk_us)
+    both = counted_below(upto, [key], ts_us, F.col(ts_us) - (span - 1), "rank_then", chunk_us)
+    return both.withColumn("recent", F.col("rank_now") - F.col("rank_then")).withColumn("allowed", F.col("recent") <= limit).drop("rank_now", "rank_then")
 
 
 def bench_summary(runs: DataFrame, key: str, rate: str) -> DataFrame:

@@ -79,6 +79,22 @@ def ordered(
     return both.where("_row = 1").select(*[c for c in both.columns if not c.startswith("_")])
 
 
+def counted_below(df: DataFrame, keys: Sequence[str], value: str, target: Column, out: str, width: float) -> DataFrame:
+    """Add `out`: how many rows of the same key have a `value` less than `target`, a number that rows may choose freely.
+
+    Every row asks at its target and is counted at its value; one running count
+    over both, cut into chunks of `width` on the number line, answers all. No
+    range window, so a key that holds most rows is as many tasks as it has
+    chunks. A null value is not counted, a null target has no answer (null).
+    """
+    asked = df.withColumns({"below_at": target, "below_is": F.lit(0)})
+    counted = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("below_at"), F.lit(1).alias("below_is"))
+    both = asked.where(F.col("below_at").isNotNull()).unionByName(counted, allowMissingColumns=True)
+    run = ordered(both, keys, [F.col("below_at"), F.col("below_is")], F.floor(F.col("below_at") / F.lit(float(width))), sum_to={out: "below_is"})
+    unasked = asked.where(F.col("below_at").isNull()).withColumn(out, F.lit(None).cast("bigint"))
+    return run.where("below_is = 0").unionByName(unasked).drop("below_at", "below_is")
+
+
 def exact_percentiles(
     hist: DataFrame, keys: Sequence[str], value: str, n: str, probs: Mapping[str, float], width: float,
 ) -> DataFrame:

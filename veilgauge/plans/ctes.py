@@ -417,6 +417,18 @@ JOIN v_top x ON x.flow = t.flow JOIN d_suite st ON st.suite = t.truth JOIN d_cla
 cte("v_sensor", """
 SELECT user_id AS sensor, event_id AS frame, epoch_us(ts) AS ts_us, epoch_us(ts) // 86400000000 AS "window", 40 + floor(value * 8)::BIGINT AS length, event_id % 7 = 0 AS dropped FROM events
 """)
+# windows of 4 packets, 600 bytes or 21600 seconds, each starting where the one before has ended
+cte("v_chain", """
+WITH RECURSIVE p AS (SELECT sensor, ts_us, length, row_number() OVER w AS nth, sum(length) OVER w - length AS before FROM v_sensor WINDOW w AS (PARTITION BY sensor ORDER BY ts_us, frame)),
+s AS (SELECT sensor, nth, ts_us, before FROM p WHERE nth = 1
+ UNION ALL SELECT p.sensor, p.nth, p.ts_us, p.before FROM (
+  SELECT s.sensor, min(p.nth) AS nth FROM s JOIN p ON p.sensor = s.sensor AND p.nth > s.nth AND (p.nth - s.nth >= 4 OR p.before - s.before >= 600 OR p.ts_us - s.ts_us >= 21600000000)
+  GROUP BY s.sensor) n JOIN p ON p.sensor = n.sensor AND p.nth = n.nth),
+t AS (SELECT sensor, count(*) AS n, sum(length) AS held FROM v_sensor GROUP BY sensor),
+l AS (SELECT sensor, nth, ts_us, before, lead(nth) OVER w AS next, lead(before) OVER w AS until, row_number() OVER w - 1 AS "window" FROM s WINDOW w AS (PARTITION BY sensor ORDER BY nth)),
+f AS (SELECT sensor, "window", ts_us AS start_us, coalesce(next, n + 1) - nth AS packets, (coalesce(until, held) - before)::BIGINT AS bytes, next IS NOT NULL AS followed FROM l JOIN t USING (sensor))
+SELECT *, packets < 4 AND bytes >= 600 AS truncated, CASE WHEN packets >= 4 THEN 'packets' WHEN bytes >= 600 THEN 'bytes' WHEN followed THEN 'seconds' ELSE 'open' END AS closed_by FROM f
+""")
 cte("v_log", """
 SELECT sensor, "window", sum((NOT dropped)::INT)::BIGINT AS packets, sum(dropped::INT)::BIGINT AS dropped, max(ts_us) AS completed_us FROM v_sensor GROUP BY ALL
 """)

@@ -152,6 +152,18 @@ def _(spark, d):
     return OP.close_windows(A.sensor_packets(spark, d), ["sensor", "window"], 4, 600)
 
 
+CHAIN = (4, 600, 21600)  # packets, bytes, seconds of a window
+
+
+@query("win_chain", 'SELECT sensor, "window", start_us, packets, bytes, truncated, closed_by FROM v_chain')
+def _(spark, d):
+    """All windows of all sensors, each behind the one before, by packet, byte and time bounds."""
+    from ..operators.windows import chained_windows
+    from .stage import fresh
+
+    return chained_windows(A.sensor_packets(spark, d), "sensor", *CHAIN, root=fresh(spark, "windows"))
+
+
 @query("rate_guard", """
 SELECT frame, recent, recent <= 3 AS allowed FROM (SELECT frame, count(*) OVER (PARTITION BY sensor ORDER BY ts_us RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS recent FROM v_sensor)""")
 def _(spark, d):

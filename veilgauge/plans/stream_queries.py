@@ -99,6 +99,42 @@ def _(spark, d):
     return MO.window_columns(rows).select("window_us", "capture", "src", "dst", "spi", "packets", "bytes")
 
 
+def _thirds(p):
+    """Packets in three parts, one after the other in time; where they are cut does not matter to a stream."""
+    at = p.agg(F.percentile_approx("ts_us", [0.34, 0.67]).alias("at")).first()["at"] or [0, 0]
+    return [p.where(F.col("ts_us") <= at[0]), p.where((F.col("ts_us") > at[0]) & (F.col("ts_us") <= at[1])), p.where(F.col("ts_us") > at[1])]
+
+
+# A timer is over when the watermark, in milliseconds and a second behind the newest packet, has passed it.
+_PASSED = "({due} + 999) // 1000 < (SELECT max(ts_us) FROM {table}) // 1000 - 1000"
+
+
+@query("src_packet_stream", f"""
+SELECT sensor, "window", start_us, packets, bytes, truncated, CASE WHEN closed_by = 'open' THEN 'seconds' ELSE closed_by END AS closed_by
+FROM v_chain WHERE closed_by <> 'open' OR {_PASSED.format(due='start_us + 21600000000', table='v_sensor')}""")
+def _(spark, d):
+    """Windows that a twice restarted stream of packets has closed by its three bounds, the last ones by timers."""
+    from ..streaming import windows as WI
+    from .ops_queries import CHAIN
+
+    p = MO.event_time(A.sensor_packets(spark, d).select("sensor", "frame", "ts_us", "length"))
+    return _drained(spark, "windows", _thirds(p), lambda s: WI.bounded_windows(s, *CHAIN))
+
+
+@query("st_state_ttl", f"""
+SELECT spi, first_us, last_us, packets, bytes FROM (SELECT *, max(last_us) OVER (PARTITION BY spi) AS newest FROM (
+ SELECT spi, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS packets, sum(length)::BIGINT AS bytes FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY spi ORDER BY ts_us, frame) AS stretch FROM (
+   SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY spi ORDER BY ts_us, frame) < 14400000000 THEN 0 ELSE 1 END AS fresh FROM v_packets)) GROUP BY spi, stretch))
+WHERE last_us < newest OR {_PASSED.format(due='last_us + 14400000000', table='v_packets')}""")
+def _(spark, d):
+    """Stretches of activity that a twice restarted stream has emitted, each when its link had been silent for four hours."""
+    from ..streaming import windows as WI
+
+    p = _packets(spark, d).select("ts", "ts_us", "frame", "spi", "length")
+    return _drained(spark, "quiet", _thirds(p), lambda s: WI.quiet_links(s, 14400))
+
+
 # --- models (rows only: no SQL twin for a fitted model) ------------------------------------
 def _training(spark, d):
     from ..operators import ml as ML
