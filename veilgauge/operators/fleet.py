@@ -128,13 +128,13 @@ def fleet_summary(view: DataFrame) -> DataFrame:
         F.min("current_bits").alias("weakest_bits"))
 
 
-def prune(obs: DataFrame, base: DataFrame, now_us: int, keep: int | None = 500, days: float | None = 90,
-          run: str = "observed_us") -> DataFrame:
+def prune(obs: DataFrame, base: DataFrame, now_us: int, keep: int | None = 500, days: float | None = 90, run: str | None = None) -> DataFrame:
     """Rows that stay: recent enough and within the newest `keep`, or protected.
 
-    Protected: the row behind a baseline, the newest row of a baselined link,
-    rows of the latest assessment: the capture with the highest `run`, a column
-    that orders assessments (their time or number; the observed time by default). Rows
+    Protected: the row behind a baseline, the newest row of a baselined link, and
+    all rows of the latest assessment. `run` is a column that numbers or dates
+    assessments, and all rows of its highest value are protected; without it a
+    capture is an assessment, and the capture seen last is the latest. Rows
     are told apart by (capture, id), since an id may occur in two captures. The
     rank filter keeps `keep` rows per link before the shuffle; older rows of a
     hot link never meet in one task.
@@ -148,8 +148,8 @@ def prune(obs: DataFrame, base: DataFrame, now_us: int, keep: int | None = 500,
         ranked = obs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).select(*row)
         fresh = fresh.join(ranked, row, "left_semi")
     newest = latest(obs).join(base.select("peer_key"), "peer_key", "left_semi").select(F.col("o.capture").alias("capture"), F.col("o.id").alias("id"))
-    last = obs.agg(F.max(F.struct(F.col(run).alias("run"), "observed_us", "capture")).alias("l")).select("l.observed_us", "l.capture")
-    same_run = obs.join(F.broadcast(last), ["observed_us", "capture"], "left_semi").select(*row)
+    last = obs.agg(F.max(run).alias("last_run") if run else F.max_by("capture", F.struct("observed_us", "capture")).alias("last_run"))  # one row
+    same_run = obs.join(F.broadcast(last), F.col(run or "capture") == F.col("last_run"), "left_semi").select(*row)
     opened = obs.join(base.select("peer_key", F.col("best_observation_id").alias("id"), F.col("best_seen_us").alias("observed_us")), ["peer_key", "id", "observed_us"], "left_semi").select(*row)
     kept = fresh.select(*row).union(opened).union(newest).union(same_run).distinct()
     return obs.join(kept, row, "left_semi")

@@ -23,8 +23,12 @@ def positioned(df: DataFrame, keys, order, chunk) -> DataFrame:
     return both.withColumn("pos", F.sum(F.coalesce("_n0", "_row")).over(w)).where("_row = 1").drop("_p", "_row", "_n0")
 
 
-def capture_stats(classed: DataFrame, min_packets: int = 8) -> DataFrame:
-    """Packets read, by class, flows tracked and assessed, and the span of a capture."""
+def capture_stats(classed: DataFrame, min_packets: int = 8, sessions: DataFrame | None = None) -> DataFrame:
+    """Packets read, by class, flows tracked and assessed, and the span of a capture.
+
+    With `sessions`, also the key exchanges of the capture and the parse errors
+    of their messages; a capture known by its sessions alone has no packets and no span.
+    """
     def n(*classes):
         return F.sum(F.col("pkt_class").isin(*classes).cast("bigint"))
 
@@ -36,7 +40,11 @@ def capture_stats(classed: DataFrame, min_packets: int = 8) -> DataFrame:
         "capture", "src", "dst", F.hex(F.substring("payload", 1, 4)).alias("spi")).agg(F.count(F.lit(1)).alias("n"))
     flows = flows.groupBy("capture").agg(
         F.count(F.lit(1)).alias("flows_tracked"), F.sum((F.col("n") >= min_packets).cast("bigint")).alias("flows_assessed"))
-    return totals.join(flows, "capture", "left").fillna(0, ["flows_tracked", "flows_assessed"])
+    full = totals.join(flows, "capture", "left").fillna(0, ["flows_tracked", "flows_assessed"])
+    if sessions is None:
+        return full
+    held = sessions.groupBy("capture").agg(F.count(F.lit(1)).alias("ike_sessions"), F.sum("parse_errors").alias("parse_errors"))
+    return full.join(held, "capture", "full_outer").fillna(0, [c for c in [*full.columns, "ike_sessions", "parse_errors"] if c not in ("capture", "capture_seconds")])
 
 
 def throughput(stats: DataFrame, min_packets: int = 10_000) -> DataFrame:

@@ -8,7 +8,7 @@ from .. import adapters as A
 from ..operators import flows as FL, framing as FR, packets as P
 from ..functions import framing as FF
 from .catalog import query
-from .stage import staged
+from .stage import fresh, staged
 
 FLOW_ORDER = "capture, src, dst, spi"
 
@@ -41,17 +41,20 @@ def _(spark, d):
 
 
 @query("capture_stats", """
-SELECT r.*, coalesce(t.tracked, 0) AS flows_tracked, coalesce(t.assessed, 0) AS flows_assessed FROM (
+SELECT coalesce(r.capture, i.capture) AS capture, coalesce(packets_read, 0) AS packets_read, coalesce(ike_messages, 0) AS ike_messages, coalesce(esp_packets, 0) AS esp_packets,
+  coalesce(other_packets, 0) AS other_packets, capture_seconds, coalesce(t.tracked, 0) AS flows_tracked, coalesce(t.assessed, 0) AS flows_assessed,
+  coalesce(ike_sessions, 0) AS ike_sessions, coalesce(parse_errors, 0) AS parse_errors FROM (
 SELECT capture, count(*) AS packets_read, sum((pkt_class = 'ike')::INT)::BIGINT AS ike_messages,
   sum((pkt_class LIKE 'esp%')::INT)::BIGINT AS esp_packets, sum((pkt_class IN ('other', 'keepalive'))::INT)::BIGINT AS other_packets,
   round((max(ts_us) - min(ts_us)) / 1e6, 3) AS capture_seconds FROM v_raw_class GROUP BY capture) r
 LEFT JOIN (SELECT capture, count(*) AS tracked, sum((n >= 8)::INT)::BIGINT AS assessed FROM (
-  SELECT capture, src, dst, substr(hexed, 1, 8) AS spi, count(*) AS n FROM v_raw_class WHERE pkt_class LIKE 'esp%' GROUP BY ALL) GROUP BY capture) t
-ON t.capture = r.capture""")
+  SELECT capture, src, dst, substr(hexed, 1, 8) AS spi, count(*) AS n FROM v_raw_class WHERE pkt_class LIKE 'esp%' GROUP BY ALL) GROUP BY capture) t ON t.capture = r.capture
+FULL JOIN (SELECT capture, count(*) AS ike_sessions, sum(CASE WHEN k % 29 = 0 THEN 1 ELSE 0 END)::BIGINT AS parse_errors FROM v_sa GROUP BY capture) i ON i.capture = r.capture""")
 def _(spark, d):
     from ..operators.posture import capture_stats
+    from .session_queries import sess
 
-    return capture_stats(P.classify(A.raw_packets(spark, d)))
+    return capture_stats(P.classify(A.raw_packets(spark, d)), sessions=sess(spark, d))
 
 
 @query("throughput", """
@@ -219,6 +222,17 @@ def _(spark, d):
     return FL.busiest(f.withColumn("capture", F.substring("capture", 1, 7)), 3).select(F.col("site").alias("capture"), "flow", "packets")
 
 
+@query("flow_evict_batched", """
+SELECT capture, src, dst, spi, packets, last_us FROM (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY packets DESC, last_us DESC, src, dst, spi) AS rn FROM (
+ SELECT substr(capture, 1, 7) AS capture, src, dst, spi, count(*) AS packets, max(ts_us) AS last_us FROM v_packets GROUP BY ALL)) WHERE rn <= 3""")
+def _(spark, d):
+    """The busiest flows of every site by bounded tables with batched eviction, then counted exactly."""
+    from ..operators.eviction import busiest_bounded
+
+    p = A.esp_packets(spark, d).withColumn("capture", F.substring("capture", 1, 7))
+    return busiest_bounded(p, 3, max_flows=64, root=fresh(spark, "eviction"))
+
+
 @query("flows_sort", """
 SELECT capture, flow, packets, row_number() OVER (PARTITION BY substr(capture, 1, 7) ORDER BY packets DESC, flow) AS pos FROM v_flows""")
 def _(spark, d):

@@ -75,7 +75,7 @@ NOW_US = 1_000_000_000_000_000  # 2001-09-09
 
 @query("base_retention", f"""
 SELECT o.id, o.peer_key, o.observed_us FROM v_obs o JOIN v_base b ON b.peer_key = o.peer_key WHERE (o.observed_us >= {NOW_US} - 900 * 86400000000 AND b.observations - o.rn < 3)
-  OR o.id = b.best_observation_id OR o.rn = b.observations OR (o.observed_us, o.capture) IN (SELECT max((observed_us, capture)) FROM v_obs)""")
+  OR o.id = b.best_observation_id OR o.rn = b.observations OR o.capture = (SELECT arg_max(capture, (observed_us, capture)) FROM v_obs)""")
 def _(spark, d):
     o = obs(spark, d)
     return FT.prune(o, FT.baselines(o), NOW_US, keep=3, days=900).select("id", "peer_key", "observed_us")
@@ -83,7 +83,7 @@ def _(spark, d):
 
 @query("retention_keep", f"""
 SELECT o.peer_key, count(*) AS removed FROM v_obs o JOIN v_base b ON b.peer_key = o.peer_key WHERE NOT ((o.observed_us >= {NOW_US} - 900 * 86400000000 AND b.observations - o.rn < 3)
-  OR o.id = b.best_observation_id OR o.rn = b.observations OR (o.observed_us, o.capture) IN (SELECT max((observed_us, capture)) FROM v_obs)) GROUP BY o.peer_key""")
+  OR o.id = b.best_observation_id OR o.rn = b.observations OR o.capture = (SELECT arg_max(capture, (observed_us, capture)) FROM v_obs)) GROUP BY o.peer_key""")
 def _(spark, d):
     o = obs(spark, d)
     kept = FT.prune(o, FT.baselines(o), NOW_US, keep=3, days=900)
@@ -117,13 +117,23 @@ def _(spark, d):
     return obs(spark, d).select("peer_key").distinct()
 
 
-@query("st_alert", """
-SELECT o.capture, max(CASE WHEN verdict = 'downgrade' THEN 3 ELSE 0 END) AS exit_code, sum((verdict = 'downgrade')::INT)::BIGINT AS downgrades,
-  sum((verdict = 'downgrade-quantum')::INT)::BIGINT AS quantum_downgrades FROM v_verdict o GROUP BY o.capture""")
+FAIL_UNDER = 60
+
+
+@query("st_alert", f"""
+SELECT capture, CASE WHEN coalesce(downgrades, 0) > 0 THEN 3 WHEN score < {FAIL_UNDER} THEN 2 ELSE 0 END AS exit_code, coalesce(downgrades, 0) AS downgrades,
+  coalesce(quantum_downgrades, 0) AS quantum_downgrades, score FROM (
+ SELECT o.capture, sum((verdict = 'downgrade')::INT)::BIGINT AS downgrades, sum((verdict = 'downgrade-quantum')::INT)::BIGINT AS quantum_downgrades FROM v_verdict o GROUP BY o.capture)
+FULL JOIN (SELECT capture, score FROM v_posture) USING (capture)""")
 def _(spark, d):
+    """Exit codes of captures: 3 on a downgrade, 2 below the required score."""
+    from ..operators.posture import posture
     from ..streaming.monitor import alerts
+    from .session_queries import captures
 
-    return alerts(FT.verdicts(obs(spark, d)))
+    o = obs(spark, d)
+    scores = posture(captures(spark, d), findings(spark, d)).select("capture", "score")
+    return alerts(FT.verdicts(o), scores, FAIL_UNDER)
 
 
 # --- exposure --------------------------------------------------------------------

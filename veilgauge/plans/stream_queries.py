@@ -207,6 +207,31 @@ def _(spark, d):
     return ML.leave_one_capture_out(s, ["g0", "g1", "g2", "g3"], predict)
 
 
+@query("eval_loco_captures")
+def _(spark, d):
+    """One row per capture: its flows, and those whose class trees that never saw the capture name right."""
+    from ..operators import labels as LB, ml as ML
+
+    s = _training(spark, d)
+    p = FR.mask_probabilities(_trace(spark, d), ML.grouped_forests(s))
+    judged = FR.classify_flows(p).select(*FL.KEYS, "class").join(s.select(*FL.KEYS, "truth"), FL.KEYS)
+    hit = F.col("class") == LB.class_of(F.col("truth"))
+    return judged.groupBy("capture").agg(F.count(F.lit(1)).alias("flows"), F.sum(hit.cast("bigint")).alias("hits"))
+
+
+@query("eval_loco_split", """
+SELECT capture, (g - i + 6) % 6 AS forest, flows, seen FROM (SELECT capture, count(*) AS flows, (('0x' || substr(md5(capture), 1, 8))::BIGINT % 6)::INT AS g, 0::BIGINT AS seen FROM v_flows GROUP BY capture), (SELECT unnest([0, 1])::INT AS i)""")
+def _(spark, d):
+    """Which trees score each capture, and how many of its flows these trees were grown on: none."""
+    from ..operators import ml as ML
+
+    s = FL.esp_flows(A.esp_packets(spark, d)).select(*FL.KEYS)
+    scored = ML.unseen_by(s).groupBy("capture", "forest").agg(F.count(F.lit(1)).alias("flows"))
+    forests = spark.range(6).select(F.col("id").cast("int").alias("forest"))
+    grown = s.withColumn("group", ML.forest_group()).join(forests, F.pmod(F.col("group") - F.col("forest"), F.lit(6)) >= 2).groupBy("capture", "forest").agg(F.count(F.lit(1)).alias("seen"))
+    return scored.join(grown, ["capture", "forest"], "left").select("capture", "forest", "flows", F.coalesce("seen", F.lit(0)).alias("seen"))
+
+
 @query("corpus_union")
 def _(spark, d):
     t = _training(spark, d)

@@ -53,15 +53,21 @@ def window_columns(df: DataFrame) -> DataFrame:
     return df.select(start.alias("window_us"), *[c for c in df.columns if c != "w"])
 
 
-def alerts(judged: DataFrame) -> DataFrame:
-    """Exit code per capture: 3 when a link fell below its baseline in classical bits, else 0.
+def alerts(judged: DataFrame, scores: DataFrame | None = None, fail_under: int | None = None) -> DataFrame:
+    """Exit code per capture: 3 when a link fell below its baseline in classical bits, else 2 when the posture score is below `fail_under`, else 0.
 
     Loss of quantum strength is counted beside it and does not change the code.
+    With `scores` (capture, score) every capture that has either has a row; no
+    limit, or one of 0, means that no score fails. A capture without a score does not fail by it.
     """
     down = F.col("verdict") == "downgrade"
-    return judged.groupBy("capture").agg(
-        F.max(F.when(down, 3).otherwise(0)).alias("exit_code"), F.sum(down.cast("bigint")).alias("downgrades"),
-        F.sum((F.col("verdict") == "downgrade-quantum").cast("bigint")).alias("quantum_downgrades"))
+    drift = judged.groupBy("capture").agg(F.sum(down.cast("bigint")).alias("downgrades"), F.sum((F.col("verdict") == "downgrade-quantum").cast("bigint")).alias("quantum_downgrades"))
+    worst = F.when(F.col("downgrades") > 0, 3)
+    if scores is None:
+        return drift.select("capture", worst.otherwise(0).alias("exit_code"), "downgrades", "quantum_downgrades")
+    both = drift.join(scores.select("capture", "score"), "capture", "full_outer").fillna(0, ["downgrades", "quantum_downgrades"])
+    failed = worst.when(F.col("score") < fail_under, 2) if fail_under else worst
+    return both.select("capture", failed.otherwise(0).alias("exit_code"), "downgrades", "quantum_downgrades", "score")
 
 
 def start_monitor(packets: DataFrame, out: str, checkpoint: str, window: str = "60 seconds", watermark: str = "2 minutes",
