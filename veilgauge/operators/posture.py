@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import registries as R
@@ -23,6 +25,21 @@ def positioned(df: DataFrame, keys, order, chunk) -> DataFrame:
     return both.withColumn("pos", F.sum(F.coalesce("_n0", "_row")).over(w)).where("_row = 1").drop("_p", "_row", "_n0")
 
 
+def positioned_by_range(df: DataFrame, keys, order, root: str, partitions: int | None = None) -> DataFrame:
+    """As positioned, with chunks that Spark's range partitioning samples from the order itself.
+
+    For orders that no column cuts evenly, such as names with a common prefix: a
+    key of most rows is split wherever its rows are, into pieces of like size.
+    The pieces are written below `root` once, so that the counts and the rows see the same ones.
+    """
+    wanted = [*[F.col(k) for k in keys], *order]
+    ranged = df.repartitionByRange(partitions, *wanted) if partitions else df.repartitionByRange(*wanted)
+    path = f"{root}/{uuid.uuid4().hex}"
+    ranged.withColumn("range_part", F.spark_partition_id()).write.parquet(path)
+    cut = df.sparkSession.read.parquet(path)
+    return positioned(cut, keys, order, [F.col("range_part")]).drop("range_part")
+
+
 def capture_stats(classed: DataFrame, min_packets: int = 8, sessions: DataFrame | None = None) -> DataFrame:
     """Packets read, by class, flows tracked and assessed, and the span of a capture.
 

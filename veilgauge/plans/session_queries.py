@@ -8,7 +8,7 @@ from .. import adapters as A, registries as R
 from ..operators import flows as FL, posture as PO, rules as RU, sessions as S, strength as ST
 from .catalog import query
 from .ctes import RULE_SQL
-from .stage import staged
+from .stage import fresh, staged
 
 
 def messages(spark, d):
@@ -297,7 +297,7 @@ SELECT capture, rule_id, title, severity, subject, row_number() OVER (PARTITION
   SELECT DISTINCT capture, rule_id, title, severity, subject, rnk FROM v_findings JOIN d_severity USING (severity))""")
 def _(spark, d):
     f = findings(spark, d).select("capture", "rule_id", "title", "severity", "subject").distinct().withColumn("rank", PO.rank_of(F.col("severity")))
-    return PO.positioned(f, ["capture"], [F.asc("rank"), F.asc("rule_id"), F.asc("subject"), F.asc("title")], [F.col("rank"), F.col("rule_id")]).drop("rank")
+    return PO.positioned_by_range(f, ["capture"], [F.asc("rank"), F.asc("rule_id"), F.asc("subject"), F.asc("title")], fresh(spark, "findings-sort")).drop("rank")
 
 
 @query("groups_sort", """
@@ -344,7 +344,7 @@ def _(spark, d):
     l = link_rows(spark, d).withColumn("rank", F.coalesce(PO.rank_of(F.col("worst_severity")), F.lit(5)))
     order = [F.asc("rank"), F.desc("findings"), F.coalesce("classical_bits", F.lit(10000)).asc(),
              address_key(F.split("link", "~")[0]).asc(), address_key(F.split("link", "~")[1]).asc()]
-    return PO.positioned(l, ["capture"], order, [F.col("rank"), -F.col("findings")]).select("capture", "link", "pos")
+    return PO.positioned_by_range(l, ["capture"], order, fresh(spark, "links-sort")).select("capture", "link", "pos")
 
 
 @query("fn_subject_pair", """

@@ -15,11 +15,64 @@ from .session_queries import captures, findings, sess, strong
 from .state_queries import obs
 
 
+@query("sink_fleet_log", """
+SELECT v.id, v.peer_key, v.verdict, b.best_classical_bits, b.observations FROM v_verdict v LEFT JOIN v_base b ON b.peer_key = v.peer_key""")
+def _(spark, d):
+    """A store of two interleaved writers, one of which commits twice, and a snapshot that one of them overtakes."""
+    from ..sources.commit_log import CommitLog
+
+    path = fresh(spark, "fleet-log")
+    judged = FT.verdicts(obs(spark, d)).drop("at")
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    first, second = CommitLog(spark, path), CommitLog(spark, path)
+    seen, folders = first.latest(), first.write({"observations": judged.where(half)})
+    late = judged.where(~half)
+
+    def snapshot(rows):
+        if not second.committed("second"):  # rows that arrive while the snapshot is made
+            second.append("second", {"observations": late})
+        return FT.baselines(rows.withColumn("at", F.struct(F.col("observed_us").alias("first_us"), "id"))).drop("best_transforms")
+
+    for _ in range(2):
+        first.commit("first", folders, seen)
+    first.derive("baselines", "observations", snapshot, judged.schema)
+    schema = "peer_key string, id string, verdict string"
+    base = first.read("baselines", "peer_key string, best_classical_bits int, observations bigint")
+    return second.read("observations", schema).join(base, "peer_key", "left").select("id", "peer_key", "verdict", "best_classical_bits", "observations")
+
+
+@query("st_peer_cap", """
+SELECT capture, peer_key, count(*) AS rows, any_value(known IS NULL AND pos > 4) AS withheld FROM v_obs o JOIN (
+ SELECT capture, peer_key, CASE WHEN peer_key LIKE '10.1.0.%' THEN 1 END AS known, row_number() OVER (PARTITION BY capture, peer_key LIKE '10.1.0.%' ORDER BY observed_us, id) AS pos FROM (
+  SELECT capture, peer_key, min(observed_us) AS observed_us, arg_min(id, (observed_us, id)) AS id FROM v_obs GROUP BY capture, peer_key)) w USING (capture, peer_key) GROUP BY ALL""")
+def _(spark, d):
+    """The cap on new links inside a stream of two parts, the first of which is delivered twice."""
+    from ..sources.commit_log import CommitLog
+    from ..streaming import peers as PE
+
+    o, path = obs(spark, d), fresh(spark, "peer-cap")
+    known = o.where("peer_key LIKE '10.1.0.%'").select("peer_key").distinct()
+    middle = o.agg(F.percentile_approx("observed_us", 0.5).alias("m")).first()["m"] or 0
+    for i, part in enumerate([o.where(F.col("observed_us") <= middle), o.where(F.col("observed_us") > middle)]):
+        part.write.parquet(f"{path}/in/part={i}")
+        stream = spark.readStream.schema(o.schema).parquet(f"{path}/in/part=*")
+        # the checkpoint of the first run is lost: its batch comes again
+        for checkpoint in (["lost", "kept"] if i == 0 else ["kept"]):
+            PE.start_peer_cap(stream, f"{path}/store", f"{path}/{checkpoint}", known, 4, available_now=True).awaitTermination()
+    rows = CommitLog(spark, f"{path}/store").read("rows", "capture string, peer_key string, withheld boolean")
+    return rows.groupBy("capture", "peer_key").agg(F.count(F.lit(1)).alias("rows"), F.bool_or("withheld").alias("withheld"))
+
+
 @query("sink_audit_log", """
 SELECT 'assessment' AS event, p.capture, p.score, p.grade, p.critical, p.high, p.medium, p.low, p.info, d.digest FROM v_posture p LEFT JOIN (
  SELECT capture, substr(sha256(string_agg(rule_id || ':' || subject, '|' ORDER BY rule_id || ':' || subject)), 1, 16) AS digest FROM v_findings GROUP BY capture) d ON d.capture = p.capture""")
 def _(spark, d):
-    return SK.audit_records(captures(spark, d), findings(spark, d))
+    """A log written, appended to and read back: one record per assessment."""
+    path, all_captures, f = fresh(spark, "audit"), captures(spark, d), findings(spark, d)
+    early = F.pmod(F.xxhash64("capture"), F.lit(2)) == 0
+    for part in (early, ~early):
+        SK.append_audit_log(path, all_captures.where(part), f.where(part))
+    return SK.read_audit_log(spark, path)
 
 
 def field(path):

@@ -8,7 +8,7 @@ from .. import adapters as A
 from ..operators import compare as CO, exposure as EX, fleet as FT, inventory as IN, posture as PO, sessions as S, strength as ST
 from .catalog import query
 from .flow_queries import flow_classes
-from .stage import staged
+from .stage import fresh, staged
 from .session_queries import findings, flow_volumes, link_rows, sess, strong
 
 
@@ -66,7 +66,7 @@ def _(spark, d):
 def _(spark, d):
     o = obs(spark, d)
     f = FT.fleet(o, FT.baselines(o)).withColumn("all", F.lit(1))
-    return PO.positioned(f, ["all"], [F.asc("current_bits"), F.asc("peer_key")], [F.col("current_bits"), F.substring("peer_key", 1, 8)]).select(
+    return PO.positioned_by_range(f, ["all"], [F.asc("current_bits"), F.asc("peer_key")], fresh(spark, "fleet-sort")).select(
         "peer_key", "current_bits", "pos")
 
 
@@ -287,7 +287,7 @@ def _(spark, d):
 @query("compare_sort", f"SELECT pair, link, kind, row_number() OVER (PARTITION BY pair ORDER BY kind = 'same', link) AS pos FROM ({COMPARE})")
 def _(spark, d):
     c = CO.compare_links(*split(link_rows(spark, d))).withColumn("same", F.col("kind") == "same")
-    return PO.positioned(c, ["pair"], [F.asc("same"), F.asc("link")], [F.col("same"), F.substring("link", 1, 8)]).select("pair", "link", "kind", "pos")
+    return PO.positioned_by_range(c, ["pair"], [F.asc("same"), F.asc("link")], fresh(spark, "compare-sort")).select("pair", "link", "kind", "pos")
 
 
 FINDING_COMPARE = """

@@ -76,6 +76,11 @@ def append_audit_log(path: str, captures: DataFrame, findings: DataFrame) -> Non
     audit_records(captures, findings).write.mode("append").json(path)
 
 
+def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
+    """All records of the log; fields that a record lacks (no findings, no digest) are null."""
+    return spark.read.schema("event string, capture string, score int, grade string, critical bigint, high bigint, medium bigint, low bigint, info bigint, digest string").json(path)
+
+
 def write_fleet(path: str, version: int, judged: DataFrame, baselines: DataFrame) -> None:
     """Observations of one run, then the baseline snapshot after it, both under the run's version.
 
