@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat, decontaminate, hard_negatives, mixing, near_dup, quality_net, quality_rules, sharding, token_counts, token_files, url_filter, warc, whitening
-from .shared import table, utf8_bytes
+from .shared import table, utf8_bytes, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,7 +84,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
 
 
-@query("op5_chat")
+def _chat_oracle() -> str:
+    starts = [c for c in dict.fromkeys(chat.CONTROLS) if not any(c != o and c.startswith(o) for o in chat.CONTROLS)]  # one for every place that is broken
+    breaks = " + ".join(f"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in starts)
+    return f"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '{EXTRA_CONVERSATION}' FROM (VALUES (0, 'user'), (1, 'assistant')) t(i, r)),
+hidden AS (SELECT *, list_transform([role, text], lambda x: length(x) + length(x) - length(replace(x, '\\', '')) + {breaks}) AS n FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n[1] + length(role) - length(replace(role, chr(10), '')) + n[2] + {len(chat.OPEN) + len(chat.CLOSE) + 2})::BIGINT AS formatted_chars FROM hidden GROUP BY conv_id"""
+
+
+@query("op5_chat", _chat_oracle())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted, and read back from what was formatted."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -92,6 +104,33 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.union(extra))).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+# Typed content of a conversation row: its text cut at line breaks, with an attachment behind each line, of a kind and size that the line decides.
+_KINDS = ("image", "audio", "document")
+
+
+@query("chat_parts", """
+WITH l AS (SELECT conv_id, turn, role, i, string_split(coalesce(text, ''), chr(10))[i] AS line FROM (
+  SELECT *, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM conversations)),
+a AS (SELECT conv_id, turn, i - 1 AS ordinal, ['image', 'audio', 'document'][length(line) % 3 + 1] AS kind, md5(line) AS ref,
+  CASE length(line) % 3 WHEN 0 THEN 85 + 170 * ceil(10 * length(line) / 512) * ceil(7 * length(line) / 512) WHEN 1 THEN ceil(length(line) * 0.5 * 25) ELSE 800 * (length(line) % 5) END::BIGINT AS tokens FROM l)
+SELECT conv_id, turn, count(*) AS placeholders, string_agg(kind || ':' || ref || ':' || tokens, ' ' ORDER BY ordinal) AS attachments, sum(tokens)::BIGINT AS expanded_tokens FROM a GROUP BY conv_id, turn""")
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, image, audio and document parts of every message: the references and expanded tokens of its placeholders, counted in the formatted text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+
+    def parts(line):
+        n, none = F.length(line), lambda kind: F.lit(None).cast(kind)
+        text = F.struct(F.lit("text").alias("type"), line.alias("text"), none("string").alias("ref"), none("int").alias("width"), none("int").alias("height"), none("double").alias("seconds"), none("int").alias("pages"))
+        held = F.struct(F.element_at(F.array(*[F.lit(k) for k in _KINDS]), n % 3 + 1).alias("type"), none("string").alias("text"), F.md5(line.cast("binary")).alias("ref"),
+                        (n * 10).cast("int").alias("width"), (n * 7).cast("int").alias("height"), (n * 0.5).cast("double").alias("seconds"), (n % 5).cast("int").alias("pages"))
+        return F.array(text, held)
+
+    formatted = chat.format_turns(rows.withColumn("parts", F.flatten(F.transform("lines", parts))), text=None, parts="parts")
+    marks = sum((F.size(F.split("segment", f"<\\|{k}\\|>", -1)) - 1 for k in _KINDS), F.lit(0))
+    told = F.transform("attachments", lambda a: F.concat_ws(":", a["kind"], a["ref"], a["tokens"].cast("string")))
+    return formatted.select("conv_id", "turn", marks.cast("long").alias("placeholders"), F.array_join(told, " ").alias("attachments"), "expanded_tokens")
+
+
 @query("op6_quality_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, base rules and the isolation forest's verdict on every document."""
@@ -115,7 +154,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths of all documents with its suffix sums."""
-    return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents").select("text")))
+    # written, as two branches read it: every text is encoded once
+    return token_counts.suffix_sums(written(token_counts.length_histogram(table(spark, sf_dir, "documents").select("text")), "lengths"))
 
 
 @query("op10_decontaminate")

@@ -75,23 +75,34 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
                        "docs_all", "tokens_all")
 
 
+def _first_beyond(sums: DataFrame, passed, values: dict[str, object]) -> DataFrame:
+    """(place, values): for each place of a sorted list, over the rows for which more than `place` of its entries hold.
+
+    passed: how many entries of the list hold for a row, which only grows with
+    the length. Rows are grouped by that number, so no row meets the list itself.
+    """
+    few = sums.withColumn("_passed", passed).filter("_passed > 0").groupBy("_passed").agg(*[F.min(v).alias(k) for k, v in values.items()])
+    return few.select(F.explode(F.sequence(F.lit(0), F.col("_passed") - 1)).alias("_place"), *values).groupBy("_place").agg(*[F.min(k).alias(k) for k in values])
+
+
 def totals_at(sums: DataFrame, limits: list[int]) -> DataFrame:
     """Per context limit: documents over it, tokens kept and lost when cut to it. Exact for any limit, 0 included.
 
     One lookup each: the suffix sums at the least length over the limit.
     """
-    wanted = sums.sparkSession.createDataFrame([(int(x),) for x in sorted(set(limits))], "context_limit long")
-    at = F.struct("n_tokens", "docs_ge", "tokens_ge")
-    found = sums.join(F.broadcast(wanted), F.col("n_tokens") >= F.least("n_tokens", "context_limit")).groupBy("context_limit").agg(
-        F.min(F.when(F.col("n_tokens") > F.col("context_limit"), at)).alias("_next"), F.max("tokens_all").alias("_all"))
+    limits = sorted({int(x) for x in limits})
+    wanted = sums.sparkSession.createDataFrame(list(enumerate(limits)), "_place int, context_limit long").withColumn("_one", F.lit(1))
+    over = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in limits]), lambda x: x < F.col("n_tokens")))
+    found = _first_beyond(sums, over, {"_next": F.struct("n_tokens", "docs_ge", "tokens_ge")})
+    whole = sums.agg(F.coalesce(F.max("tokens_all"), F.lit(0)).alias("_all")).withColumn("_one", F.lit(1))
     docs = F.coalesce("_next.docs_ge", F.lit(0))
     lost = F.coalesce(F.col("_next.tokens_ge"), F.lit(0)) - F.col("context_limit") * docs
-    return wanted.join(found, "context_limit", "left").select(
-        "context_limit", docs.alias("docs_over"), (F.coalesce("_all", F.lit(0)) - lost).alias("tokens_kept"), lost.alias("tokens_lost"))
+    return wanted.join(found, "_place", "left").join(whole, "_one").select("context_limit", docs.alias("docs_over"), (F.col("_all") - lost).alias("tokens_kept"), lost.alias("tokens_lost"))
 
 
 def quantiles(sums: DataFrame, at: list[float]) -> DataFrame:
     """Exact quantiles of document length: the least length that a share q of all documents do not exceed."""
-    wanted = sums.sparkSession.createDataFrame([(float(q),) for q in sorted(set(at))], "q double")
-    reached = sums.join(F.broadcast(wanted), F.col("docs_le") >= F.greatest(F.ceil(F.col("q") * F.col("docs_all")), F.lit(1)))
-    return wanted.join(reached.groupBy("q").agg(F.min("n_tokens").alias("n_tokens")), "q", "left")
+    at = sorted({float(q) for q in at})
+    wanted = sums.sparkSession.createDataFrame(list(enumerate(at)), "_place int, q double")
+    reached = F.size(F.filter(F.array(*[F.lit(q) for q in at]), lambda q: F.greatest(F.ceil(q * F.col("docs_all")), F.lit(1)) <= F.col("docs_le")))
+    return wanted.join(_first_beyond(sums, reached, {"n_tokens": F.col("n_tokens")}), "_place", "left").select("q", "n_tokens")
