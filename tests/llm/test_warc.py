@@ -8,7 +8,7 @@ from veilgauge.llm import warc
 
 PAGES = "page_id long, url string, html string"
 ROWS = [(1, "http://a/", "<p>é</p>"), (2, "http://b/", "<p>é</p>"), (3, "http://c/\r\n%", None), (4, None, ""), (5, "http://d/", "x" * 200_000), (None, "http://e/", "<p>é</p>"),
-        (2, "http://b/", "<p>é</p>"), (2, "http://z/", "<p>é</p>"), (6, "http://f/", "line\r\n\r\nWARC/1.1\r\n")]
+        (2, "http://b/", "<p>é</p>"), (2, "http://z/", "<p>é</p>"), (6, "http://f/", "line\r\n\r\nWARC/1.1\r\n"), (7, "", "empty url"), (8, "http://g/é%0A", "\r\n\r\n")]
 
 
 def b32(text):
