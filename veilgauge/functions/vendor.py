@@ -14,3 +14,18 @@ def vendor_name(payload: Column) -> Column:
     text = payload.cast("string")
     readable = hexed.rlike("^([2-6][0-9a-f]|7[0-9a-e]){3,40}$")
     return F.coalesce(known, F.when(readable, F.trim(text)), F.concat(F.lit("unknown:"), F.substring(hexed, 1, 16)))
+
+
+def _named(values: dict, number: Column, prefix: str) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.coalesce(names[number.cast("int")], F.concat(F.lit(prefix), number.cast("string")))
+
+
+def kex_name(group: Column) -> Column:
+    """Name of a key exchange group, GROUP_<n> for one that is not registered."""
+    return _named({g: v[0] for g, v in R.DH.items()}, group, "GROUP_")
+
+
+def exchange_name(number: Column) -> Column:
+    """Name of an IKEv2 exchange, EXCHANGE_<n> for one that is not registered."""
+    return _named(dict(R.EXCHANGES_V2), number, "EXCHANGE_")

@@ -129,3 +129,19 @@ def surviving_classes(trace: DataFrame) -> DataFrame:
     return trace.where(F.col("eliminated_by").isNull()).groupBy(*KEYS, "flow", "class").agg(
         F.count(F.lit(1)).alias("alive")).withColumn("members", sizes[F.col("class")]).withColumn(
         "separable", F.col("members") == 1)
+
+
+def with_class(rows: DataFrame, suite: str = "suite") -> DataFrame:
+    """Adds class, signature and verdict of a suite; rows of unknown suites have nulls."""
+    known = [(s, c, R.FRAMING_CLASSES[c][1], R.FRAMING_CLASSES[c][2]) for s, c in R.CLASS_OF_SUITE.items()]
+    dim = rows.sparkSession.createDataFrame(known, "known_suite string, class string, signature string, verdict string")
+    return rows.join(F.broadcast(dim), F.col(suite) == F.col("known_suite"), "left").drop("known_suite")  # the suites of the catalogue
+
+
+def why_inseparable(of_class: str = "class"):
+    """What the members of a class share, so that lengths cannot tell them apart."""
+    text = {}
+    for c, (members, _signature, _verdict) in R.FRAMING_CLASSES.items():
+        block, iv, icv = R.SUITES[members[0]]
+        text[c] = "single member" if len(members) == 1 else f"{len(members)} members share iv {iv}, icv {icv}, boundary {max(block, 4)}"
+    return F.create_map(*[F.lit(x) for kv in text.items() for x in kv])[F.col(of_class)]

@@ -208,33 +208,55 @@ def _(p):
 
 
 # --- capture rules ----------------------------------------------------------------
-def reuse_table(messages: DataFrame, peers: DataFrame | None = None) -> DataFrame:
-    """Key exchange values and nonces carried by two or more SAs, one row per (value, link).
+VALUE = ["capture", "kind", "who", "digest"]
 
-    Both kinds go through one pass. Distinct SAs per value come from a distinct
-    and a count; peers are looked up for the hit SAs only; one session, the
-    earliest, stands for each link. No pair of sessions is formed. `peers`, the
-    session table, saves looking the peers up in the messages again.
-    """
+
+def carried_values(messages: DataFrame) -> DataFrame:
+    """(capture, kind, who, digest, sid, src, seen): key exchange values per sender and nonces per capture, with the SAs that carry them."""
     kinds = F.array(
         F.struct(F.lit("ke").alias("kind"), F.col("src").alias("who"), F.col("ke_digest").alias("digest")),
         F.struct(F.lit("nonce").alias("kind"), F.lit("").alias("who"), F.col("nonce_digest").alias("digest")))
     m = messages.withColumnRenamed("initiator_spi", "sid")
-    items = m.select(*SA, "frame", F.inline(kinds)).where(F.col("digest").isNotNull())
-    value = ["capture", "kind", "who", "digest"]
-    carried = items.groupBy(*value, "sid").agg(F.min("frame").alias("seen"))
-    reused = carried.groupBy(*value).agg(F.count(F.lit(1)).alias("sas")).where(F.col("sas") >= 2)
-    hits = carried.join(reused, value)
+    items = m.select(*SA, "src", "frame", F.inline(kinds)).where(F.col("digest").isNotNull())
+    return items.groupBy(*VALUE, "sid", "src").agg(F.min("frame").alias("seen"))
+
+
+def reused_values(carried: DataFrame) -> DataFrame:
+    """(capture, kind, who, digest, sas, senders) of the values that two or more SAs carry.
+
+    Each count is a distinct and a plain count, so a value that many SAs carry
+    is spread over its SAs and senders before it is counted.
+    """
+    sas = carried.groupBy(*VALUE, "sid").agg(F.lit(1)).groupBy(*VALUE).agg(F.count(F.lit(1)).alias("sas")).where(F.col("sas") >= 2)
+    senders = carried.groupBy(*VALUE, "src").agg(F.lit(1)).groupBy(*VALUE).agg(F.count("src").alias("senders"))
+    return sas.join(senders, VALUE)
+
+
+def reuse_table(messages: DataFrame, peers: DataFrame | None = None) -> DataFrame:
+    """Key exchange values and nonces carried by two or more SAs, one row per (value, link).
+
+    Both kinds go through one pass. Peers are looked up for the hit SAs only;
+    one session, the earliest, stands for each link. No pair of sessions is
+    formed. `peers`, the session table, saves looking the peers up in the messages again.
+    """
+    carried = carried_values(messages).groupBy(*VALUE, "sid").agg(F.min("seen").alias("seen"))
+    reused = carried.groupBy(*VALUE).agg(F.count(F.lit(1)).alias("sas")).where(F.col("sas") >= 2)
+    hits = carried.join(reused, VALUE)
     if peers is None:
         peers = session_peers(messages.join(
             hits.select("capture", F.col("sid").alias("initiator_spi")).distinct(), ["capture", "initiator_spi"], "left_semi"))
     else:
         peers = peers.select(*SA, "peer_a", "peer_b", "subject")
     linked = add_link(hits.join(peers, SA), F.col("peer_a"), F.col("peer_b"))
-    return linked.groupBy(*value, "link").agg(
+    return linked.groupBy(*VALUE, "link").agg(
         F.min_by("subject", F.struct("seen", "sid")).alias("subject"), F.max("sas").alias("sas"))
 
 
+def reasons() -> dict[str, str]:
+    """Why each rule matters, in a sentence."""
+    return {r: text for r, (_scope, _per, text) in R.RULES.items()}
+
+
 @capture_rule("IKE-015")
 def _(p):
     return when_one(F.col("kind") == "ke", finding(

@@ -149,3 +149,32 @@ def key_exchange(sessions_df: DataFrame) -> DataFrame:
         *SA, "confirmed", method["name"].alias("method"), F.array_join(names, ",").alias("additional"),
         F.coalesce(F.size(extra) > 0, F.lit(False)).alias("hybrid"), "intermediate_exchanges", "followup_exchanges",
         F.concat_ws(" + ", method["name"], F.when(F.size(extra) > 0, F.array_join(names, " + "))).alias("kex_label"))
+
+
+def weak_residual(messages: DataFrame, policy: R.Policy = R.BASELINE_POLICY) -> DataFrame:
+    """(capture, sid, name): prohibited ciphers and integrity algorithms that were offered although another was chosen."""
+    weak = offered_transforms(messages).where(
+        ((F.col("type_id") == 1) & F.col("name").isin(*policy.encr_prohibited)) | ((F.col("type_id") == 3) & F.col("name").isin(*policy.integ_prohibited)))
+    chosen = exploded(sessions(messages, policy)).select("capture", "sid", "label")
+    return weak.join(chosen, ["capture", "sid", "label"], "left_anti").select("capture", "sid", "name")
+
+
+def registry_rows(policy: R.Policy = R.BASELINE_POLICY) -> tuple[list, list]:
+    """(type, name, verdict) of the policy and (type, name, bits) of the registries: what a transform is looked up in."""
+    verdicts = [(1, n, "prohibited") for n in policy.encr_prohibited] + [(3, n, "prohibited") for n in policy.integ_prohibited] \
+        + [(3, n, "legacy") for n in policy.integ_legacy] + [(2, n, "prohibited") for n in policy.prf_prohibited] \
+        + [(2, n, "legacy") for n in policy.prf_legacy] + [(4, R.DH[g][0], "prohibited") for g in policy.dh_prohibited] \
+        + [(4, R.DH[g][0], "legacy") for g in policy.dh_legacy]
+    bits = [(1, n, v[0]) for n, v in R.ENCR_STRENGTH.items()] + [(2, n, v) for n, v in R.PRF_STRENGTH.items()] \
+        + [(3, n, v) for n, v in R.INTEG_STRENGTH.items()] + [(k, v[0], v[3]) for v in R.DH.values() for k in R.KE_TYPES]
+    return verdicts, bits
+
+
+def looked_up(transforms: DataFrame, policy: R.Policy = R.BASELINE_POLICY) -> DataFrame:
+    """Transforms (type_id, name) with `verdict` of the policy, empty where it has none, and classical `bits`; unknown ones get 112 or 128 by kind."""
+    verdicts, bits = registry_rows(policy)
+    spark = transforms.sparkSession
+    v, b = spark.createDataFrame(verdicts, "type_id int, name string, verdict string"), spark.createDataFrame(bits, "type_id int, name string, bits int")
+    default = F.when(F.col("type_id").isin(*R.KE_TYPES), 112).otherwise(128)
+    j = transforms.join(F.broadcast(v), ["type_id", "name"], "left").join(F.broadcast(b), ["type_id", "name"], "left")  # fixed registries
+    return j.withColumns({"verdict": F.coalesce("verdict", F.lit("")), "bits": F.coalesce("bits", default)})

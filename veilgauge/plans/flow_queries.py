@@ -316,13 +316,8 @@ def _(spark, d):
 SELECT truth AS suite, s.class, c.signature, c.verdict, count(*) AS packets FROM v_packets p JOIN d_suite s ON s.suite = p.truth
 JOIN d_class c ON c.class = s.class GROUP BY ALL""")
 def _(spark, d):
-    from ..registries import CLASS_OF_SUITE, FRAMING_CLASSES
-
-    dim = spark.createDataFrame(
-        [(s, c, FRAMING_CLASSES[c][1], FRAMING_CLASSES[c][2]) for s, c in CLASS_OF_SUITE.items()],
-        "suite string, class string, signature string, verdict string")
     per = A.esp_packets(spark, d).groupBy(F.col("truth").alias("suite")).agg(F.count(F.lit(1)).alias("packets"))
-    return per.join(F.broadcast(dim), "suite").select("suite", "class", "signature", "verdict", "packets")
+    return FR.with_class(per).select("suite", "class", "signature", "verdict", "packets")
 
 
 @query("fn_inseparable", """
@@ -330,15 +325,7 @@ SELECT t.flow, t.class, CASE WHEN c.n_members = 1 THEN 'single member' ELSE c.n_
   || ', boundary ' || min(s.boundary) END AS why FROM v_trace t JOIN d_class c ON c.class = t.class JOIN d_suite s ON s.class = t.class
 WHERE t.failed IS NULL GROUP BY t.flow, t.class, c.n_members""")
 def _(spark, d):
-    from ..registries import FRAMING_CLASSES, SUITES
-
-    text = {}
-    for c, (members, _s, _v) in FRAMING_CLASSES.items():
-        b, iv, icv = SUITES[members[0]]
-        text[c] = "single member" if len(members) == 1 else (
-            f"{len(members)} members share iv {iv}, icv {icv}, boundary {max(b, 4)}")
-    m = F.create_map(*[F.lit(x) for kv in text.items() for x in kv])
-    return FR.surviving_classes(_trace(spark, d)).select("flow", "class", m[F.col("class")].alias("why"))
+    return FR.surviving_classes(_trace(spark, d)).select("flow", "class", FR.why_inseparable().alias("why"))
 
 
 @query("ml_mask", """

@@ -270,18 +270,18 @@ def _(spark, d):
 
 @query("fn_kex_name", "SELECT o_orderkey, coalesce(d.gname, 'GROUP_' || (o_orderkey % 45)) AS name FROM orders LEFT JOIN d_dh d ON d.gid = o_orderkey % 45")
 def _(spark, d):
-    names = F.create_map(*[F.lit(x) for g, v in R.DH.items() for x in (g, v[0])])
-    g = F.expr("cast(o_orderkey % 45 AS int)")
-    return A.table(spark, d, "orders").select("o_orderkey", F.coalesce(names[g], F.concat(F.lit("GROUP_"), g)).alias("name"))
+    from ..functions.vendor import kex_name
+
+    return A.table(spark, d, "orders").select("o_orderkey", kex_name(F.expr("o_orderkey % 45")).alias("name"))
 
 
 @query("fn_exchange_name", """
 SELECT o_orderkey, CASE o_orderkey % 12 + 34 WHEN 34 THEN 'IKE_SA_INIT' WHEN 35 THEN 'IKE_AUTH' WHEN 36 THEN 'CREATE_CHILD_SA' WHEN 37 THEN 'INFORMATIONAL' WHEN 43 THEN 'IKE_INTERMEDIATE' WHEN 44 THEN 'IKE_FOLLOWUP_KE'
  ELSE 'EXCHANGE_' || (o_orderkey % 12 + 34) END AS name FROM orders""")
 def _(spark, d):
-    names = F.create_map(*[F.lit(x) for kv in R.EXCHANGES_V2.items() for x in kv])
-    n = F.expr("cast(o_orderkey % 12 + 34 AS int)")
-    return A.table(spark, d, "orders").select("o_orderkey", F.coalesce(names[n], F.concat(F.lit("EXCHANGE_"), n)).alias("name"))
+    from ..functions.vendor import exchange_name
+
+    return A.table(spark, d, "orders").select("o_orderkey", exchange_name(F.expr("o_orderkey % 12 + 34")).alias("name"))
 
 
 @query("fn_vendor", """

@@ -105,18 +105,7 @@ LEFT JOIN d_policy p ON (p.kind = 'ENCR' AND n.type_id = 1 AND p.name = n.name)
   OR (p.kind = 'DH' AND n.type_id = 4 AND p.name = n.value_id::VARCHAR) GROUP BY n.type_id, n.name, n.value_id""")
 def _(spark, d):
     t = S.exploded(sess(spark, d)).groupBy("type_id", "name", "value_id").agg(F.count(F.lit(1)).alias("uses"))
-    p = R.BASELINE_POLICY
-    rows = [(1, n, -1, "prohibited") for n in p.encr_prohibited] + [(3, n, -1, "prohibited") for n in p.integ_prohibited] \
-        + [(3, n, -1, "legacy") for n in p.integ_legacy] + [(2, n, -1, "prohibited") for n in p.prf_prohibited] \
-        + [(2, n, -1, "legacy") for n in p.prf_legacy] + [(4, R.DH[g][0], g, "prohibited") for g in p.dh_prohibited] \
-        + [(4, R.DH[g][0], g, "legacy") for g in p.dh_legacy]
-    verdicts = spark.createDataFrame([(a, b, v) for a, b, _g, v in rows], "type_id int, name string, verdict string")
-    strengths = [(1, n, v[0]) for n, v in R.ENCR_STRENGTH.items()] + [(2, n, v) for n, v in R.PRF_STRENGTH.items()] \
-        + [(3, n, v) for n, v in R.INTEG_STRENGTH.items()] + [(k, v[0], v[3]) for v in R.DH.values() for k in R.KE_TYPES]
-    bits = spark.createDataFrame(strengths, "type_id int, name string, bits int")
-    j = t.join(F.broadcast(verdicts), ["type_id", "name"], "left").join(F.broadcast(bits), ["type_id", "name"], "left")
-    default = F.when(F.col("type_id").isin(*R.KE_TYPES), 112).otherwise(128)
-    return j.select("type_id", "name", "value_id", F.coalesce("verdict", F.lit("")).alias("verdict"), F.coalesce("bits", default).alias("bits"), "uses")
+    return S.looked_up(t).select("type_id", "name", "value_id", "verdict", "bits", "uses")
 
 
 # --- strength --------------------------------------------------------------------
@@ -183,29 +172,22 @@ for _id in RULE_SQL:
 @query("ke_reuse", """
 SELECT capture, src AS sender, ke_digest, count(DISTINCT sid) AS sas FROM v_msg WHERE ke_digest IS NOT NULL GROUP BY capture, src, ke_digest HAVING count(DISTINCT sid) >= 2""")
 def _(spark, d):
-    m = messages(spark, d).where("ke_digest IS NOT NULL")
-    per = m.groupBy("capture", "src", "ke_digest", "initiator_spi").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("capture", F.col("src").alias("sender"), "ke_digest").agg(F.count(F.lit(1)).alias("sas")).where("sas >= 2")
+    reused = RU.reused_values(RU.carried_values(messages(spark, d))).where("kind = 'ke'")
+    return reused.select("capture", F.col("who").alias("sender"), F.col("digest").alias("ke_digest"), "sas")
 
 
 @query("nonce_reuse", """
 SELECT capture, nonce_digest, count(DISTINCT sid) AS sas, count(DISTINCT src) AS senders FROM v_msg WHERE nonce_digest IS NOT NULL GROUP BY capture, nonce_digest HAVING count(DISTINCT sid) >= 2""")
 def _(spark, d):
-    m = messages(spark, d).where("nonce_digest IS NOT NULL")
-    return m.groupBy("capture", "nonce_digest").agg(
-        F.count_distinct("initiator_spi").alias("sas"), F.count_distinct("src").alias("senders")).where("sas >= 2")
+    reused = RU.reused_values(RU.carried_values(messages(spark, d))).where("kind = 'nonce'")
+    return reused.select("capture", F.col("digest").alias("nonce_digest"), "sas", "senders")
 
 
 @query("weak_residual", """
 SELECT DISTINCT o.capture, o.sid, o.name FROM v_offer o JOIN d_policy p ON p.verdict = 'prohibited' AND ((p.kind = 'ENCR' AND o.type_id = 1) OR (p.kind = 'INTEG' AND o.type_id = 3)) AND p.name = o.name
 WHERE NOT EXISTS (SELECT 1 FROM v_neg n WHERE n.sid = o.sid AND n.name = o.name)""")
 def _(spark, d):
-    m = messages(spark, d)
-    p = R.BASELINE_POLICY
-    weak = S.offered_transforms(m).where(
-        ((F.col("type_id") == 1) & F.col("name").isin(*p.encr_prohibited)) | ((F.col("type_id") == 3) & F.col("name").isin(*p.integ_prohibited)))
-    chosen = S.exploded(S.sessions(m)).select("capture", "sid", "label")
-    return weak.join(chosen, ["capture", "sid", "label"], "left_anti").select("capture", "sid", "name")
+    return S.weak_residual(messages(spark, d))
 
 
 @query("first_per_link", """
@@ -246,11 +228,15 @@ def _(spark, d):
     return seen.join(F.broadcast(dim), "rule_id").select("rule_id", "scope", "per", "findings", "captures")
 
 
-@query("fn_why", "SELECT rule_id, count(*) AS findings, rule_id IN (SELECT DISTINCT rule_id FROM v_findings) AS explained FROM v_findings GROUP BY rule_id")
+def _why_rows() -> str:
+    return ", ".join("('%s', '%s')" % (r, text.replace("'", "''")) for r, text in RU.reasons().items())
+
+
+@query("fn_why", f"""
+SELECT f.rule_id, count(*) AS findings, any_value(why) AS why FROM v_findings f JOIN (VALUES {_why_rows()}) w(rule_id, why) ON w.rule_id = f.rule_id GROUP BY f.rule_id""")
 def _(spark, d):
-    why = F.create_map(*[F.lit(x) for r, (_s, _p, t) in R.RULES.items() for x in (r, t)])
-    return findings(spark, d).groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings")).withColumn(
-        "explained", why[F.col("rule_id")].isNotNull())
+    why = F.create_map(*[F.lit(x) for kv in RU.reasons().items() for x in kv])
+    return findings(spark, d).groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings")).withColumn("why", why[F.col("rule_id")])
 
 
 @query("conf_floor", """

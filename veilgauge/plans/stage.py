@@ -1,7 +1,7 @@
 """Shared intermediate tables of the registered queries.
 
 Sessions, flows, findings and links feed dozens of queries. Like the tables of
-a lake they are written once per input folder, as Parquet in the shared folder
+a lake they are written once per input folder and state of its files, as Parquet in the shared folder
 of spark.checkpoint.dir, and read back with column pruning and push-down. A
 written table also cuts lineage: a lost executor re-reads files instead of
 recomputing the chain. Where no shared folder exists on a cluster the plan is
@@ -34,14 +34,26 @@ def folder(spark: SparkSession) -> str | None:
     return _FOLDERS[app]
 
 
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """What the tables of a folder are now: name, size and time of every file. A listing, no file is opened."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen = []
+    for pattern in ("*.parquet", "*.parquet/*"):
+        seen += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, pattern)) or []]
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
 def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     root = folder(spark)
     if root is None:
         return build()
     app = spark.sparkContext.applicationId
-    key = (app, sf_dir, name)
+    state = fingerprint(spark, sf_dir)  # tables that have changed are staged anew
+    key = (app, f"{sf_dir} {state}", name)
     if key not in _TABLES:
-        tag = hashlib.sha256(sf_dir.encode()).hexdigest()[:8]
+        tag = hashlib.sha256(f"{sf_dir} {state}".encode()).hexdigest()[:16]
         path = f"{root}/veilgauge/{app}/{tag}/{name}"
         df = build()
         df.write.mode("overwrite").parquet(path)

@@ -10,7 +10,7 @@ from ..streaming import monitor as MO
 from .catalog import query
 from .flow_queries import _trace
 from .session_queries import messages
-from .stage import fresh, staged
+from .stage import fingerprint, fresh, staged
 
 
 def _packets(spark, d):
@@ -48,6 +48,24 @@ def _(spark, d):
     return MO.recent(A.esp_packets(spark, d)).select("frame", "ts_us", "spi", "length")
 
 
+@query("st_recent_buffer", "SELECT sensor, frame, ts_us FROM (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY frame DESC) AS rn FROM v_sensor) WHERE rn <= 15")
+def _(spark, d):
+    """The newest events of each sensor as a restarted stream's bounded state holds them after its last batch."""
+    from ..streaming import drift as DR
+
+    path = fresh(spark, "recent")
+    p = A.sensor_packets(spark, d).select(F.col("sensor").cast("string").alias("sensor"), "frame", "ts_us", F.lit("ESP").alias("kind"))
+    for part in _thirds(p):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = DR.recent_stream(spark.readStream.schema(part.schema).parquet(f"{path}/in"))
+        q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(
+            lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{path}/out/{i}")).start()
+        q.awaitTermination()
+    shown = spark.read.parquet(f"{path}/out/*")
+    last = shown.groupBy("sensor").agg(F.max("batch").alias("batch"))
+    return shown.join(last, ["sensor", "batch"]).select(F.col("sensor").cast("int").alias("sensor"), "frame", "ts_us")
+
+
 @query("st_ike_sessions", """
 SELECT initiator_spi, min(ts_us) AS window_us, count(*) AS messages FROM (SELECT sid AS initiator_spi, ts_us FROM v_msg) GROUP BY initiator_spi""")
 def _(spark, d):
@@ -151,7 +169,7 @@ _MODELS: dict = {}
 def _model(spark, d):
     from ..operators import ml as ML
 
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d, fingerprint(spark, d))
     if key not in _MODELS:
         _MODELS[key] = ML.fit_ranker(ML.stratified(_training(spark, d))[0])
     return _MODELS[key]
@@ -232,7 +250,9 @@ def _(spark, d):
     return scored.join(grown, ["capture", "forest"], "left").select("capture", "forest", "flows", F.coalesce("seen", F.lit(0)).alias("seen"))
 
 
-@query("corpus_union")
+@query("corpus_union", """
+SELECT CASE WHEN len_mean < 250 THEN 'short' ELSE 'long' END AS origin, truth, count(*) AS n FROM (
+ SELECT capture, src, dst, spi, any_value(truth) AS truth, avg(length) AS len_mean FROM v_packets GROUP BY ALL HAVING count(*) >= 1) GROUP BY ALL""")
 def _(spark, d):
     t = _training(spark, d)
     a, b = t.where("len_mean < 250"), t.where("len_mean >= 250 OR len_mean IS NULL")
