@@ -165,3 +165,14 @@ def test_mutated_bytes_never_fail(spark):
         out.append(bytes(m[:r.randint(1, len(m))]))
     got, _ = ike_rows(spark, out)
     assert len(got) > 100
+
+
+def test_extension_headers_beyond_the_walk_are_kept(spark):
+    def chain(n, last):
+        return b"".join(bytes([0 if i < n - 1 else last, 0]) + b"\0" * 6 for i in range(n))
+
+    frames = {1: ip6(0, b"\0\0\x10\1\0\0\0\1", chain(8, 50)), 2: ip6(0, b"x" * 8, chain(12, 50)), 3: ip6(44, b"\x32\0\0\0\0\0\0\1rest"), 4: ip6(0, b"", b"\x32\xff" + b"\0" * 6), 5: ip6(60, b"abc")}
+    df = spark.createDataFrame([("c", i, i, 101, bytearray(f)) for i, f in frames.items()], "capture string, frame bigint, ts_us bigint, linktype int, frame_bytes binary")
+    got = {r.frame: (r.protocol, bytes(r.payload)) for r in decode_headers(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 50, 2: 0, 3: 44, 4: 0, 5: 60}
+    assert got[1][1] == b"\0\0\x10\1\0\0\0\1" and got[3][1] == b"\x32\0\0\0\0\0\0\1rest" and got[5][1] == b"abc"

@@ -91,7 +91,8 @@ def decode_headers(frames: DataFrame) -> DataFrame:
 
     Ethernet with any number of VLAN tags, raw IP, Linux cooked and null link
     headers; IPv4 options and total length, later fragments dropped; IPv6 with
-    up to eight extension headers.
+    up to eight extension headers. A frame with more of them, or whose next
+    header cannot be followed, stays as a packet of that header's number.
     """
     f, link = F.col("frame_bytes"), F.col("linktype")
     tag1 = hex_at(f, 13, 2).isin(*VLAN_TAGS)
@@ -114,7 +115,7 @@ def decode_headers(frames: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.lit(MAX_EXTENSIONS)),
         F.struct(uint(ip, 7, 1).alias("nh"), F.lit(40).cast("bigint").alias("at")),
         lambda s, _i: F.when(
-            s["nh"].isin(0, 43, 60) & (size >= s["at"] + 8),
+            s["nh"].isin(0, 43, 60) & (size >= s["at"] + 8) & (size >= s["at"] + (uint(ip, (s["at"] + 2).cast("int"), 1) + 1) * 8),
             F.struct(uint(ip, (s["at"] + 1).cast("int"), 1).alias("nh"),
                      (s["at"] + (uint(ip, (s["at"] + 2).cast("int"), 1) + 1) * 8).alias("at"))).otherwise(s))
     is4 = F.col("_v") == 4
@@ -122,7 +123,7 @@ def decode_headers(frames: DataFrame) -> DataFrame:
                _len=F.when(is4, uint(ip, 3, 2)).otherwise(uint(ip, 5, 2) + 40))
     d = d.where(
         (is4 & (F.col("_ihl") >= 20) & (size >= F.col("_ihl")) & (F.pmod(uint(ip, 7, 2), F.lit(8192)) == 0))
-        | (~is4 & ~F.col("_w.nh").isin(0, 43, 44, 60)))
+        | (~is4 & F.col("_w.nh").isNotNull()))
     stated = F.when(is4, F.col("_len") > 0).otherwise(F.col("_len") > 40)
     d = pinned(
         d, src=F.when(is4, ipv4(ip, 13)).otherwise(ipv6(ip, 9)), dst=F.when(is4, ipv4(ip, 17)).otherwise(ipv6(ip, 25)),
