@@ -1,7 +1,6 @@
 import re
 
-import pytest
-
+from veilgauge.llm import url_filter
 from veilgauge.llm.queries import URL_RULES
 from veilgauge.llm.url_filter import STRICT, VOCABULARY, filter_urls
 
@@ -46,6 +45,19 @@ def test_clashing_columns_repeated_rows_and_no_rows(spark):
     assert filter_urls(df, vocabulary={}).first().verdict == "allow"
 
 
-def test_too_many_rules_are_an_error(spark):
-    with pytest.raises(ValueError):
-        filter_urls(spark.createDataFrame([("u",)], "url string"), rules=[(f"h{i}/", True) for i in range(501)])
+def test_many_rules_are_judged_as_few(spark, monkeypatch):
+    more = [(f"h{i}.example.net/p{i}/", bool(i % 2)) for i in range(800)] + [("h7.example.net/", False), ("net/", True), ("example.net/p", False)]
+    urls = [*URLS, "http://h7.example.net/p7/x", "http://a.h7.example.net/p7", "http://h8.example.net/p8/", "http://example.net/p", "http://x.net/p", "http://h9.example.net/p8/"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    many = [tuple(r) for r in filter_urls(df, rules=[*URL_RULES, *more]).select("url", "rule", "verdict").collect()]
+    monkeypatch.setattr(url_filter, "EXPRESSION_RULES", 10 ** 6)
+    few = [tuple(r) for r in filter_urls(df, rules=[*URL_RULES, *more[:40], *more[800:]]).select("url", "rule", "verdict").collect()]
+    assert many == few and dict((u, r) for u, r, _ in many)["http://h7.example.net/p7/x"] == "h7.example.net/p7/"
+
+
+def test_terms_are_folded_and_read_from_a_file(spark, tmp_path):
+    (tmp_path / "terms").write_text("# weights\nBadWord\t10\n\ncasino\t2\n")
+    vocabulary = url_filter.read_vocabulary(str(tmp_path / "terms"))
+    assert vocabulary == {"BadWord": 10, "casino": 2}
+    df = spark.createDataFrame([("http://a.org/badword",), ("http://a.org/BADWORD",), ("http://a.org/casino",)], "url string")
+    assert [r.verdict for r in filter_urls(df, vocabulary=vocabulary).collect()] == ["block", "block", "allow"]

@@ -19,7 +19,8 @@ VOCABULARY: dict[str, int] = {
     "jackpot": 1, "loan": 1, "payday": 1, "pills": 1, "pharmacy": 1, "replica": 1, "torrent": 1, "crack": 1,
     "keygen": 2, "spam": 2, "farm": 1, "clickbait": 1, "popups": 1, "giveaway": 1, "cheap": 1, "free": 1,
 }
-MAX_RULES = 500
+#: Up to this many rules are one expression; more are looked up by host.
+EXPRESSION_RULES = 500
 Rule = tuple[str, bool]
 
 
@@ -40,8 +41,9 @@ def matched_rule(host: Column, path: Column, rules: Iterable[Rule]) -> tuple[Col
     starts with `/path`. Of two fitting rules of one length, the longer host wins.
     """
     ordered = sorted(rules, key=lambda r: (-len(r[0]), -r[0].index("/"), r[0]))
-    if len(ordered) > MAX_RULES:
-        raise ValueError(f"{len(ordered)} rules in one expression; at most {MAX_RULES}")
+    if len(ordered) > EXPRESSION_RULES:
+        found = _rule_lookup(ordered)(host, path)
+        return found["rule"], found["verdict"]
     found = verdict = F.lit(None).cast("string")
     for text, allow in reversed(ordered):
         name, slash, rest = text.partition("/")
@@ -51,13 +53,48 @@ def matched_rule(host: Column, path: Column, rules: Iterable[Rule]) -> tuple[Col
     return found, verdict
 
 
+def _rule_lookup(ordered: list[Rule]):
+    """UDF of host and path for any number of rules: those of the host and of each domain above it, the first in order that fits."""
+    by_host: dict[str, list[tuple[int, str, str, str]]] = {}
+    for place, (text, allow) in enumerate(ordered):
+        name, slash, rest = text.partition("/")
+        by_host.setdefault(name, []).append((place, slash + rest, text, "allow" if allow else "block"))
+    kind = pa.struct([("rule", pa.string()), ("verdict", pa.string())])
+
+    @F.arrow_udf("rule string, verdict string")
+    def look(hosts: pa.Array, paths: pa.Array) -> pa.Array:
+        out = []
+        for host, path in zip(hosts.to_pylist(), paths.to_pylist()):
+            best, rest = None, host
+            while True:
+                best = min([r for r in by_host.get(rest, ()) if path.startswith(r[1])] + ([best] if best else []), default=None)
+                if "." not in rest:
+                    break
+                rest = rest.partition(".")[2]
+            out.append({"rule": best and best[2], "verdict": best and best[3]})
+        return pa.array(out, kind)
+
+    return look
+
+
+def read_vocabulary(path: str) -> dict[str, int]:
+    """Terms with weights from a text file of `term<TAB>weight` lines; empty lines and those that begin with # are left out."""
+    with open(path, encoding="utf-8") as f:
+        rows = [line.rstrip("\n").split("\t") for line in f if line.strip() and not line.startswith("#")]
+    return {term: int(weight) for term, weight in rows}
+
+
 def vocabulary_hits(vocabulary: Mapping[str, int] = VOCABULARY):
     """UDF of a url: occurrences of terms, each bounded by characters outside [a-z0-9] on both sides.
 
-    The url is read as it is, A-Z folded. Result per url: distinct strict terms,
+    The url is read as it is; A-Z are folded in it and in the terms, of two equal terms the heavier counts. Result per url: distinct strict terms,
     distinct soft terms, their summed weight, and occurrences of all terms.
     """
-    terms = {t: int(w) for t, w in vocabulary.items() if t}
+    fold = {c: c + 32 for c in range(65, 91)}
+    terms: dict[str, int] = {}
+    for t, w in vocabulary.items():
+        if t:
+            terms[t.translate(fold)] = max(int(w), terms.get(t.translate(fold), 0))
     kind = pa.struct([("strict_terms", pa.list_(pa.string())), ("soft_terms", pa.list_(pa.string())),
                       ("soft_weight", pa.int64()), ("occurrences", pa.int64())])
     held: list = []
@@ -74,7 +111,6 @@ def vocabulary_hits(vocabulary: Mapping[str, int] = VOCABULARY):
                 machine.make_automaton()
             held.append(machine)
         word = set("abcdefghijklmnopqrstuvwxyz0123456789")
-        fold = {c: c + 32 for c in range(65, 91)}
         rows = []
         for url in urls.to_pylist():
             text = (url or "").translate(fold)
