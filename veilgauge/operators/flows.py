@@ -8,6 +8,8 @@ few thousand (flow, length) rows per flow. Payload bytes never enter a shuffle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import registries as R
@@ -115,10 +117,12 @@ LENGTH_BINS, MAX_LENGTH = 36, 1600
 PROBS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
 
 
-def flow_features(packets: DataFrame) -> DataFrame:
+def flow_features(packets: DataFrame, root: str | None = None) -> DataFrame:
     """88 numeric features per flow, from length counts and inter-arrival counts.
 
-    Order of columns is the model's feature order; FEATURES names them.
+    Order of columns is the model's feature order; FEATURES names them. The
+    inter-arrival counts are read three times: with `root`, a folder that all
+    executors reach, they are written there once, else they are made three times.
     """
     counts = packets.groupBy(*KEYS, "length").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"),
@@ -144,6 +148,10 @@ def flow_features(packets: DataFrame) -> DataFrame:
         F.min("t0").alias("t0"), F.max("t1").alias("t1"))
 
     gaps = inter_arrivals(packets).groupBy(*KEYS, "iat_us").agg(F.count(F.lit(1)).alias("k"))
+    if root:
+        path = f"{root}/{uuid.uuid4().hex}"
+        gaps.write.parquet(path)
+        gaps = packets.sparkSession.read.schema(gaps.schema).parquet(path)
     iat = gaps.groupBy(*KEYS).agg(
         F.sum("k").alias("ik"), (F.sum(F.col("k") * F.col("iat_us")) / F.sum("k")).alias("iat_mean_us"),
         F.sum(F.col("k") * (F.col("iat_us") / 1e6) * (F.col("iat_us") / 1e6)).alias("isq"))

@@ -270,7 +270,7 @@ WITH lens AS (SELECT capture, src, dst, spi, avg(length) AS len_mean, stddev_pop
 SELECT capture, src, dst, spi, {", ".join(f"round(({_FEATURE_SQL[c]})::DOUBLE, {_DIGITS.get(c, 4)}) AS {c}" for c in FL.FEATURES)}
 FROM lens JOIN iats USING (capture, src, dst, spi)""")
 def _(spark, d):
-    f = FL.flow_features(A.esp_packets(spark, d))
+    f = FL.flow_features(A.esp_packets(spark, d), fresh(spark, "gaps"))
     return f.select(*FL.KEYS, *[F.round(c, _DIGITS.get(c, 4)).alias(c) for c in FL.FEATURES])
 
 

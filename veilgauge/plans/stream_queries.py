@@ -96,7 +96,7 @@ def _(spark, d):
     from ..streaming import drift as DR
 
     o = obs(spark, d).drop("at")
-    middle = o.agg(F.expr("percentile(observed_us, 0.5)").alias("m")).first()["m"] or 0
+    middle = o.agg(F.percentile_approx("observed_us", 0.5).alias("m")).first()["m"] or 0
     rows = _drained(spark, "drift", [o.where(F.col("observed_us") <= middle), o.where(F.col("observed_us") > middle)], DR.drift_stream)
     return rows.select("id", "peer_key", "verdict", "baseline_bits")
 
@@ -158,7 +158,7 @@ def _training(spark, d):
     from ..operators import ml as ML
 
     def build():
-        return ML.with_label(FL.flow_features(A.esp_packets(spark, d)), A.flow_truth(spark, d))
+        return ML.with_label(FL.flow_features(A.esp_packets(spark, d), fresh(spark, "gaps")), A.flow_truth(spark, d))
 
     return staged(spark, d, "training", build)
 
