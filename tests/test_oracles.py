@@ -9,7 +9,7 @@ from veilgauge.plans import all_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = all_queries()
-MODELS = {"ml_forest", "ml_second", "ml_blend", "holdout", "eval_loco", "eval_loco_captures"}  # fitted on sf0.01 by tests.check
+MODELS = {"ml_forest", "ml_second", "ml_blend", "holdout", "eval_loco", "eval_loco_captures", "ml_convolution"}  # fitted on sf0.01 by tests.check
 
 
 @pytest.fixture(scope="module")

@@ -191,6 +191,17 @@ def _(spark, d):
     return _model(spark, d).transform(_held_out(spark, d)).select(*FL.KEYS, "truth", F.col("c_second").cast("int").alias("suite_index"))
 
 
+@query("ml_convolution")
+def _(spark, d):
+    """Most likely suite of held-out flows by the convolution over their profiles."""
+    from ..operators import convolution as CO, ml as ML
+
+    train, test = ML.stratified(_training(spark, d))
+    net, _losses = CO.fit_profile_net(train, len(ML.SUITE_INDEX), fresh(spark, "profiles"))
+    best = F.expr("array_position(p_net, array_max(p_net)) - 1").cast("int")
+    return CO.score_profiles(net, test).join(test.select(*FL.KEYS, "truth"), FL.KEYS).select(*FL.KEYS, "truth", best.alias("suite_index"))
+
+
 @query("ml_blend")
 def _(spark, d):
     from ..operators import ml as ML
