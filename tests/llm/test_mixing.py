@@ -36,6 +36,58 @@ def test_targets_against_literal_rounds():
         assert sum(mixing.capped_targets(sizes, weights, 1.5, 2).values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
+def test_targets_from_aggregates_equal_those_of_one_pass(spark):
+    r = random.Random(4)
+    for share in (0.4, 1.5, 2.0, 3.0):
+        sizes = {s: r.choice([0, r.randint(1, 5), r.randint(1, 1000)]) for s in range(40)}
+        weights = {s: r.choice([1.0, 2.0, 3.0, 50.0]) for s in sizes}
+        sources = spark.createDataFrame([(s, sizes[s], weights[s]) for s in sizes], "source int, size long, weight double")
+        got = {x.source: x.target for x in mixing.source_targets(sources, share, 2).collect()}
+        assert got == pytest.approx(mixing.capped_targets(sizes, weights, share, 2))
+    assert mixing.source_targets(sources.limit(0), 1.5, 2).count() == 0
+    with pytest.raises(ValueError):
+        mixing.source_targets(sources.withColumn("weight", F.lit(None).cast("double")), 1.5, 2)
+
+
+def test_more_sources_than_one_network_holds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_MEMBERSHIPS", 20)
+    df = spark.range(600).select("id", F.array(F.concat(F.lit("s"), (F.col("id") % 300).cast("string"))).alias("pattern"), (1 + F.col("id") % 7).alias("size"))
+    chosen, flows, sources = mixing.mixed(df, mixing.by_turns())
+    assert flows.count() == sources.count() == 300 and chosen.count() == 600
+    names = sorted(f"s{i}" for i in range(300))
+    assert [(x.source, x.weight) for x in sources.sort("at").collect()] == [(n, (3, 1, 2)[i % 3]) for i, n in enumerate(names)]
+    ring = spark.range(30).select("id", F.array(*[F.concat(F.lit("s"), ((F.col("id") + k) % 30).cast("string")) for k in (0, 1)]).alias("pattern"), F.lit(5).cast("long").alias("size"))
+    with pytest.raises(ValueError):
+        mixing.mixed(ring, mixing.by_turns())
+
+
+def test_connected_parts_flow_as_one_network(spark):
+    r = random.Random(6)
+    rows = [(i, [f"{g}{s}" for s in r.sample("abcd", r.randint(0, 3))] or None, r.randint(1, 9)) for i, g in ((i, i % 4) for i in range(160))]
+    df = spark.createDataFrame(rows, "id long, pattern array<string>, size long")
+    total = Counter()
+    for _, p, n in rows:
+        total[tuple(p or ())] += n
+    held = sorted(total)
+    names = sorted({s for p in held for s in p})
+    chosen, flows, target, _ = mixing.mix(df, {s: 1.0 + (s[1] == "a") for s in names}, share=0.9)
+    whole = mixing.min_cost_flow([total[p] for p in held], [[names.index(s) for s in p] for p in held], [round(target[s]) for s in names], 2)
+    got = {tuple(f.pattern): f for f in flows.collect()}
+    assert sum(f.words for f in got.values()) == sum(sum(f.values()) for f in whole)
+    repeats = lambda used: sum(max(0, n - total[p]) for p, n in used.items())
+    assert repeats({p: f.words for p, f in got.items()}) == repeats({p: sum(f.values()) for p, f in zip(held, whole)})
+    assert chosen.count() == len(rows) and not chosen.filter("size(pattern) = 0 and copies > 0").count()
+
+
+def test_equal_rows_are_numbered_over_pieces(spark):
+    text = prose(3, 30)
+    df = spark.range(0, 900, 1, 6).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.col("id").alias("n_chars"))
+    other = spark.createDataFrame([(i, prose(i, 30), "en", "b", None) for i in range(2, 400)], DOCS)
+    got = Counter(r.n_chars for r in mixing.take_mix(df.union(other)).filter("doc_id = 1").collect())
+    want = sum(r.copies for r in mixing.mix_documents(df.union(other)).filter("doc_id = 1").collect())
+    assert sum(got.values()) == want and want % 900 and max(got.values()) - min([got[i] for i in range(900)]) == 1
+
+
 def test_flow_costs_no_more_than_any_other_flow():
     r = random.Random(3)
     for _ in range(60):
