@@ -99,3 +99,10 @@ def test_policy_overlay_changes_verdict():
     p = R.BASELINE_POLICY.overlay({"DH_PROHIBITED": ["14"], "MIN_KEY_BITS": 256})
     assert 14 in p.dh_prohibited and 2 in p.dh_prohibited and p.min_key_bits == 256
     assert R.BASELINE_POLICY.overlay({"DH_PROHIBITED": ["14"]}, replace_tables=True).dh_prohibited == (14,)
+
+
+def test_evidence_is_a_row_per_field_that_has_a_value(spark):
+    rows = [("c", "R-1", "a", '{"x":"1","y":null}'), ("c", "R-2", "b", "{}"), (None, "R-3", None, None), ("c", "R-1", "a", '{"x":"1","y":null}')]
+    got = PO.evidence_fields(spark.createDataFrame(rows, "capture string, rule_id string, subject string, evidence string")).collect()
+    assert [tuple(r) for r in got] == [("c", "R-1", "a", "x", "1")] * 2
+    assert PO.evidence_fields(spark.createDataFrame([], "capture string, rule_id string, subject string, evidence string")).count() == 0

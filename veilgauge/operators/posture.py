@@ -64,6 +64,16 @@ def capture_stats(classed: DataFrame, min_packets: int = 8, sessions: DataFrame
     return full.join(held, "capture", "full_outer").fillna(0, [c for c in [*full.columns, "ike_sessions", "parse_errors"] if c not in ("capture", "capture_seconds")])
 
 
+def evidence_fields(findings: DataFrame) -> DataFrame:
+    """(capture, rule_id, subject, field, value): what each finding rests on, a row per field; values are text.
+
+    A field without a value has no row, and neither has a finding without evidence.
+    """
+    held = F.from_json("evidence", "map<string,string>")
+    told = findings.select("capture", "rule_id", "subject", F.explode(held).alias("field", "value"))
+    return told.where(F.col("value").isNotNull())
+
+
 def throughput(stats: DataFrame, min_packets: int = 10_000) -> DataFrame:
     """Packets per second, or null with a reason when a capture is too small to say."""
     ok = (F.col("packets_read") >= min_packets) & (F.col("processing_seconds") > 0)

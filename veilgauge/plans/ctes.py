@@ -281,6 +281,57 @@ RULE_SQL = {
 }
 cte("v_findings", " UNION ALL ".join(
     f"SELECT capture, '{r}' AS rule_id, title, severity, subject, {str(r.startswith('ESP')).lower()} AS inferred FROM ({s})" for r, s in RULE_SQL.items()))
+#: Evidence of each rule: rows it fires on, then field -> SQL of its value. A value is text unless its field is in EVIDENCE_NUMBERS.
+EVIDENCE_NUMBERS = ("group", "intermediate_exchanges_seen", "lifetime_seconds", "classical_bits", "quantum_bits", "threshold_gb", "rate_mbps", "per_rekey_gb",
+                    "ratio", "seconds_to_limit", "distinct_sas", "group_confidence", "packets", "distinct_lengths", "mean_entropy", "gaps")
+_REUSED = """SELECT capture, arg_min(subject, frame) AS subject, any_value(src) AS src, {d} AS digest, any_value(n) AS n FROM (
+      SELECT m.capture, m.src, m.{d}, m.frame, m.a || ' <-> ' || m.b AS subject, m.pa, m.pb, count(DISTINCT m.sid) OVER (PARTITION BY m.capture, {who}m.{d}) AS n
+      FROM v_msg m WHERE m.{d} IS NOT NULL) WHERE n >= 2 GROUP BY capture, {by}{d}, pa, pb"""
+EVIDENCE_SQL = {
+    "IKE-001": ("SELECT capture, peer AS subject, version, sid FROM v_str WHERE v1", {"version": "version", "spi": "sid"}),
+    "IKE-003": ("SELECT capture, peer AS subject FROM v_str WHERE v1 AND k % 2 = 0", {"auth_method": "'PRE_SHARED_KEY'"}),
+    "IKE-004": ("""SELECT s.capture, s.peer AS subject, n.label FROM v_str s JOIN v_neg n ON n.sid = s.sid AND n.type_id = 1
+      LEFT JOIN d_policy p ON p.kind = 'ENCR' AND p.name = n.name WHERE p.name IS NOT NULL OR n.key_length < 128""", {"transform": "label"}),
+    "IKE-005": ("""SELECT s.capture, s.peer AS subject, n.name FROM v_str s JOIN v_neg n ON n.sid = s.sid
+      JOIN d_policy p ON p.name = n.name AND p.kind = CASE n.type_id WHEN 3 THEN 'INTEG' WHEN 2 THEN 'PRF' END""", {"transform": "name"}),
+    "IKE-006": ("""SELECT s.capture, s.peer AS subject, n.value_id FROM v_str s JOIN (SELECT DISTINCT sid, value_id FROM v_neg WHERE type_id = 4) n ON n.sid = s.sid
+      JOIN d_policy p ON p.kind = 'DH' AND p.name = n.value_id::VARCHAR""", {"group": "value_id"}),
+    "IKE-007": ("""SELECT s.capture, s.peer AS subject, s.confirmed, s.sid IN (SELECT sid FROM v_offer WHERE (type_id = 4 OR type_id BETWEEN 6 AND 12) AND value_id IN (35, 36, 37)) AS offered,
+      (SELECT count(*) FROM v_msg m WHERE m.sid = s.sid AND m.exchange = 'IKE_INTERMEDIATE') AS seen FROM v_str s
+      WHERE NOT (s.confirmed AND s.k % 19 = 0) AND NOT EXISTS (SELECT 1 FROM v_neg n WHERE n.sid = s.sid AND s.confirmed AND (n.type_id = 4 OR n.type_id >= 6) AND n.value_id IN (35, 36, 37))""",
+                {"ppk": "'false'", "responder_confirmed": "confirmed::VARCHAR", "pq_offered": "offered::VARCHAR", "intermediate_exchanges_seen": "seen"}),
+    "IKE-008": ("""SELECT s.capture, s.peer AS subject, string_agg(DISTINCT o.said, ', ' ORDER BY o.said) AS residual FROM v_str s JOIN (
+      SELECT o.sid, CASE WHEN o.type_id = 4 THEN 'DH group ' || o.value_id ELSE o.name || CASE WHEN o.key_length > 0 THEN '-' || o.key_length ELSE '' END END AS said
+      FROM v_offer o JOIN (SELECT * FROM d_policy WHERE verdict = 'prohibited') p
+        ON p.kind = CASE o.type_id WHEN 1 THEN 'ENCR' WHEN 3 THEN 'INTEG' WHEN 4 THEN 'DH' END AND p.name = CASE o.type_id WHEN 4 THEN o.value_id::VARCHAR ELSE o.name END
+      LEFT JOIN v_neg n ON n.sid = o.sid AND n.label = o.name || CASE WHEN o.key_length > 0 THEN '-' || o.key_length ELSE '' END WHERE o.type_id = 4 OR n.sid IS NULL) o ON o.sid = s.sid
+      GROUP BY s.capture, s.sid, s.peer""", {"residual": "residual"}),
+    "IKE-009": ("SELECT s.capture, s.peer AS subject, l.lifetime FROM v_str s JOIN v_life l ON l.sid = s.sid WHERE l.lifetime > 86400", {"lifetime_seconds": "lifetime"}),
+    "IKE-010": ("SELECT capture, peer AS subject FROM v_str WHERE sid IN (SELECT sid FROM v_notify WHERE notify = 'NO_PROPOSAL_CHOSEN')", {"notifies": "'NO_PROPOSAL_CHOSEN'"}),
+    "IKE-012": ("""SELECT capture, peer AS subject, classical_bits, quantum_bits, CASE classical_bits WHEN enc THEN 'encryption' WHEN prf THEN 'prf' WHEN integ THEN 'integrity' ELSE 'key_exchange' END AS weakest,
+      CASE WHEN classical_bits >= 80 THEN 'deprecated' ELSE 'broken' END AS grade FROM v_str WHERE classical_bits < 112""",
+                {"weakest": "weakest", "classical_bits": "classical_bits", "quantum_bits": "quantum_bits", "grade": "grade"}),
+    "IKE-013": ("SELECT *, peer AS subject FROM v_sweet", {"threshold_gb": "round(lim / 1e9, 1)", "rate_mbps": "round(rate * 8 / 1e6, 2)", "per_rekey_gb": "round(rate * rekey / 1e9, 2)",
+                                                        "ratio": "ratio", "seconds_to_limit": "seconds_to_limit"}),
+    "IKE-014": ("""SELECT s.capture, s.peer AS subject, string_agg(n.type_name || '=' || n.name, ', ' ORDER BY n.ord) AS agreed FROM v_str s
+      JOIN v_neg n ON n.sid = s.sid AND n.type_id >= 6 AND n.value_id <> 0 WHERE s.confirmed AND NOT EXISTS (SELECT 1 FROM v_msg m WHERE m.sid = s.sid AND m.exchange = 'IKE_INTERMEDIATE')
+      GROUP BY s.capture, s.sid, s.peer""", {"addke_selected": "agreed"}),
+    "IKE-015": (_REUSED.format(d="ke_digest", who="m.src, ", by="src, "), {"peer": "src", "ke_sha256": "digest", "distinct_sas": "n"}),
+    "IKE-016": (_REUSED.format(d="nonce_digest", who="", by=""), {"nonce_sha256": "digest", "distinct_sas": "n"}),
+    "ESP-001": ("""SELECT t.capture, t.flow AS subject, t.class, t.confidence, t.packets, t.distinct_lengths
+      FROM v_top t JOIN d_class c ON c.class = t.class WHERE c.verdict <> 'acceptable' AND t.confidence >= 0.35e0""",
+                {"framing_class": "class", "group_confidence": "round(confidence, 4)", "packets": "packets", "distinct_lengths": "distinct_lengths"}),
+    "ESP-002": ("SELECT capture, flow AS subject, mean_entropy, packets FROM v_flows WHERE entropy_samples >= 12 AND mean_entropy < 7.0e0",
+                {"mean_entropy": "round(mean_entropy, 3)", "packets": "packets"}),
+    "ESP-003": ("""SELECT f.capture, f.flow AS subject, f.packets, g.gaps FROM v_flows f JOIN (
+      SELECT capture, src, dst, spi, sum(CASE WHEN seq <> prev + 1 THEN 1 ELSE 0 END) AS gaps FROM (SELECT *, lag(seq) OVER (PARTITION BY capture, src, dst, spi ORDER BY frame) AS prev FROM v_packets_seq) GROUP BY ALL) g
+      ON g.capture = f.capture AND g.src = f.src AND g.dst = f.dst AND g.spi = f.spi WHERE f.packets >= 50 AND g.gaps >= f.packets * 0.02e0""", {"gaps": "gaps", "packets": "packets"}),
+    "ESP-004": ("SELECT capture, flow AS subject, packets FROM v_flows WHERE packets < 60", {"packets": "packets"}),
+}
+cte("v_evidence", " UNION ALL ".join(
+    f"SELECT capture, '{r}' AS rule_id, subject, '{field}' AS field, {'NULL' if field in EVIDENCE_NUMBERS else said}::VARCHAR AS said, "
+    f"{said if field in EVIDENCE_NUMBERS else 'NULL'}::DOUBLE AS number FROM ({rows}) WHERE {said} IS NOT NULL"
+    for r, (rows, fields) in EVIDENCE_SQL.items() for field, said in fields.items()))
 cte("v_flink", """
 SELECT *, CASE WHEN rule_id LIKE 'ESP%' THEN split_part(subject, '->', 1) || '~' || split_part(split_part(subject, '->', 2), ':', 1)
   WHEN subject LIKE '10.1.%' THEN split_part(subject, ' <-> ', 1) || '~' || split_part(subject, ' <-> ', 2)

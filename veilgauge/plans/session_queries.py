@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A, registries as R
 from ..operators import flows as FL, posture as PO, rules as RU, sessions as S, strength as ST
 from .catalog import query
-from .ctes import RULE_SQL
+from .ctes import EVIDENCE_NUMBERS, RULE_SQL
 from .stage import fresh, staged
 
 
@@ -239,6 +239,13 @@ def _(spark, d):
     return findings(spark, d).groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings")).withColumn("why", why[F.col("rule_id")])
 
 
+@query("finding_evidence", "SELECT capture, rule_id, subject, field, said, number FROM v_evidence")
+def _(spark, d):
+    told = PO.evidence_fields(findings(spark, d))
+    number = F.col("field").isin(*EVIDENCE_NUMBERS)
+    return told.select("capture", "rule_id", "subject", "field", F.when(~number, F.col("value")).alias("said"), F.when(number, F.col("value").cast("double")).alias("number"))
+
+
 @query("conf_floor", """
 SELECT t.class, t.confidence >= 0.35e0 AS kept, count(*) AS flows FROM v_top t GROUP BY 1, 2""")
 def _(spark, d):
