@@ -17,6 +17,11 @@ def _packets(spark, d):
     return MO.event_time(A.esp_packets(spark, d))
 
 
+def _keyed_state(spark):
+    """Keyed processors hold several column families, which Spark's default state store has not."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 @query("st_window_flows", """
 SELECT ts_us // 86400000000 * 86400000000 AS window_us, capture, src, dst, spi, count(*) AS packets, sum(length)::BIGINT AS bytes, min(length) AS min_length, max(length) AS max_length FROM v_packets GROUP BY ALL""")
 def _(spark, d):
@@ -53,6 +58,7 @@ def _(spark, d):
     """The newest events of each sensor as a restarted stream's bounded state holds them after its last batch."""
     from ..streaming import drift as DR
 
+    _keyed_state(spark)
     path = fresh(spark, "recent")
     p = A.sensor_packets(spark, d).select(F.col("sensor").cast("string").alias("sensor"), "frame", "ts_us", F.lit("ESP").alias("kind"))
     for part in _thirds(p):
@@ -77,7 +83,7 @@ def _(spark, d):
 # --- drained streams: what a stream has written when its source is empty ---------------------
 def _drained(spark, name, parts, stream_of, mode="append"):
     """Feed `parts` one after another to a file stream that is stopped and restarted between them; the rows it wrote."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _keyed_state(spark)
     path = fresh(spark, name)
     out = None
     for part in parts:
