@@ -58,3 +58,32 @@ def test_leak_of_a_host_without_known_resolvers(spark, tmp_path):
     queries, _ = all_queries()
     assert as_sql(spark, "vpn_dns_leak", sf) is None
     assert queries["vpn_dns_leak"](spark, sf).where("connected AND dns_leak IS NULL").count() > 0
+
+
+def test_findings_move_no_transforms(spark):
+    """Session rules run where the session row lies: no exchange of the findings carries a proposal."""
+    from veilgauge.operators import rules as RU
+    from veilgauge.plans.session_queries import flow_volumes, messages, strong
+
+    found = RU.audit(messages(spark, SMALL), flow_volumes(spark, SMALL), strong=strong(spark, SMALL))
+    told = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    moved = [part for part in told.split("\n\n") if ") Exchange" in part.split("\n")[0] and "Input" in part]
+    assert moved and not [part for part in moved if "transforms#" in part or "proposals#" in part]
+
+
+def test_reused_values_of_any_text(spark):
+    """Values that are no lower-case hex are told apart too, and come back as they were."""
+    from veilgauge.operators import rules as RU
+
+    rows = [("c", f"s{i}", i, "a", "b", value, None) for value in ("ab", "AB", "abc", "é", "x" * 70) for i in (2 * len(value), 2 * len(value) + 1)]
+    rows += [("c", "lone", 900, "a", "b", "cd", None), ("c", "lone", 901, "a", "b", "cd", None)]
+    m = spark.createDataFrame(rows, "capture string, initiator_spi string, frame bigint, src string, dst string, nonce_digest string, ke_digest string")
+    assert sorted(r.digest for r in RU.reuse_table(m).collect()) == sorted(["ab", "AB", "abc", "é", "x" * 70])
+
+
+def test_documents_are_written_compressed(spark, tmp_path):
+    from veilgauge.sources import sinks as SK
+
+    f = spark.createDataFrame([("c", "IKE-001", "t", "high", "s", "d", "{}", False)], "capture string, rule_id string, title string, severity string, subject string, detail string, evidence string, inferred boolean")
+    SK.write_report(str(tmp_path / "rep"), {"finding": f})
+    assert list((tmp_path / "rep").rglob("*.json.gz")) and not list((tmp_path / "rep").rglob("*.json"))
