@@ -72,6 +72,22 @@ def test_threshold_keeps_to_the_allowed_share():
     assert qr.calibrate(np.array([0.2, 0.5]), np.array([True, True]), 0.0) >= 0.5
 
 
+def test_threshold_counts_every_labelled_document(spark):
+    """Long documents and those beyond any number of rows count; the threshold is that of all scores at once."""
+    rows, labels = corpus()
+    rows = [(i, " ".join([text] * 250) + prose(i, 3000) * 10 if i == 51 else text, *rest) for i, text, *rest in rows]
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    table = qr.labelled_features(docs, known)
+    counted = [i for i, text, *_ in rows if zlib.crc32(str(i).encode()) % 5 and len(text.split()) >= 50]
+    assert sorted(r.doc for r in table.collect()) == counted and max(len(text) for _, text, *_ in rows) > 1 << 18
+    forest = qr.fit(docs, known)
+    x, good = (np.array(c) for c in zip(*[(r.x, r.label == 1) for r in table.collect()]))
+    scores, (_, _, n_good, n_bad) = forest.score(x), qr.score_counts(table, forest)
+    assert n_good.sum() == good.sum() and n_bad.sum() == (~good).sum()
+    exact = qr.calibrate(scores, good, qr.MAX_FALSE_REJECTS)
+    assert (scores > exact).tolist() == (scores > forest.threshold).tolist()
+
+
 def test_paths_are_short_where_there_is_no_data():
     r = np.random.default_rng(1)
     x = r.uniform(0.4, 0.6, (1000, 3))

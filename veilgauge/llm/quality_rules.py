@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .labelled import sample
-from .shared import with_result
+from .labelled import held_out
+from .shared import forget, with_result, written
 from .words import BLANK_SEPARATED, mix, slices, windows, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -22,9 +22,10 @@ MARKS = np.zeros(256, bool)
 MARKS[[ord(c) for c in ".,;:!?'\"()-_/\\"]] = True
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 
-#: Labelled documents the forest and its threshold are fitted on, and the longest of them in bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 1 << 18
+FEATURES = 6
 TREES, TREE_ROWS, DEPTH = 100, 256, 12
+#: Places on the scale of scores at which labelled documents are counted; the threshold lies between two of them.
+PLACES = 1 << 16
 #: Share of documents labelled good that the threshold may reject.
 MAX_FALSE_REJECTS = 0.004
 FALSE_COST = 3.0
@@ -152,37 +153,81 @@ def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 0) -> For
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_false: float = MAX_FALSE_REJECTS) -> Forest:
-    """Forest over documents labelled good; threshold calibrated on the same bounded sample.
+    """Forest over documents labelled good; threshold calibrated on all labelled documents.
 
-    See calibrate for the threshold. Trees see at most TREES x TREE_ROWS rows;
-    without good labels nothing is anomalous and every document passes.
+    The box of the splits, the counts and the threshold come from every labelled
+    document that is not held out, whatever its length. The subsamples of the
+    trees, which the method asks for, are drawn from all good ones by hash of
+    the id. The driver gets those rows and at most PLACES counts. Without good
+    labels nothing is anomalous and every document passes.
     """
-    rows = sample(docs, labels, SAMPLE_ROWS, SAMPLE_BYTES, doc_id, text).select("doc", "label", "text")
-    stats = [(r[0], r[1], *r[2]) for r in rows.select("doc", "label", text_statistics()("text")).collect()]
-    stats = np.array(sorted(stats), np.int64).reshape(-1, 2 + len(STATISTICS))
-    enough = stats[:, 2] >= MIN_WORDS
-    good = stats[enough & (stats[:, 1] == 1)]
-    if not len(good):
+    rows = labelled_features(docs, labels, doc_id, text)
+    x, good = [F.get("x", F.lit(i)) for i in range(FEATURES)], F.col("label") == 1
+    box = rows.agg(F.sum(good.cast("long")).alias("good"), *[f(c).alias(f"{n}{i}") for i, c in enumerate(x) for n, f in (("low", F.min), ("high", F.max))]).first()
+    if not box["good"]:
+        forget(rows)
         return Forest(np.full((1, 1), -1, np.int16), np.zeros((1, 1)), np.zeros((1, 1), np.int32), np.ones((1, 1)), 1.0)
-    every = features(stats[enough][:, 2:])
-    forest = grow(features(good[:, 2:]), every.min(axis=0), every.max(axis=0))
-    forest.threshold = calibrate(forest.score(every), stats[enough][:, 1] == 1, max_false)
+    place = F.pmod(F.xxhash64("doc"), F.lit(1 << 32))
+    # a tenth more than the trees can use, so that chance does not leave them short
+    drawn = rows.filter(good & (place < int((1 << 32) * min(1.0, 1.1 * TREES * TREE_ROWS / box["good"])))).select(place.alias("place"), "doc", "x").collect()
+    drawn = np.array([r["x"] for r in sorted(drawn, key=lambda r: (r["place"], r["doc"]))][:TREES * TREE_ROWS])
+    forest = grow(drawn, *(np.array([box[f"{n}{i}"] for i in range(FEATURES)]) for n in ("low", "high")))
+    forest.threshold = _cheapest_cut(*score_counts(rows, forest), max_false)
+    forget(rows)
     return forest
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, label, x): features of every labelled document with MIN_WORDS words that is not held out, written once.
+
+    Only features move, no text. Of several labels of one id the least counts,
+    of several texts the one of the greatest features.
+    """
+
+    @F.arrow_udf("array<double>")
+    def featured(texts: pa.Array) -> pa.Array:
+        parts = [statistics(texts.slice(a, b - a)) for a, b in slices(texts)]
+        stats = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)), np.int64)
+        at = pa.array(np.arange(len(stats) + 1) * FEATURES, pa.int32())
+        return pa.ListArray.from_arrays(at, pa.array(features(stats).reshape(-1)), mask=pa.array(stats[:, 0] < MIN_WORDS))
+
+    known = labels.select(F.col(doc_id).cast("long").alias("doc"), F.col("quality").cast("int").alias("label")).dropna().filter(~held_out("doc"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).filter(~held_out("doc"))
+    told = texts.select("doc", featured("text").alias("x"))
+    rows = told.join(known.groupBy("doc").agg(F.min("label").alias("label")), "doc").groupBy("doc", "label").agg(F.max("x").alias("x"))
+    return written(rows.filter("x IS NOT NULL"), "labelled")  # a filter before the join would have texts read twice
+
+
+def score_counts(rows: DataFrame, forest: Forest) -> tuple[np.ndarray, ...]:
+    """(least score, greatest score, good rows, other rows) of every place of PLACES on the scale of scores that has rows, in order."""
+
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(forest.score(x.flatten().to_numpy().reshape(-1, FEATURES)))
+
+    scored = rows.select(score("x").alias("score"), (F.col("label") == 1).cast("long").alias("good"))
+    counts = scored.groupBy(F.floor(F.col("score") * PLACES).alias("place")).agg(F.min("score"), F.max("score"), F.sum("good"), F.sum(1 - F.col("good"))).collect()
+    return tuple(np.array(c) for c in list(zip(*sorted(map(tuple, counts))))[1:])
+
+
 def calibrate(scores: np.ndarray, good: np.ndarray, max_false: float) -> float:
+    """The cut of least cost over rows of scores, good or not; see _cheapest_cut."""
+    order = np.argsort(scores, kind="stable")
+    return _cheapest_cut(scores[order], scores[order], good[order].astype(np.int64), (~good[order]).astype(np.int64), max_false)
+
+
+def _cheapest_cut(least: np.ndarray, greatest: np.ndarray, good: np.ndarray, bad: np.ndarray, max_false: float) -> float:
     """The cut of least cost among those that reject a share `max_false` of good rows at most.
 
+    Groups of rows stand in order of their scores; a cut lies between two groups.
     A rejected good row costs as much as FALSE_COST missed bad ones, by share.
     Of cuts of one cost the middle of the widest gap is taken; without bad rows
     the cut lies at the allowed share.
     """
-    order = np.argsort(scores, kind="stable")
-    value, good = scores[order], good[order]
-    n_good, n_bad = good.sum(), (~good).sum()
-    rejected = n_good - np.concatenate([[0], np.cumsum(good)])  # good rows at place i and after
-    missed = np.concatenate([[0], np.cumsum(~good)])
-    low, high = np.concatenate([[0.0], value]), np.concatenate([value, [1.0]])
+    n_good, n_bad = good.sum(), bad.sum()
+    rejected = n_good - np.concatenate([[0], np.cumsum(good)])  # good rows of group i and after
+    missed = np.concatenate([[0], np.cumsum(bad)])
+    low, high = np.concatenate([[0.0], greatest]), np.concatenate([least, [1.0]])
     cost = FALSE_COST * rejected / max(n_good, 1) + missed / max(n_bad, 1)
     allowed = (high > low) & (rejected <= max_false * n_good)
     if not n_bad:
@@ -193,18 +238,6 @@ def calibrate(scores: np.ndarray, good: np.ndarray, max_false: float) -> float:
     return float((low[i] + high[i]) / 2) if high[i] < 1.0 else float(low[i])
 
 
-def text_statistics():
-    """UDF of a text: its STATISTICS as an array."""
-
-    @F.arrow_udf("array<long>")
-    def stats(texts: pa.Array) -> pa.Array:
-        parts = [statistics(texts.slice(a, b - a)) for a, b in slices(texts)]
-        flat = np.concatenate(parts).reshape(-1) if parts else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(STATISTICS), pa.int32()), pa.array(flat))
-
-    return stats
-
-
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", forest: Forest | None = None) -> DataFrame:
     """Adds the STATISTICS, base_failed, anomaly and kept to every document; other columns stay.
 
