@@ -148,3 +148,29 @@ def test_components_of_links(spark):
     links = spark.createDataFrame([(5, 6), (6, 9), (1, 2), (2, 3), (3, 4), (9, 20), (30, 31)], "a long, b long")
     got = {r.node: r.class_node for r in nd.components(links).collect()}
     assert got == {5: 5, 6: 5, 9: 5, 20: 5, 1: 1, 2: 1, 3: 1, 4: 1, 30: 30, 31: 30}
+
+
+def test_texts_that_nobody_asks_for_do_not_move(spark, tmp_path):
+    """The join that reads texts again exchanges the texts asked for, not all, where it is no broadcast."""
+    from veilgauge.llm import near_dup as N
+
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    texts = N.distinct_texts(docs, "doc_id", "text")
+    spark.conf.set(key, "-1")
+    try:
+        at = moved()
+        known = N.text_profiles(texts.where("first_doc < 4").select("node"), texts, docs, "doc_id", "text")
+        assert known.count() == 4
+        assert moved() - at < 200_000
+    finally:
+        spark.conf.set(key, before)
