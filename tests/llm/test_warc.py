@@ -77,3 +77,9 @@ def test_no_pages_and_extra_columns(spark):
     assert warc.archive_pages(empty).count() == 0
     more = spark.createDataFrame(ROWS, PAGES).withColumn("payload", F.lit(1)).withColumn("sha256", F.lit(2)).withColumn("n", F.lit(3))
     assert warc.archive_pages(more).count() == len(ROWS)
+
+
+def test_a_payload_is_hashed_once(spark):
+    df = spark.createDataFrame([(r[2] or "",) for r in ROWS], "html string").select("html", warc.base32_sha1(F.col("html").cast("binary")).alias("digest"))
+    assert df._jdf.queryExecution().analyzed().toString().count("sha1(") == 1
+    assert all(r.digest == b32(r.html) for r in df.collect())

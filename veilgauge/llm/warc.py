@@ -28,13 +28,17 @@ DATE = "2024-01-01T00:00:00Z"
 
 def base32_sha1(payload: Column) -> Column:
     """SHA-1 of a binary as 32 characters: eight groups of five hex digits give four characters each."""
-    digest, alphabet = F.sha1(payload), F.lit(BASE32)
+    alphabet, starts = F.lit(BASE32), F.array(*[F.lit(i) for i in range(1, 37, 5)])
 
     def letters(bits: Column) -> Column:
         return F.concat(*[F.substring(alphabet, F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
 
-    groups = F.transform(F.sequence(F.lit(1), F.lit(36), F.lit(5)), lambda i: letters(F.conv(F.substring(digest, i, F.lit(5)), 16, 10).cast("int")))
-    return F.concat_ws("", groups)
+    def encoded(digest: Column) -> Column:
+        numbers = F.transform(starts, lambda i: F.conv(F.substring(digest, i, F.lit(5)), 16, 10).cast("int"))
+        return F.concat_ws("", F.transform(numbers, letters))
+
+    # a lambda binds its value once: the payload is hashed once, each group of digits converted once
+    return F.get(F.transform(F.array(F.sha1(payload)), encoded), F.lit(0))
 
 
 def _records(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
