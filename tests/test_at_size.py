@@ -87,3 +87,56 @@ def test_documents_are_written_compressed(spark, tmp_path):
     f = spark.createDataFrame([("c", "IKE-001", "t", "high", "s", "d", "{}", False)], "capture string, rule_id string, title string, severity string, subject string, detail string, evidence string, inferred boolean")
     SK.write_report(str(tmp_path / "rep"), {"finding": f})
     assert list((tmp_path / "rep").rglob("*.json.gz")) and not list((tmp_path / "rep").rglob("*.json"))
+
+
+def told(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+
+def test_sessions_form_where_their_messages_are_made(spark):
+    """Only slim rows of orders move: no exchange follows the one that spreads them by session."""
+    from veilgauge.plans.session_queries import sess
+
+    plan = told(sess(spark, SMALL))
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_values_stay_where_they_are_while_reused_ones_are_found(spark, tmp_path):
+    """Of a table too large to be broadcast by its estimate, neither values nor messages move to meet the reused hashes."""
+    from veilgauge.operators import rules as RU
+    from veilgauge.plans.session_queries import messages
+
+    plans, key = {}, "spark.sql.autoBroadcastJoinThreshold"
+
+    def keep(name, df):
+        plans[name] = told(df)
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    plain = sorted(RU.reuse_table(messages(spark, SMALL)).collect(), key=str)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4000")
+    try:
+        found = sorted(RU.reuse_table(messages(spark, SMALL), keep=keep).collect(), key=str)
+    finally:
+        spark.conf.set(key, before)
+    assert found == plain and found
+    assert "BroadcastHashJoin" in plans["reuse_values"] and "ENSURE_REQUIREMENTS" not in plans["reuse_values"]
+
+
+def test_links_move_each_side_once(spark):
+    from veilgauge.operators.posture import links
+    from veilgauge.plans.session_queries import findings, flow_volumes, strong
+
+    assert told(links(strong(spark, SMALL), flow_volumes(spark, SMALL), findings(spark, SMALL))).count("Exchange hashpartitioning") == 2
+
+
+def test_links_of_unnamed_peers_and_of_both_directions(spark):
+    from veilgauge.operators.posture import links
+
+    peer = "capture string, peer_a string, peer_b string, classical_bits int, quantum_bits int, kex_family string, hybrid boolean"
+    s = spark.createDataFrame([("c", "10.0.0.9", "10.0.0.10", 128, 0, "modp", False), ("c", "10.0.0.10", "10.0.0.9", 80, 0, "modp", False), ("c", "10.0.0.9", None, 80, 0, "unknown", False)], peer)
+    f = spark.createDataFrame([("c", "10.0.0.10", "10.0.0.9"), ("c", "2001:db8::1", "host")], "capture string, src string, dst string")
+    found = spark.createDataFrame([("c", "10.0.0.10 <-> 10.0.0.9", "high"), ("c", "10.0.0.10->10.0.0.9:0x1", "low"), ("c", "10.9.9.9 <-> 10.0.0.9", "high"), ("c", "none", "high")], "capture string, subject string, severity string")
+    rows = {r.link: (r.sessions, r.tunnels, r.findings, r.high, r.low, r.classical_bits) for r in links(s, f, found).collect()}
+    assert rows == {"10.0.0.9~10.0.0.10": (2, 1, 2, 1, 1, 80), "2001:db8::1~host": (0, 1, 0, 0, 0, None), None: (1, 0, 0, 0, 0, None)}

@@ -39,3 +39,14 @@ def test_tasks_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
 
     assert staged(spark, src, "orders", build).count() == 5000
     assert seen == ["50", str(16 << 20)] and [spark.conf.get(k) for k in keys] == before
+
+
+def test_staging_leaves_no_shuffle_files(spark, tmp_path):
+    def files():
+        held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    table = staged(spark, str(tmp_path), "spread", lambda: spark.range(1000).repartition(7, "id"))
+    assert not files() - before
+    assert table.count() == 1000
