@@ -140,3 +140,19 @@ def test_links_of_unnamed_peers_and_of_both_directions(spark):
     found = spark.createDataFrame([("c", "10.0.0.10 <-> 10.0.0.9", "high"), ("c", "10.0.0.10->10.0.0.9:0x1", "low"), ("c", "10.9.9.9 <-> 10.0.0.9", "high"), ("c", "none", "high")], "capture string, subject string, severity string")
     rows = {r.link: (r.sessions, r.tunnels, r.findings, r.high, r.low, r.classical_bits) for r in links(s, f, found).collect()}
     assert rows == {"10.0.0.9~10.0.0.10": (2, 1, 2, 1, 1, 80), "2001:db8::1~host": (0, 1, 0, 0, 0, None), None: (1, 0, 0, 0, 0, None)}
+
+
+def test_lines_of_a_task_stay_together(spark, tmp_path):
+    """A capture is written by several tasks, and the lines that one task read of it go to one file."""
+    from veilgauge.sources import sinks as SK
+
+    lines = spark.range(0, 4000, numPartitions=16).select(F.lit("c").alias("capture"), F.lit("x").alias("part"), F.col("id").cast("string").alias("body"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # else so few lines end in one task
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        SK.by_capture(lines).write.partitionBy("capture").json(str(tmp_path / "dealt"))
+    finally:
+        spark.conf.set(key, before)
+    seen = [{int(line.split('"body":"')[1].split('"')[0]) // 250 for line in f.read_text().splitlines()} for f in (tmp_path / "dealt").rglob("*.json")]
+    assert 1 < len(seen) <= SK.FILES_PER_CAPTURE and sum(map(len, seen)) == 16 == len(set().union(*seen))
