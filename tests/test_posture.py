@@ -106,3 +106,23 @@ def test_evidence_is_a_row_per_field_that_has_a_value(spark):
     got = PO.evidence_fields(spark.createDataFrame(rows, "capture string, rule_id string, subject string, evidence string")).collect()
     assert [tuple(r) for r in got] == [("c", "R-1", "a", "x", "1")] * 2
     assert PO.evidence_fields(spark.createDataFrame([], "capture string, rule_id string, subject string, evidence string")).count() == 0
+
+
+def test_positions_by_range_move_rows_once(spark, tmp_path):
+    """Equal rows are dropped and rows numbered where range partitioning has put them; nulls and keys of many pieces too."""
+    from pyspark.sql import functions as F
+
+    from veilgauge.operators.posture import positioned_by_range
+
+    names = [("hot" if i % 3 else None if i % 2 else f"k{i % 5}", f"n{i * 7919 % 3000:05d}") for i in range(6000)]
+    df = spark.createDataFrame(names, "k string, name string")
+    got = positioned_by_range(df, ["k"], [F.asc("name")], str(tmp_path), partitions=12, distinct=True)
+    plan = df._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+    wanted = {}
+    for k, name in sorted(set(names), key=lambda r: (str(r[0]), r[1])):
+        wanted.setdefault(k, []).append(name)
+    rows = got.collect()
+    assert len(rows) == len(set(names)) and all(wanted[r.k][r.pos - 1] == r.name for r in rows)
+    spans = [len(spark.read.parquet(str(p)).where("k = 'hot'").select("_part").distinct().collect()) for p in tmp_path.iterdir() if "_part" in spark.read.parquet(str(p)).columns]
+    assert spans and max(spans) > 4
