@@ -126,3 +126,15 @@ def test_positions_by_range_move_rows_once(spark, tmp_path):
     assert len(rows) == len(set(names)) and all(wanted[r.k][r.pos - 1] == r.name for r in rows)
     spans = [len(spark.read.parquet(str(p)).where("k = 'hot'").select("_part").distinct().collect()) for p in tmp_path.iterdir() if "_part" in spark.read.parquet(str(p)).columns]
     assert spans and max(spans) > 4
+
+
+def test_a_digest_moves_its_keys_once(spark):
+    import hashlib
+
+    from veilgauge.operators.posture import report_digest
+
+    rows = [(f"c{i % 3}", f"R-{i % 4}", f"s{i % 50}") for i in range(900)]
+    digests = report_digest(spark.createDataFrame(rows, "capture string, rule_id string, subject string"))
+    assert digests._sc._jvm.PythonSQLUtils.explainString(digests._jdf.queryExecution(), "simple").count("Exchange hashpartitioning") == 1
+    wanted = {c: hashlib.sha256("|".join(sorted(f"{r}:{s}" for x, r, s in rows if x == c)).encode()).hexdigest()[:16] for c in ("c0", "c1", "c2")}
+    assert {r.capture: r.digest for r in digests.collect()} == wanted
